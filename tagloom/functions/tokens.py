@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tagloom.functions.binding import bind
+
 Tokenizer = Callable[[Column], Column]
 
 
@@ -83,8 +85,10 @@ def encode(
     before, after = special.around()
     count = len(before) + len(after) if special_count is None else special_count
     budget = check_lengths(max_length, head_ratio, count)
-    content = head_tail(tokenizer(F.coalesce(text, F.lit(""))), budget, head_ratio)
-    return F.slice(wrap(content, special), 1, max_length)
+    return bind(
+        tokenizer(F.coalesce(text, F.lit(""))),
+        lambda ids: F.slice(wrap(head_tail(ids, budget, head_ratio), special), 1, max_length),
+    )
 
 
 def attention_mask(ids: Column) -> Column:
@@ -110,25 +114,30 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, "[ \n]+"), lambda w: w != "")
 
 
-def word_id(word: Column) -> Column:
-    """The first four hex digits of a word's MD5, past the special ids."""
-    return F.conv(F.substring(F.md5(word), 1, 4), 16, 10).cast("int") + 10
-
-
-def hashed_word_ids(text: Column) -> Column:
-    """Stand-in tokenizer for use without a vocabulary file."""
-    return F.transform(words(text), word_id)
+def hashed_id(word: Column, vocabulary: int = 50_000, reserved: int = 10) -> Column:
+    """A stable id for a word, past the ids reserved for special tokens."""
+    return (F.pmod(F.xxhash64(word), F.lit(vocabulary)) + reserved).cast("int")
 
 
-def encode_hashed_words(
-    text: Column, special: SpecialTokens, max_length: int = 512, head_ratio: float = 0.6
+def encode_words(
+    text: Column,
+    special: SpecialTokens,
+    max_length: int = 512,
+    head_ratio: float = 0.6,
+    word_id: Callable[[Column], Column] = hashed_id,
 ) -> Column:
-    """:func:`encode` with :func:`hashed_word_ids`, but the middle is cut
-    before hashing, so only the words that stay are hashed."""
+    """:func:`encode` with words as tokens, for use without a vocabulary file.
+
+    The middle is cut before ids are made, so only the words that stay cost
+    anything.
+    """
     before, after = special.around()
     budget = check_lengths(max_length, head_ratio, len(before) + len(after))
-    kept = head_tail(words(F.coalesce(text, F.lit(""))), budget, head_ratio)
-    return F.slice(wrap(F.transform(kept, word_id), special), 1, max_length)
+    kept = bind(
+        words(F.coalesce(text, F.lit(""))), lambda w: head_tail(w, budget, head_ratio)
+    )
+    ids = F.transform(kept, lambda w: word_id(w))
+    return F.slice(wrap(ids, special), 1, max_length)
 
 
 def vocabulary_tokenizer(load: Callable[[], Any]) -> Tokenizer:

@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tagloom.functions.binding import bind
+
 # Fixed value: probabilities are raised to this floor before taking a log.
 LOG_FLOOR = 1e-12
 # Fixed value: floor of the mask sum in mean pooling.
 MASK_FLOOR = 1e-9
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it many times in ``body``.
-
-    A lambda body is evaluated per element, so anything row-constant in it
-    would be recomputed K times; going through a one-element array pins it.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 

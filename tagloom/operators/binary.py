@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import rates
 
-# Score ranges are cut at this many quantiles; any cuts give exact results,
-# quantiles only make the ranges equally full.
-SCORE_RANGES = 1024
+# Bounds of the number of score ranges. Any ranges give exact results; being
+# quantiles only makes them equally full.
+FEWEST_RANGES, MOST_RANGES = 32, 1024
 
 
 def at_least(score: Column, threshold: Column) -> Column:
@@ -29,26 +29,35 @@ def verdict(score: Column, threshold: Column) -> Column:
     return at_least(score, threshold).cast("int")
 
 
+def _scored(df: DataFrame, truth: str, score: str, by: Sequence[str]) -> DataFrame:
+    """``by, score, _y``, with a NaN score below all others."""
+    value = F.nanvl(F.col(score).cast("double"), F.lit(float("-inf")))
+    return df.select(*by, value.alias("score"), F.col(truth).cast("int").alias("_y"))
+
+
 def score_counts(df: DataFrame, truth: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """``by, score, pos, neg``: positives and negatives per distinct score."""
-    y = F.col(truth).cast("int")
+    y = F.col("_y")
     return (
-        df.select(*by, F.nanvl(F.col(score).cast("double"), F.lit(float("-inf"))).alias("score"), y.alias("_y"))
+        _scored(df, truth, score, by)
         .groupBy(*by, "score")
-        .agg(F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg"))
+        .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
     )
 
 
-def _score_ranges(df: DataFrame, score: str) -> Bucketizer | None:
-    """Cut points from an approximate quantile sketch (a bounded array)."""
-    quantiles = [i / SCORE_RANGES for i in range(1, SCORE_RANGES)]
+def _score_ranges(df: DataFrame, score: str) -> Bucketizer:
+    """Score ranges cut at approximate quantiles, a bounded array. There are
+    twice as many ranges as the session has shuffle partitions."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(FEWEST_RANGES, min(MOST_RANGES, 2 * partitions))
+    steps = ", ".join(f"{i / ranges}D" for i in range(1, ranges))
     values = df.agg(
-        F.percentile_approx(F.col(score).cast("double"), quantiles, 4 * SCORE_RANGES).alias("q")
+        F.percentile_approx(
+            F.col(score).cast("double"), F.expr(f"array({steps})"), 4 * ranges
+        ).alias("q")
     ).first()["q"]
     inf = float("inf")
-    cuts = sorted({v for v in values or [] if -inf < v < inf})
-    if not cuts:
-        return None
+    cuts = sorted({v for v in values or [] if -inf < v < inf}) or [0.0]
     return Bucketizer(
         splits=[-inf, *cuts, inf], inputCol="score", outputCol="_range", handleInvalid="keep"
     )
@@ -59,14 +68,12 @@ def cumulative_counts(df: DataFrame, truth: str, score: str, by: Sequence[str] =
     that score and everything above it positive.
 
     Ranges of scores are cumulated independently and shifted by the totals of
-    the ranges above, so no task sees more than its range.
+    the ranges above, so no task sees more than its range. The totals come
+    straight from the rows, not from the larger table of distinct scores.
     """
     ranges = _score_ranges(df, score)
-    counts = score_counts(df, truth, score, by)
-    if ranges is None:
-        counts = counts.withColumn("_range", F.lit(0.0))
-    else:
-        counts = ranges.transform(counts)
+    y = F.col("_y")
+    rows = _scored(df, truth, score, by)
     inside = (
         Window.partitionBy(*by, "_range")
         .orderBy(F.col("score").desc())
@@ -79,8 +86,9 @@ def cumulative_counts(df: DataFrame, truth: str, score: str, by: Sequence[str] =
     )
     whole = Window.partitionBy(*by)
     totals = (
-        counts.groupBy(*by, "_range")
-        .agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+        ranges.transform(rows)
+        .groupBy(*by, "_range")
+        .agg(F.count_if(y == 1).alias("_pos"), F.count_if(y == 0).alias("_neg"))
         .select(
             *by,
             "_range",
@@ -90,8 +98,10 @@ def cumulative_counts(df: DataFrame, truth: str, score: str, by: Sequence[str] =
             F.sum("_neg").over(whole).alias("negatives"),
         )
     )
-    local = counts.withColumn("_tp", F.sum("pos").over(inside)).withColumn(
-        "_fp", F.sum("neg").over(inside)
+    local = (
+        ranges.transform(score_counts(df, truth, score, by))
+        .withColumn("_tp", F.sum("pos").over(inside))
+        .withColumn("_fp", F.sum("neg").over(inside))
     )
     return local.join(totals, [*by, "_range"]).select(
         *by,

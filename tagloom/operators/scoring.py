@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions import vectors
+from tagloom.functions.binding import bind
 from tagloom.operators.binary import verdict
 from tagloom.operators.labels import DETECTION_NAMES, name_of
 
@@ -82,7 +83,7 @@ def class_prediction(probs: Column, names: Sequence[str], k: int = TOP_CANDIDATE
             ).alias("topk"),
         )
 
-    return vectors.bind(vectors.top_classes(probs, k), shape)
+    return bind(vectors.top_classes(probs, k), shape)
 
 
 def chosen_threshold(argument: float | None, document: str | None) -> float:

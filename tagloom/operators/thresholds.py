@@ -76,7 +76,7 @@ def sweep(
     )
     whole = Window.partitionBy(*by)
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    thresholds = F.array(*[F.lit(t) for t in steps])
+    thresholds = F.expr("array(" + ", ".join(f"{t!r}D" for t in steps) + ")")
     cumulated = filled.select(
         *by,
         "step",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import text
 from tagloom.operators import balance, corpus, labels, splits
+from tagloom.operators.staging import stage
 from tagloom.queries.registry import (
     query,
     sql_class_id,
@@ -247,7 +248,7 @@ def split_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = docs.filter(corpus.long_enough(MIN_CHARS)).select(
         "doc_id", "source", "lang", text.fingerprint(text.truncate_middle(F.col("code"), MAX_CHARS)).alias("h")
     )
-    kept = corpus.first_per_fingerprint(cut, F.col("h"), "doc_id")
+    kept = stage(corpus.first_per_fingerprint(cut, F.col("h"), "doc_id"))
     split = splits.fit_group_split(kept, "source").assign(kept)
     return split.groupBy("split", "lang").agg(F.count(F.lit(1)).alias("n"))
 
@@ -267,7 +268,8 @@ FROM pool JOIN assigned USING (group_id) LEFT JOIN classes c ON cwe = c.name
 GROUP BY ALL""")
 def corpus_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flawed samples with folded classes, split by group: label counts."""
-    pool = corpus.task_rows(distinct_samples(spark, sf_dir), "classification").drop("code")
+    # Four passes follow over a few columns; the texts are read once.
+    pool = stage(corpus.task_rows(distinct_samples(spark, sf_dir), "classification").drop("code"))
     classes = labels.class_table(labels.class_frequency(pool, "cwe"))
     encoded = labels.encode_labels(pool, classes, "cwe", bound=40)
     split = splits.fit_group_split(pool).assign(encoded)
@@ -279,7 +281,7 @@ WITH pool AS ({_DISTINCT_SAMPLES}), assigned AS ({sql_split('pool', 'group_id')}
 SELECT split, label, count(*) AS n FROM pool JOIN assigned USING (group_id) GROUP BY ALL""")
 def corpus_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All samples, split by group: label counts."""
-    pool = corpus.task_rows(distinct_samples(spark, sf_dir), "detection").drop("code")
+    pool = stage(corpus.task_rows(distinct_samples(spark, sf_dir), "detection").drop("code"))
     split = splits.fit_group_split(pool).assign(pool)
     return labels.label_distribution(split, "split")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions import tokens
@@ -13,14 +13,19 @@ SPECIAL = tokens.SpecialTokens(cls_id=1, sep_id=2, pad_id=0, token_type_ids=True
 MAX_LENGTH = 512
 
 
+def spelling_id(word: Column) -> Column:
+    """An id SQL can compute too: first and last letter, and length."""
+    return F.ascii(word) * 10_000 + F.ascii(F.right(word, F.lit(1))) * 10 + F.length(word)
+
+
 def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = tokens.encode_hashed_words(F.col("text"), SPECIAL, MAX_LENGTH)
+    ids = tokens.encode_words(F.col("text"), SPECIAL, MAX_LENGTH, word_id=spelling_id)
     return table(spark, sf_dir, "documents").select("doc_id", ids.alias("input_ids"))
 
 
 _ENCODED = """
     SELECT doc_id, list_concat([1], list_concat(list_transform(kept,
-               lambda w: CAST('0x' || left(md5(w), 4) AS INTEGER) + 10), [2])) AS ids
+               lambda w: ascii(w) * 10000 + ascii(right(w, 1)) * 10 + CAST(length(w) AS INTEGER)), [2])) AS ids
     FROM (SELECT doc_id, CASE WHEN len(w) > 510
                  THEN list_concat(w[1:306], w[len(w) - 203:len(w)]) ELSE w END AS kept
           FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda x: x <> '') AS w
