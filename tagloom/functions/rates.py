@@ -49,3 +49,10 @@ def metric_line(*names: str) -> Column:
         else:
             parts.append(F.concat(F.lit(name + "="), F.format_string("%.4f", F.col(name))))
     return F.concat_ws(" | ", *parts)
+
+
+def rate_line(metrics: dict) -> str:
+    """The same line for metrics already on the driver."""
+    return " | ".join(
+        f"{k}={v:.4f}" if isinstance(v, float) else f"{k}={v}" for k, v in metrics.items()
+    )
