@@ -37,7 +37,7 @@ def write_json(spark: SparkSession, path: str, content: Any) -> None:
 
 
 def read_text(spark: SparkSession, path: str) -> str:
-    rows = spark.read.option("wholetext", True).text(path).collect()
+    rows = spark.read.text(path, wholetext=True).collect()
     return rows[0]["value"] if rows else ""
 
 

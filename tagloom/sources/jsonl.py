@@ -39,10 +39,11 @@ def read_records(
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """``path, code``: one row per file. Undecodable bytes are dropped, and
     with them any replacement characters the text itself contains."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
+    valid = F.make_valid_utf8("value")
     return files.select(
         F.col("_metadata.file_path").alias("path"),
-        F.replace("value", F.lit("�"), F.lit("")).alias("code"),
+        F.replace(valid, F.lit("\ufffd"), F.lit("")).alias("code"),
     )
 
 

@@ -1,5 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
+from stubs import Letters
 
 from tagloom.functions import tokens
 from tagloom.operators import batching
@@ -45,17 +46,6 @@ def test_words_are_cut_before_ids_are_made(values):
     assert all(10 <= i < 50_010 for i in early[2][1:-1] if i not in (101, 102))
 
 
-class Letters:
-    def encode_batch(self, texts, add_special_tokens):
-        assert add_special_tokens is False
-
-        class Ids:
-            def __init__(self, t):
-                self.ids = [ord(c) for c in t]
-
-        return [Ids(t) for t in texts]
-
-
 def test_vocabulary_tokenizer(values):
     tokenizer = tokens.vocabulary_tokenizer(Letters)
     got = values(tokens.encode(V, tokenizer, CLS, 6, 0.6), ["ab", "abcdefgh", None], "string")
