@@ -58,10 +58,12 @@ def train(
     rows, names = load_splits(spark, settings)
     documents.write_text(spark, f"{run_dir}/config.yaml", config.dump(settings))
     fitted = model.fit_baseline(rows["train"], settings, len(names), iterations=20)
+    losses = fitted.stages[-1].summary.objectiveHistory
     fitted.write().overwrite().save(f"{run_dir}/best/model")
     documents.write_json(spark, f"{run_dir}/best/label_map.json", documents.label_map(task, names))
 
-    score = model.baseline_scores(fitted)
+    # As saved: without the training summary, which would travel to every task.
+    score = model.load_scores(spark, f"{run_dir}/best", None)
     results: dict[str, Any] = {"task": task, "source": source, "model": MODEL_NAME, "best_epoch": 1}
     for split in ("val", "test"):
         # Scored once, then read for metrics, reports and later tuning.
@@ -71,7 +73,6 @@ def train(
         if task == "classification":
             report = evaluate.report_text(scored, names)
             documents.write_text(spark, f"{run_dir}/report_{split}.txt", report)
-    losses = fitted.stages[-1].summary.objectiveHistory
     results["history"] = [{"epoch": 1, "train_loss": losses[-1], "val": results["val"]}]
     documents.write_json(spark, f"{run_dir}/results.json", results)
     return results
