@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions import rates
+from tagloom.operators.staging import stage
 
 # Bounds of the number of score ranges. Any ranges give exact results; being
 # quantiles only makes them equally full.
@@ -29,33 +30,26 @@ def verdict(score: Column, threshold: Column) -> Column:
     return at_least(score, threshold).cast("int")
 
 
-def _scored(df: DataFrame, truth: str, score: str, by: Sequence[str]) -> DataFrame:
-    """``by, score, _y``, with a NaN score below all others."""
-    value = F.nanvl(F.col(score).cast("double"), F.lit(float("-inf")))
-    return df.select(*by, value.alias("score"), F.col(truth).cast("int").alias("_y"))
-
-
 def score_counts(df: DataFrame, truth: str, score: str, by: Sequence[str] = ()) -> DataFrame:
-    """``by, score, pos, neg``: positives and negatives per distinct score."""
+    """``by, score, pos, neg``: positives and negatives per distinct score. A
+    NaN score counts as below all others."""
+    value = F.nanvl(F.col(score).cast("double"), F.lit(float("-inf")))
     y = F.col("_y")
     return (
-        _scored(df, truth, score, by)
+        df.select(*by, value.alias("score"), F.col(truth).cast("int").alias("_y"))
         .groupBy(*by, "score")
         .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
     )
 
 
-def _score_ranges(df: DataFrame, score: str) -> Bucketizer:
+def _score_ranges(counts: DataFrame) -> Bucketizer:
     """Score ranges cut at approximate quantiles, a bounded array. There are
     twice as many ranges as the session has shuffle partitions."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(FEWEST_RANGES, min(MOST_RANGES, 2 * partitions))
     steps = ", ".join(f"{i / ranges}D" for i in range(1, ranges))
-    values = df.agg(
-        F.percentile_approx(
-            F.col(score).cast("double"), F.expr(f"array({steps})"), 4 * ranges
-        ).alias("q")
-    ).first()["q"]
+    sketch = F.percentile_approx("score", F.expr(f"array({steps})"), F.lit(4 * ranges))
+    values = counts.agg(sketch.alias("q")).first()["q"]
     inf = float("inf")
     cuts = sorted({v for v in values or [] if -inf < v < inf}) or [0.0]
     return Bucketizer(
@@ -67,13 +61,12 @@ def cumulative_counts(df: DataFrame, truth: str, score: str, by: Sequence[str] =
     """Per distinct score, from the highest down: ``tp`` and ``fp`` of calling
     that score and everything above it positive.
 
-    Ranges of scores are cumulated independently and shifted by the totals of
-    the ranges above, so no task sees more than its range. The totals come
-    straight from the rows, not from the larger table of distinct scores.
+    The counts per distinct score are staged, so the input is read once. Then
+    ranges of scores are cumulated independently and shifted by the totals of
+    the ranges above; no task sees more than its range.
     """
-    ranges = _score_ranges(df, score)
-    y = F.col("_y")
-    rows = _scored(df, truth, score, by)
+    staged = stage(score_counts(df, truth, score, by))
+    counts = _score_ranges(staged).transform(staged)
     inside = (
         Window.partitionBy(*by, "_range")
         .orderBy(F.col("score").desc())
@@ -86,9 +79,8 @@ def cumulative_counts(df: DataFrame, truth: str, score: str, by: Sequence[str] =
     )
     whole = Window.partitionBy(*by)
     totals = (
-        ranges.transform(rows)
-        .groupBy(*by, "_range")
-        .agg(F.count_if(y == 1).alias("_pos"), F.count_if(y == 0).alias("_neg"))
+        counts.groupBy(*by, "_range")
+        .agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
         .select(
             *by,
             "_range",
@@ -98,10 +90,8 @@ def cumulative_counts(df: DataFrame, truth: str, score: str, by: Sequence[str] =
             F.sum("_neg").over(whole).alias("negatives"),
         )
     )
-    local = (
-        ranges.transform(score_counts(df, truth, score, by))
-        .withColumn("_tp", F.sum("pos").over(inside))
-        .withColumn("_fp", F.sum("neg").over(inside))
+    local = counts.withColumn("_tp", F.sum("pos").over(inside)).withColumn(
+        "_fp", F.sum("neg").over(inside)
     )
     return local.join(totals, [*by, "_range"]).select(
         *by,

@@ -6,10 +6,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.operators import corpus, scoring, splits
-from tagloom.operators.staging import scratch_dir
+from tagloom.operators import binary, corpus, scoring, splits
+from tagloom.operators.staging import scratch_dir, stage
 from tagloom.queries.registry import query, sql_split, table
+from tagloom.plans import evaluate, model
 from tagloom.schemas import LABELLED_INPUT
+from tagloom.settings import load_settings
 from tagloom.sources import jsonl
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,3 +106,27 @@ def scored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("p.confidence", 9).alias("confidence"),
         F.round("p.prob_vulnerable", 9).alias("prob_vulnerable"),
     )
+
+
+@query()
+def baseline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Spark ML baseline fitted on the labelled documents' train split and
+    measured on each split. Rows-only check: an iterative fit has no SQL twin."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    known = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    rows = docs.join(known, "doc_id").select(
+        F.col("doc_id").alias("ord"),
+        F.col("source").alias("group_id"),
+        F.col("text").alias("code"),
+        F.col("quality").alias("label"),
+    )
+    split = stage(splits.fit_group_split(rows).assign(rows))
+    fitted = model.fit_baseline(
+        split.filter(F.col("split") == "train"), load_settings(), 2, features=1 << 14, iterations=10
+    )
+    path = scratch_dir(spark)
+    fitted.save(f"{path}/model")
+    scored = model.load_scores(spark, path, None)(split)
+    return binary.binary_metrics(
+        evaluate.positive_scores(scored, keep=["split"]), "y", "score", by=["split"]
+    )
