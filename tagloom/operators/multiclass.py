@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions import rates, vectors
+from tagloom.operators.staging import stage
 
 
 def cells(
@@ -32,8 +33,8 @@ def cells(
 
 
 def per_class(cell_table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``by, class_id, tp, support, predicted`` and precision, recall and F1,
-    for every class seen in truth or prediction."""
+    """``by, class_id, tp, support, predicted, hits`` and precision, recall and
+    F1, for every class seen in truth or prediction."""
     n, zero = F.col("n"), F.lit(0).cast("long")
     sides = F.array(
         F.struct(
@@ -41,18 +42,20 @@ def per_class(cell_table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
             F.when(F.col("y") == F.col("pred"), n).otherwise(zero).alias("tp"),
             n.alias("support"),
             zero.alias("predicted"),
+            F.col("hits"),
         ),
         F.struct(
             F.col("pred").alias("class_id"),
             zero.alias("tp"),
             zero.alias("support"),
             n.alias("predicted"),
+            zero.alias("hits"),
         ),
     )
     sums = (
         cell_table.select(*by, F.explode(sides).alias("s"))
         .groupBy(*by, F.col("s.class_id").alias("class_id"))
-        .agg(*[F.sum(f"s.{c}").alias(c) for c in ("tp", "support", "predicted")])
+        .agg(*[F.sum(f"s.{c}").alias(c) for c in ("tp", "support", "predicted", "hits")])
     )
     return _with_class_rates(sums)
 
@@ -82,35 +85,24 @@ def multiclass_metrics(
     label per row micro F1 equals accuracy; k is at most ``num_labels``.
     """
     k = min(top_k, num_labels)
-    table = cells(df, truth, probs, k, by)
-    overall = table.groupBy(*by).agg(
-        rates.ratio(
-            F.sum(F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0)), F.sum("n")
-        ).alias("accuracy"),
-        rates.ratio(F.sum("hits"), F.sum("n")).alias(f"top{k}_accuracy"),
-    )
-    averages = per_class(table, by).groupBy(*by).agg(
-        F.avg("f1").alias("macro_f1"),
-        rates.ratio(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("weighted_f1"),
-    )
-    if by:
-        joined = overall.join(averages, list(by))
-    else:
-        # Both sides are single rows.
-        one = F.lit(1).alias("_one")
-        joined = overall.select("*", one).join(averages.select("*", one), "_one")
-    return joined.select(
-        *by, "accuracy", "macro_f1", "weighted_f1",
-        F.col("accuracy").alias("micro_f1"), f"top{k}_accuracy",
+    classes = per_class(cells(df, truth, probs, k, by), by)
+    rows = F.sum("support")
+    return (
+        classes.groupBy(*by)
+        .agg(
+            rates.ratio(F.sum("tp"), rows).alias("accuracy"),
+            F.avg("f1").alias("macro_f1"),
+            rates.ratio(F.sum(F.col("f1") * F.col("support")), rows).alias("weighted_f1"),
+            rates.ratio(F.sum("tp"), rows).alias("micro_f1"),
+            rates.ratio(F.sum("hits"), rows).alias(f"top{k}_accuracy"),
+        )
     )
 
 
-def class_report(
-    df: DataFrame, truth: str, probs: str, dictionary: DataFrame
-) -> DataFrame:
+def class_report(cell_table: DataFrame, dictionary: DataFrame) -> DataFrame:
     """``class_id, name, precision, recall, f1, support`` for every class of
     the dictionary (``id, name``), zero-filled where nothing was seen."""
-    seen = per_class(cells(df, truth, probs))
+    seen = per_class(cell_table)
     names = dictionary.select(F.col("id").alias("class_id"), "name")
     values = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("precision", "recall", "f1")]
     # Both sides have one row per class, so no hint is needed.
@@ -119,22 +111,25 @@ def class_report(
     )
 
 
-def full_report(report: DataFrame, df: DataFrame, truth: str, probs: str) -> DataFrame:
+def full_report(cell_table: DataFrame, dictionary: DataFrame) -> DataFrame:
     """The class report followed by accuracy, macro and weighted averages.
 
-    Averages run over the dictionary's classes, which the report holds.
+    Accuracy is over all rows, the averages over the dictionary's classes. The
+    confusion matrix is staged: it is small, and the rows behind it are not.
     """
-    weight = F.col("support")
-    total = F.sum("support")
+    staged = stage(cell_table)
+    report = class_report(staged, dictionary).select("name", "precision", "recall", "f1", "support")
+    weight, total = F.col("support"), F.sum("support")
 
-    def averaged(name: str, mean) -> DataFrame:
+    def averaged(name: str, mean: Callable[[str], Column]) -> DataFrame:
         return report.agg(
             *[mean(c).alias(c) for c in ("precision", "recall", "f1")], total.alias("support")
         ).select(F.lit(name).alias("name"), "precision", "recall", "f1", "support")
 
-    right = vectors.argmax(F.col(probs)) == F.col(truth).cast("int")
-    hit_rate = rates.ratio(F.count_if(right), F.count(F.lit(1)))
-    accuracy = df.agg(hit_rate.alias("f1"), F.count(F.lit(1)).alias("support")).select(
+    right = F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0)
+    accuracy = staged.agg(
+        rates.ratio(F.sum(right), F.sum("n")).alias("f1"), F.sum("n").alias("support")
+    ).select(
         F.lit("accuracy").alias("name"),
         F.lit(None).cast("double").alias("precision"),
         F.lit(None).cast("double").alias("recall"),
@@ -142,8 +137,7 @@ def full_report(report: DataFrame, df: DataFrame, truth: str, probs: str) -> Dat
         "support",
     )
     return (
-        report.select("name", "precision", "recall", "f1", "support")
-        .unionByName(accuracy)
+        report.unionByName(accuracy)
         .unionByName(averaged("macro avg", lambda c: F.avg(c)))
         .unionByName(averaged("weighted avg", lambda c: rates.ratio(F.sum(F.col(c) * weight), total)))
     )

@@ -14,8 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-# A unique `ord` puts at most 2**16 rows into one bucket.
-ORD_BITS = 16
+# A unique `ord` puts at most 2**14 rows into one bucket.
+ORD_BITS = 14
 # Four hex digits: 65,536 buckets, evenly filled because the key is a hash.
 HASH_DIGITS = 4
 

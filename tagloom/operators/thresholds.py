@@ -1,8 +1,8 @@
 """Threshold sweeps: all metrics at every threshold from one pass.
 
 A row belongs to the bucket "how many thresholds are not above its score".
-Bucket counts are a tiny table, and its running sums from the top give the
-counts at each threshold, so a sweep costs one scan whatever the grid.
+Bucket counts are a tiny table, and sums over its buckets from a threshold up
+give the counts there, so a sweep costs one scan whatever the grid.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions import rates
@@ -40,7 +40,6 @@ def sweep(
 ) -> DataFrame:
     """``by, threshold, precision, recall, f1, accuracy, tn, fp, fn, tp`` for
     each threshold; a score equal to a threshold counts as positive."""
-    spark = df.sparkSession
     steps = sorted(set(float(t) for t in grid))
     inf = float("inf")
     place = Bucketizer(
@@ -57,41 +56,30 @@ def sweep(
         .groupBy(*by, F.col("_step").cast("int").alias("step"))
         .agg(F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg"))
     )
-    # Give every (by, threshold) a row: one zero row per bucket and by value.
-    levels = F.explode(F.sequence(F.lit(0), F.lit(len(steps)))).alias("step")
-    zero = F.lit(0).cast("long")
-    empty = (
-        counts.select(*by).distinct() if by else spark.range(1).select()
-    ).select(*by, levels, zero.alias("pos"), zero.alias("neg"))
-    filled = (
-        counts.unionByName(empty)
-        .groupBy(*by, "step")
-        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    )
-    # From here on there are len(grid) + 1 rows per `by` value.
-    from_top = (
-        Window.partitionBy(*by)
-        .orderBy(F.col("step").desc())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    whole = Window.partitionBy(*by)
-    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    # At most len(grid) + 1 cells per `by` value, so they fit one row.
+    cells = counts.groupBy(*by).agg(F.collect_list(F.struct("step", "pos", "neg")).alias("cells"))
+    spread = cells.select(*by, "cells", F.explode(F.sequence(F.lit(1), F.lit(len(steps)))).alias("step"))
+
+    def summed(part: Column, field: str) -> Column:
+        return F.aggregate(part, F.lit(0).cast("long"), lambda acc, c: acc + c[field])
+
+    above = F.filter("cells", lambda c: c["step"] >= F.col("step"))
+    below = F.filter("cells", lambda c: c["step"] < F.col("step"))
     thresholds = F.expr("array(" + ", ".join(f"{t!r}D" for t in steps) + ")")
-    cumulated = filled.select(
-        *by,
-        "step",
-        F.sum("pos").over(from_top).alias("tp"),
-        F.sum("neg").over(from_top).alias("fp"),
-        F.sum("pos").over(whole).alias("_p"),
-        F.sum("neg").over(whole).alias("_n"),
-    )
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     return (
-        cumulated.filter(F.col("step") > 0)
-        .withColumns({"fn": F.col("_p") - tp, "tn": F.col("_n") - fp})
+        spread.select(
+            *by,
+            F.get(thresholds, F.col("step") - 1).alias("threshold"),
+            summed(above, "pos").alias("tp"),
+            summed(above, "neg").alias("fp"),
+            summed(below, "pos").alias("fn"),
+            summed(below, "neg").alias("tn"),
+        )
         .withColumns({"precision": rates.precision(tp, fp), "recall": rates.recall(tp, fn)})
         .select(
             *by,
-            F.get(thresholds, F.col("step") - 1).alias("threshold"),
+            "threshold",
             "precision",
             "recall",
             rates.harmonic_mean(F.col("precision"), F.col("recall")).alias("f1"),
@@ -123,17 +111,22 @@ def transfer(
 ) -> DataFrame:
     """The best threshold of one split, and how it does on another.
 
-    ``swept`` covers both splits, so the other split's values are looked up,
-    not computed again.
+    ``swept`` covers both splits: their values at the same threshold are put
+    side by side, so nothing is computed for the check but a lookup.
     """
-    best = best_for_recall(swept.filter(F.col(split) == tune_on).drop(split), target)
-    other = swept.filter(F.col(split) == check_on).select(
-        "threshold", *[F.col(c).alias(f"check_{c}") for c in ("recall", "precision", "f1", "fn", "fp")]
+    fields = ["recall", "precision", "f1", "fn", "fp"]
+
+    tuned, checked = "tuned", "checked"
+    sides = swept.filter(F.col(split).isin(tune_on, check_on)).groupBy("threshold").agg(
+        F.max(F.when(F.col(split) == tune_on, F.struct(*fields))).alias(tuned),
+        F.max(F.when(F.col(split) == check_on, F.struct(*fields))).alias(checked),
+    )
+    flat = sides.filter(F.col(tuned).isNotNull()).select(
+        "threshold",
+        *[F.col(f"{tuned}.{c}").alias(c) for c in fields],
+        *[F.col(f"{checked}.{c}").alias(f"check_{c}") for c in fields],
     )
     gap = F.abs(F.col("check_recall") - F.col("recall"))
-    return best.join(other, "threshold", "left").select(
-        "threshold", "recall", "precision", "f1", "fn", "fp",
-        "check_recall", "check_precision", "check_f1", "check_fn", "check_fp",
-        gap.alias("recall_gap"),
-        (gap <= TRANSFER_TOLERANCE).alias("transfers"),
+    return best_for_recall(flat, target).withColumns(
+        {"recall_gap": gap, "transfers": gap <= TRANSFER_TOLERANCE}
     )

@@ -46,7 +46,9 @@ def main_score(metrics: dict[str, Any], task: str) -> float:
 def report_text(scored: DataFrame, names: Sequence[str], truth: str = "label") -> str:
     """The per-class table; as long as the dictionary."""
     table = documents.dictionary(scored.sparkSession, list(names))
-    lines = multiclass.report_lines(multiclass.class_report(scored, truth, "probs", table))
+    lines = multiclass.report_lines(
+        multiclass.class_report(multiclass.cells(scored, truth, "probs"), table)
+    )
     return "\n".join(row["line"] for row in lines.orderBy("line_no").collect())
 
 

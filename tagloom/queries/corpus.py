@@ -146,7 +146,8 @@ def _brands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _top_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.class_table(_brands(spark, sf_dir), min_samples=60, top_k=10)
+    """Ten rows, staged because encoding and decoding read them twice."""
+    return stage(labels.class_table(_brands(spark, sf_dir), min_samples=60, top_k=10))
 
 
 @query(_BRANDS)
@@ -270,7 +271,7 @@ def corpus_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flawed samples with folded classes, split by group: label counts."""
     # Four passes follow over a few columns; the texts are read once.
     pool = stage(corpus.task_rows(distinct_samples(spark, sf_dir), "classification").drop("code"))
-    classes = labels.class_table(labels.class_frequency(pool, "cwe"))
+    classes = stage(labels.class_table(labels.class_frequency(pool, "cwe")))
     encoded = labels.encode_labels(pool, classes, "cwe", bound=40)
     split = splits.fit_group_split(pool).assign(encoded)
     return labels.label_distribution(split, "split")

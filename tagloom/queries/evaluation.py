@@ -380,8 +380,8 @@ _REPORT = f"""
 
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = documents.dictionary(spark, NAMES)
-    return multiclass.class_report(class_scores(spark, sf_dir), "y", "probs", names)
+    cells = multiclass.cells(class_scores(spark, sf_dir), "y", "probs")
+    return multiclass.class_report(cells, documents.dictionary(spark, NAMES))
 
 
 @query(f"""
@@ -410,7 +410,8 @@ SELECT name, round(precision, 9) AS precision, round(recall, 9) AS recall, round
     UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
                      sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM ({_REPORT}))""")
 def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    full = multiclass.full_report(_report(spark, sf_dir), class_scores(spark, sf_dir), "y", "probs")
+    cells = multiclass.cells(class_scores(spark, sf_dir), "y", "probs")
+    full = multiclass.full_report(cells, documents.dictionary(spark, NAMES))
     return _rounded(full, "precision", "recall", "f1")
 
 

@@ -169,14 +169,14 @@ def test_multiclass(spark):
     top = np.argsort(-probs, axis=1, kind="stable")[:, :3]
     assert got["top3_accuracy"] == pytest.approx(np.mean([a in r for a, r in zip(y, top)]))
     names = documents.dictionary(spark, ["a", "b" * 40, "c", "d", "e", "never"])
-    report = multiclass.class_report(df, "y", "probs", names)
+    report = multiclass.class_report(multiclass.cells(df, "y", "probs"), names)
     rows = report.orderBy("class_id").collect()
     assert [tuple(r)[2:] for r in rows[:5]] == [pytest.approx(t) for t in table]
     assert tuple(rows[5])[2:] == (0.0, 0.0, 0.0, 0)
     lines = [r["line"] for r in multiclass.report_lines(report).orderBy("line_no").collect()]
     assert len(lines) == 8 and len(lines[1]) == len(lines[0]) == 71
     assert lines[3].startswith("b" * 33 + " ") and lines[3].endswith(f"{y.count(1):>10}")
-    full = {r["name"]: r for r in multiclass.full_report(report, df, "y", "probs").collect()}
+    full = {r["name"]: r for r in multiclass.full_report(multiclass.cells(df, "y", "probs"), names).collect()}
     assert full["macro avg"]["f1"] == pytest.approx(sum(t[2] for t in table) / 6)
     assert full["accuracy"]["f1"] == got["accuracy"] and full["weighted avg"]["support"] == 200
 
