@@ -111,7 +111,9 @@ def pad(ids: Column, width: Column, value: int) -> Column:
 
 def words(text: Column) -> Column:
     """Non-empty pieces between blanks and line feeds."""
-    return F.filter(F.split(text, "[ \n]+"), lambda w: w != "")
+    # A one-character separator is not compiled to a regular expression.
+    blanks = F.replace(text, F.lit("\n"), F.lit(" "))
+    return F.filter(F.split(blanks, " "), lambda w: w != "")
 
 
 def hashed_id(word: Column, vocabulary: int = 50_000, reserved: int = 10) -> Column:

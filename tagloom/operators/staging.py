@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder the cluster shares.
+"""Placing data: staged tables, and small inputs spread over the cluster.
 
 A staged table cuts lineage, survives the loss of executors and, being
 Parquet, lets each later pass read only the columns it needs.
@@ -35,3 +35,13 @@ def stage(df: DataFrame) -> DataFrame:
     path = scratch_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of an input with fewer splits than the cluster has cores, hashed
+    over all cores; larger inputs are left as they are. For work that costs
+    far more than moving the rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import text
 from tagloom.operators import balance, corpus, labels, splits
-from tagloom.operators.staging import stage
+from tagloom.operators.staging import spread, stage
 from tagloom.queries.registry import (
     query,
     sql_class_id,
@@ -58,7 +58,7 @@ _DOC_FIXES = """
 def document_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as fix commits; classes from text length have a long tail."""
     step = F.floor(F.sqrt(F.col("n_chars").cast("double")) / 4)
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("doc_id").alias("ord"),
         F.concat(F.lit("D-"), F.col("doc_id").cast("string")).alias("cve_id"),
         F.col("source").alias("hash"),
@@ -243,7 +243,7 @@ _LANGUAGE_STATS = f"""
 @query(_LANGUAGE_STATS)
 def split_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole preparation of a text corpus, down to rows per split."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents").drop("n_chars"), "doc_id").select(
         "doc_id", "source", "lang", text.clean_code(F.col("text")).alias("code")
     )
     cut = docs.filter(corpus.long_enough(MIN_CHARS)).select(

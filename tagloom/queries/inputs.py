@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import tokens
 from tagloom.operators import batching
+from tagloom.operators.staging import spread
 from tagloom.queries.registry import query, table
 
 SPECIAL = tokens.SpecialTokens(cls_id=1, sep_id=2, pad_id=0, token_type_ids=True)
@@ -20,7 +21,8 @@ def spelling_id(word: Column) -> Column:
 
 def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = tokens.encode_words(F.col("text"), SPECIAL, MAX_LENGTH, word_id=spelling_id)
-    return table(spark, sf_dir, "documents").select("doc_id", ids.alias("input_ids"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(docs, "doc_id").select("doc_id", ids.alias("input_ids"))
 
 
 _ENCODED = """
