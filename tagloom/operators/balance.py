@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.operators.labels import BROADCAST_CLASSES
 from tagloom.operators.ordering import ord_bucket, ranked
 
 # Draws of one row are counted in chunks of this many draw numbers, so that a
@@ -34,49 +35,52 @@ def class_weights(df: DataFrame, num_labels: int, label: str = "label") -> DataF
     )
 
 
+def _hex(digest: Column, start: int) -> Column:
+    return F.conv(F.substring(digest, start, 12), 16, 10).cast("long")
+
+
 def balanced_sample(
     df: DataFrame, seed: int, label: str = "label", order: str = "ord", expand: bool = False
 ) -> DataFrame:
     """As many draws with replacement as there are rows, every class equally
     likely and every row equally likely within its class.
 
-    Draw i picks a class and a row number in it from two seeded hashes. Draws
-    are counted per row before they meet the rows, so the join carries one row
-    per distinct pick. The result has a ``draws`` column; with ``expand`` each
-    draw is a row of its own instead.
+    Draw i picks a class and a row number in it from a seeded hash. Draws are
+    counted per row before they meet the rows, so the join carries one row per
+    distinct pick. The result has a ``draws`` column; with ``expand`` each draw
+    is a row of its own instead.
     """
     spark = df.sparkSession
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
     # Class ids are dense and few; this is the per-class table, not the data.
-    slots = sizes.withColumn(
-        "_slot", F.row_number().over(Window.orderBy(label)) - 1
-    ).withColumn("_classes", F.count(F.lit(1)).over(Window.partitionBy()))
+    slots = sizes.withColumn("_slot", F.row_number().over(Window.orderBy(label)) - 1)
     shape = slots.agg(F.sum("_size").alias("n"), F.count(F.lit(1)).alias("c")).first()
     if not shape["n"]:
         empty = df.limit(0)
         return empty if expand else empty.withColumn("draws", F.lit(0).cast("long"))
 
-    def uniform(salt: str):
-        digest = F.md5(F.concat(F.lit(f"{seed}:{salt}:"), F.col("id").cast("string")))
-        return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
-
-    draws = spark.range(shape["n"]).select(
-        (uniform("class") % shape["c"]).cast("int").alias("_slot"),
-        uniform("row").alias("_u"),
-        F.shiftright("id", DRAW_BITS).alias("_chunk"),
+    # Twelve hex digits of one hash pick the class, the next twelve the row.
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))
+    draws = (
+        spark.range(shape["n"])
+        .select("id", digest.alias("_digest"))
+        .select(
+            (_hex(F.col("_digest"), 1) % shape["c"]).cast("int").alias("_slot"),
+            _hex(F.col("_digest"), 13).alias("_u"),
+            F.shiftright("id", DRAW_BITS).alias("_chunk"),
+        )
     )
+    keys = [label, "_row", "_chunk"] if expand else [label, "_row"]
     picks = (
-        draws.join(F.broadcast(slots) if shape["c"] <= 10_000 else slots, "_slot")
+        draws.join(F.broadcast(slots) if shape["c"] <= BROADCAST_CLASSES else slots, "_slot")
         .select(label, (F.col("_u") % F.col("_size") + 1).alias("_row"), "_chunk")
-        .groupBy(label, "_row", "_chunk")
+        .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("draws"))
     )
-    if not expand:
-        picks = picks.groupBy(label, "_row").agg(F.sum("draws").alias("draws"))
     numbered = ranked(df, [F.col(order)], ord_bucket(F.col(order)), by=[label], name="_row")
-    drawn = numbered.join(picks, [label, "_row"]).select(*df.columns, "draws")
+    drawn = numbered.join(picks, [label, "_row"])
     if not expand:
-        return drawn
-    # At most 2**DRAW_BITS copies come from one row, on any task.
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("draws")))
-    return drawn.select(*df.columns, copies.alias("_copy")).drop("_copy")
+        return drawn.select(*df.columns, "draws")
+    # Chunks of one row go to different tasks before they are multiplied.
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("draws"))).alias("_copy")
+    return drawn.repartition("_chunk", order).select(*df.columns, copies).drop("_copy")

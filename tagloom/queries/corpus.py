@@ -346,8 +346,8 @@ WITH shape AS (SELECT count(*) AS n, count(DISTINCT quality) AS c FROM labels),
 classes AS (SELECT quality, row_number() OVER (ORDER BY quality) - 1 AS slot, count(*) AS size
             FROM labels GROUP BY quality),
 draws AS (
-    SELECT CAST('0x' || left(md5('7:class:' || i), 12) AS BIGINT) % (SELECT c FROM shape) AS slot,
-           CAST('0x' || left(md5('7:row:' || i), 12) AS BIGINT) AS u
+    SELECT CAST('0x' || left(md5('7:' || i), 12) AS BIGINT) % (SELECT c FROM shape) AS slot,
+           CAST('0x' || substring(md5('7:' || i), 13, 12) AS BIGINT) AS u
     FROM range((SELECT n FROM shape)) t(i)),
 picks AS (SELECT quality, u % size + 1 AS r, count(*) AS draws FROM draws JOIN classes USING (slot) GROUP BY ALL),
 numbered AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY doc_id) AS r FROM labels)
