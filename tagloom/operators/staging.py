@@ -29,10 +29,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once and continue from the written table."""
+def stage(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write ``df`` once and continue from the written table.
+
+    The table is needed for as long as the result is. A job that knows when it
+    is done passes its own ``path`` and removes it; the rest lies in a folder
+    named after the application and can go when the application has ended.
+    """
     spark = df.sparkSession
-    path = scratch_dir(spark)
+    path = path or scratch_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tagloom import schemas
 from tagloom.functions import text
 from tagloom.operators import corpus, labels, splits
-from tagloom.operators.staging import stage
+from tagloom.operators.staging import scratch_dir, stage
 from tagloom.sources import documents, jsonl
 from tagloom.sources.shards import source as find_source
 
@@ -38,10 +38,10 @@ def read_split(
 
 
 def distinct_samples(
-    samples: DataFrame, settings: Mapping[str, Any], max_samples: int | None = None
+    samples: DataFrame, settings: Mapping[str, Any], path: str, max_samples: int | None = None
 ) -> DataFrame:
-    """Length filter, truncation, extraction limit and deduplication, staged:
-    every later pass reads only the columns it needs."""
+    """Length filter, truncation, extraction limit and deduplication, staged
+    at ``path``: every later pass reads only the columns it needs."""
     data = settings["data"]
     seen = Observation()
     short = ~corpus.long_enough(data["min_code_chars"])
@@ -53,7 +53,7 @@ def distinct_samples(
     kept = kept.withColumn("code", text.truncate_middle(F.col("code"), data["max_code_chars"]))
     if data["dedup"]:
         kept = corpus.first_per_fingerprint(kept, text.fingerprint(F.col("code")))
-    staged = stage(kept)
+    staged = stage(kept, path)
     counts = seen.get
     log.info("read %s samples, %s too short", counts["read"], counts["short"])
     return staged
@@ -138,19 +138,39 @@ def build_corpus(
     name = settings["data"]["source"]
     out_dir = (out_dir or settings["data"]["cache_dir"]).rstrip("/")
     samples = find_source(name)(spark, raw_dir, settings)
-    staged = distinct_samples(samples, settings, max_samples)
-    stats: dict[str, Any] = {"source": name, "total_raw": staged.count(), "tasks": {}}
-    for task in tasks:
-        encoded, names, codes = encode_task(staged, task, settings)
-        if encoded.isEmpty():
-            log.warning("no usable samples for %s", task)
-            continue
-        rows = split_task(encoded, settings, staged if shared_split else None, like_shuffle)
-        written = jsonl.write_jsonl(rows, task_path(out_dir, name, task), "split")
-        log.info("%s: %s records", task, f"{written:,}")
-        documents.write_json(
-            spark, f"{out_dir}/{name}_{task}_label_map.json", documents.label_map(task, names, codes)
-        )
-        stats["tasks"][task] = {"num_labels": len(names), "splits": split_counts(rows)}
+    scratch = scratch_dir(spark)
+    try:
+        staged = distinct_samples(samples, settings, scratch, max_samples)
+        stats: dict[str, Any] = {"source": name, "total_raw": staged.count(), "tasks": {}}
+        for task in tasks:
+            basis = staged if shared_split else None
+            counts = write_task(staged, task, settings, out_dir, basis, like_shuffle)
+            if counts is None:
+                log.warning("no usable samples for %s", task)
+            else:
+                stats["tasks"][task] = counts
+    finally:
+        documents.remove(spark, scratch)
     documents.write_json(spark, f"{out_dir}/{name}_stats.json", stats)
     return stats
+
+
+def write_task(
+    samples: DataFrame,
+    task: str,
+    settings: Mapping[str, Any],
+    out_dir: str,
+    groups_of: DataFrame | None = None,
+    like_shuffle: bool = False,
+) -> dict[str, Any] | None:
+    """Encode, split and write one task; its part of the statistics."""
+    spark, name = samples.sparkSession, settings["data"]["source"]
+    encoded, names, codes = encode_task(samples, task, settings)
+    if encoded.isEmpty():
+        return None
+    rows = split_task(encoded, settings, groups_of, like_shuffle)
+    written = jsonl.write_jsonl(rows, task_path(out_dir, name, task), "split")
+    log.info("%s: %s records", task, f"{written:,}")
+    document = documents.label_map(task, names, codes)
+    documents.write_json(spark, f"{out_dir}/{name}_{task}_label_map.json", document)
+    return {"num_labels": len(names), "splits": split_counts(rows)}

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from tagloom import settings as config
 from tagloom.functions.text import last_path_part
 from tagloom.operators import labels, splits
-from tagloom.operators.staging import stage
 from tagloom.plans import evaluate, model
 from tagloom.plans.build import read_split
 from tagloom.sources import documents
@@ -67,8 +66,10 @@ def train(
     results: dict[str, Any] = {"task": task, "source": source, "model": MODEL_NAME, "best_epoch": 1}
     for split in ("val", "test"):
         # Scored once, then read for metrics, reports and later tuning.
-        scored = stage(score(rows[split]).select("ord", "id", "label", "probs"))
-        scored.write.mode("overwrite").parquet(f"{run_dir}/scores/split={split}")
+        path = f"{run_dir}/scores/split={split}"
+        scored = score(rows[split]).select("ord", "id", "label", "probs")
+        scored.write.mode("overwrite").parquet(path)
+        scored = spark.read.schema(scored.schema).parquet(path)
         results[split] = evaluate.metrics_of(scored, task, len(names), 0.5)
         if task == "classification":
             report = evaluate.report_text(scored, names)

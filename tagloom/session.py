@@ -10,8 +10,9 @@ OPTIONS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Source texts can reach tens of MB each, so keep scan batches short.
+    # Source texts can reach tens of MB each, so keep batches of them short.
     "spark.sql.parquet.columnarReaderBatchSize": "1024",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 

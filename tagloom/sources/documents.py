@@ -23,6 +23,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(target)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder the caller made; a missing one is fine."""
+    system, target = _file(spark, path)
+    system.delete(target, True)
+
+
 def write_text(spark: SparkSession, path: str, content: str) -> None:
     system, target = _file(spark, path)
     out = system.create(target, True)

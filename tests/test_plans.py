@@ -89,6 +89,14 @@ def test_build_records(spark, built):
     assert {len(r["cwe"]) > 0 for r in every if r["label"] == 0} == {False}
 
 
+def test_build_leaves_no_scratch_table(spark, built, tmp_path):
+    base, config, _ = built
+    scratch = Path(spark.conf.get("spark.checkpoint.dir")) / spark.sparkContext.applicationId
+    before = set(scratch.iterdir())
+    build.build_corpus(spark, config, str(base / "raw"), str(tmp_path), ["detection"])
+    assert set(scratch.iterdir()) == before
+
+
 def test_rebuild_gives_the_same_rows(spark, built, tmp_path):
     base, config, stats = built
     again = build.build_corpus(spark, config, str(base / "raw"), str(tmp_path))
