@@ -13,7 +13,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tagloom.operators.ordering import (
     hash_bucket,
@@ -85,6 +84,7 @@ def shuffle_split(
     val: float = 0.1,
     seed: int = 42,
     order: str = "ord",
+    place: str | None = None,
 ) -> DataFrame:
     """Split membership as a seeded ``random.shuffle`` of the first-seen group
     list gives it, for comparing with splits made that way.
@@ -92,6 +92,7 @@ def shuffle_split(
     The shuffle moves positions only, so the driver permutes the numbers
     0..n-1 and never sees a group. That needs n to fit the driver: beyond
     ``DRIVER_GROUPS`` use :func:`fit_group_split`, which has no such limit.
+    ``place`` names a column for the group's position in the shuffled list.
     """
     seen = df.groupBy(group).agg(F.min(order).alias("_first"))
     total = seen.count()
@@ -100,15 +101,33 @@ def shuffle_split(
     positions = list(range(total))
     random.Random(seed).shuffle(positions)
     n_train, n_val = int(total * train), int(total * val)
-    spark = df.sparkSession
     names = ["train"] * n_train + ["val"] * n_val + ["test"] * (total - n_train - n_val)
-    schema = T.StructType(
-        [T.StructField("_rank", T.LongType()), T.StructField("split", T.StringType())]
+    placed = df.sparkSession.createDataFrame(
+        [(p + 1, i, s) for i, (p, s) in enumerate(zip(positions, names))],
+        "_rank long, _place long, split string",
     )
-    placed = spark.createDataFrame([(p + 1, s) for p, s in zip(positions, names)], schema)
     numbered = ranked(seen, [F.col("_first")], ord_bucket(F.col("_first")), name="_rank")
-    by_group = numbered.join(placed, "_rank").select(group, "split")
-    return df.join(by_group, group).select(*df.columns, "split")
+    by_group = numbered.join(placed, "_rank").select(group, "_place", "split")
+    extra = [F.col("_place").alias(place)] if place else []
+    return df.join(by_group, group).select(*df.columns, "split", *extra)
+
+
+def shuffle_sample(
+    df: DataFrame, limit: int | None, seed: int, place: str, order: str = "ord"
+) -> DataFrame:
+    """The rows a seeded ``random.sample`` takes from the list of rows ordered
+    by group ``place`` and then ``order``. The driver draws ``limit`` row
+    numbers, at most ``DRIVER_GROUPS`` of them."""
+    total = df.count() if limit is not None else 0
+    if limit is None or total <= limit:
+        return df
+    if limit > DRIVER_GROUPS:
+        raise ValueError(f"a sample of {limit} exceeds {DRIVER_GROUPS}; use sample_rows")
+    picks = random.Random(seed).sample(range(total), limit)
+    chosen = df.sparkSession.createDataFrame([(p + 1,) for p in picks], "_rank long")
+    bucket = F.struct(F.col(place), ord_bucket(F.col(order)).alias("o"))
+    numbered = ranked(df, [F.col(place), F.col(order)], bucket, name="_rank")
+    return numbered.join(chosen, "_rank").select(*df.columns)
 
 
 def split_overlap(df: DataFrame, group: str = "group_id", split: str = "split") -> DataFrame:

@@ -92,7 +92,7 @@ def split_task(
     data, seed = settings["data"], settings["seed"]
     shares = {"train": data["train_ratio"], "val": data["val_ratio"]}
     if like_shuffle:
-        assigned = splits.shuffle_split(encoded, seed=seed, **shares)
+        assigned = splits.shuffle_split(encoded, seed=seed, **shares, place="place")
     else:
         basis = encoded if groups_of is None else groups_of
         assigned = splits.fit_group_split(basis, seed=seed, **shares).assign(encoded)
@@ -101,13 +101,16 @@ def split_task(
         "val": data["max_eval_samples"],
         "test": data["max_eval_samples"],
     }
-    if all(cap is None for cap in caps.values()):
-        return assigned
-    parts = [
-        splits.sample_rows(assigned.filter(F.col("split") == s), cap, seed)
-        for s, cap in caps.items()
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    if any(cap is not None for cap in caps.values()):
+        parts = []
+        for split, cap in caps.items():
+            rows = assigned.filter(F.col("split") == split)
+            if like_shuffle:
+                parts.append(splits.shuffle_sample(rows, cap, seed, "place"))
+            else:
+                parts.append(splits.sample_rows(rows, cap, seed))
+        assigned = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return assigned.select(*encoded.columns, "split")
 
 
 def split_counts(rows: DataFrame) -> dict[str, Any]:

@@ -1,7 +1,14 @@
 """Registered queries over the test tables, each next to its SQL twin."""
 
+from pyspark import cloudpickle
+
+import tagloom
+from tagloom.queries import corpus, evaluation, inputs, records, runs, text
 from tagloom.queries.registry import oracles, registered
 
-from tagloom.queries import corpus, evaluation, inputs, records, runs, text  # noqa: E402,F401  (fill the registry)
+# Workers may not have the package on their path, so its code is sent along.
+cloudpickle.register_pickle_by_value(tagloom)
 
-__all__ = ["oracles", "registered"]
+__all__ = [
+    "corpus", "evaluation", "inputs", "oracles", "records", "registered", "runs", "text",
+]

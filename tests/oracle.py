@@ -37,9 +37,8 @@ KINDS = {
 }
 
 
-def compare(spark, con, sf_dir: str, query, sql: str) -> str | None:
-    """None when equal, else what differs."""
-    result = query(spark, sf_dir)
+def compare(result, con, sql: str) -> str | None:
+    """None when the DataFrame equals the SQL's rows, else what differs."""
     ours = _sorted_rows(result.columns, [tuple(r) for r in result.collect()])
     cursor = con.execute(sql)
     names = [d[0] for d in cursor.description]

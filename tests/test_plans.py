@@ -115,8 +115,12 @@ def test_build_options(spark, built, tmp_path):
         for s in ("train", "val", "test"):
             for r in build.read_split(spark, str(tmp_path / "b"), "cvefixes", task, s).collect():
                 assert where.setdefault(r["group_id"], s) == s
-    stats = build.build_corpus(spark, config, str(base / "raw"), str(tmp_path / "c"), ["detection"], like_shuffle=True)
-    assert sum(v["n"] for v in stats["tasks"]["detection"]["splits"].values()) == 121
+    capped = settings.merged(config, {"data": {"max_train_samples": 20}})
+    stats = build.build_corpus(spark, capped, str(base / "raw"), str(tmp_path / "c"), ["detection"], like_shuffle=True)
+    sizes = {s: v["n"] for s, v in stats["tasks"]["detection"]["splits"].items()}
+    assert sizes["train"] == 20 and sizes["val"] == 12
+    row = build.read_split(spark, str(tmp_path / "c"), "cvefixes", "detection", "val").first()
+    assert set(row.asDict()) == set(build.schemas.RECORD.names)
 
 
 def test_build_without_input(spark, built, tmp_path):

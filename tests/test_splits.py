@@ -60,6 +60,27 @@ def test_shuffle_split_is_pythons_shuffle(pairs):
     assert got == want and sizes(split) == {"train": 160, "val": 20, "test": 20}
 
 
+def test_shuffle_sample_is_pythons_sample(spark):
+    # Groups of uneven size, first seen in mixed order.
+    rng = random.Random(9)
+    rows = [(o, f"g{rng.choice([0, 0, 0, 0, 1, 2, rng.randrange(3, 40)])}") for o in range(300)]
+    groups = {}
+    for o, g in rows:
+        groups.setdefault(g, []).append(o)
+    keys = list(groups)
+    random.Random(5).shuffle(keys)
+    cut = int(len(keys) * 0.8)
+    train = [o for g in keys[:cut] for o in groups[g]]
+    want = random.Random(5).sample(train, 30)
+    df = spark.createDataFrame(rows, "ord long, group_id string").repartition(4)
+    split = splits.shuffle_split(df, seed=5, place="place").filter("split = 'train'")
+    assert split.count() == len(train)
+    got = splits.shuffle_sample(split, 30, 5, "place")
+    assert sorted(r["ord"] for r in got.collect()) == sorted(want)
+    assert splits.shuffle_sample(split, None, 5, "place") is split
+    assert splits.shuffle_sample(split, 1000, 5, "place") is split
+
+
 def test_shuffle_split_refuses_too_many_groups(pairs, monkeypatch):
     monkeypatch.setattr(splits, "DRIVER_GROUPS", 99)
     with pytest.raises(ValueError):
