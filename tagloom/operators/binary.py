@@ -31,12 +31,16 @@ def verdict(score: Column, threshold: Column) -> Column:
 
 
 def score_counts(df: DataFrame, truth: str, score: str, by: Sequence[str] = ()) -> DataFrame:
-    """``by, score, pos, neg``: positives and negatives per distinct score. A
-    NaN score counts as below all others."""
+    """``by, score, pos, neg``: positives and negatives per distinct score.
+
+    A NaN score counts as below all others; rows without a score or a truth do
+    not count. Values of ``by`` are not null.
+    """
     value = F.nanvl(F.col(score).cast("double"), F.lit(float("-inf")))
     y = F.col("_y")
     return (
         df.select(*by, value.alias("score"), F.col(truth).cast("int").alias("_y"))
+        .filter(F.col("score").isNotNull() & y.isNotNull())
         .groupBy(*by, "score")
         .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
     )

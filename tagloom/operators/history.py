@@ -14,7 +14,10 @@ def track_best(
 ) -> DataFrame:
     """Per epoch: ``improved`` (strictly above all before), ``best_epoch`` and
     ``best_score`` so far, ``stale`` (epochs in a row without improvement) and
-    ``reached`` (false once training has stopped)."""
+    ``reached`` (false once training has stopped).
+
+    A run has one row per epoch, so its window is as long as its training.
+    """
     run = Window.partitionBy(*by).orderBy(epoch)
     so_far = run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = run.rowsBetween(Window.unboundedPreceding, -1)

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from tagloom.functions.text import text_or_none
 from tagloom.operators.ordering import (
     hash_bucket,
     keys_at,
@@ -48,13 +49,14 @@ class GroupSplit:
     val_cut: Row | None
 
     def column(self) -> Column:
-        key = seeded_hash(self.seed, F.col(self.group))
+        key = text_or_none(F.col(self.group))
+        digest = seeded_hash(self.seed, key)
 
         def upto(cut: Row | None) -> Column:
             if cut is None:
                 return F.lit(False)
-            same = (key == F.lit(cut["_hash"])) & (F.col(self.group) <= F.lit(cut[self.group]))
-            return (key < F.lit(cut["_hash"])) | same
+            same = (digest == F.lit(cut["_hash"])) & (key <= F.lit(cut["_key"]))
+            return (digest < F.lit(cut["_hash"])) | same
 
         return (
             F.when(upto(self.train_cut), F.lit("train"))
@@ -69,10 +71,12 @@ class GroupSplit:
 def fit_group_split(
     df: DataFrame, group: str = "group_id", train: float = 0.8, val: float = 0.1, seed: int = 42
 ) -> GroupSplit:
-    """Order the distinct groups by a seeded hash and find the two cuts."""
-    groups = df.select(group).distinct().withColumn("_hash", seeded_hash(seed, F.col(group)))
+    """Order the distinct groups by a seeded hash and find the two cuts. Rows
+    without a group form one group."""
+    keys = df.select(text_or_none(F.col(group)).alias("_key")).distinct()
+    groups = keys.withColumn("_hash", seeded_hash(seed, F.col("_key")))
     total, cuts = keys_at(
-        groups, ["_hash", group], hash_bucket(F.col("_hash")), cut_positions(train, val)
+        groups, ["_hash", "_key"], hash_bucket(F.col("_hash")), cut_positions(train, val)
     )
     return GroupSplit(seed, group, total, cuts[0], cuts[1])
 

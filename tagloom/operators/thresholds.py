@@ -39,7 +39,8 @@ def sweep(
     by: Sequence[str] = (),
 ) -> DataFrame:
     """``by, threshold, precision, recall, f1, accuracy, tn, fp, fn, tp`` for
-    each threshold; a score equal to a threshold counts as positive."""
+    each threshold; a score equal to a threshold counts as positive. Rows
+    without a score or a truth do not count."""
     steps = sorted(set(float(t) for t in grid))
     inf = float("inf")
     place = Bucketizer(
@@ -50,7 +51,7 @@ def sweep(
         *by,
         F.nanvl(F.col(score).cast("double"), F.lit(-inf)).alias("_score"),
         y.alias("_y"),
-    )
+    ).filter(F.col("_score").isNotNull() & F.col("_y").isNotNull())
     counts = (
         place.transform(rows)
         .groupBy(*by, F.col("_step").cast("int").alias("step"))

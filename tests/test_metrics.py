@@ -86,6 +86,12 @@ def test_one_class_nan_scores_and_no_rows(spark):
     metrics = binary.binary_metrics(nan, "y", "score").first()
     assert [metrics[c] for c in ("tn", "fp", "fn", "tp")] == [1, 0, 1, 1]
     assert thresholds.sweep(nan, "y", "score", [0.5]).first()["fn"] == 1
+    # Rows without truth or score do not count anywhere.
+    gaps = nan.unionByName(spark.createDataFrame([(None, 0.9), (1, None)], nan.schema))
+    assert binary.confusion(gaps, "y", "score", 0.5).first().asDict() == counts
+    assert [binary.binary_metrics(gaps, "y", "score").first()[c] for c in ("tn", "fp", "fn", "tp")] == [1, 0, 1, 1]
+    swept = thresholds.sweep(gaps, "y", "score", [0.5]).first()
+    assert [swept[c] for c in ("tn", "fp", "fn", "tp")] == [1, 0, 1, 1]
     empty = binary.binary_metrics(nan.limit(0), "y", "score").first()
     assert empty["accuracy"] == 0.0 and empty["tp"] == 0 and math.isnan(empty["roc_auc"])
 

@@ -35,6 +35,17 @@ def test_few_groups(spark, groups, want):
     assert sizes(splits.fit_group_split(df).assign(df)) == want
 
 
+def test_rows_without_a_group_stay_together(spark):
+    rows = [(i, None if i % 4 == 0 else f"g{i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "ord long, group_id string")
+    fitted = splits.fit_group_split(df)
+    split = fitted.assign(df)
+    assert fitted.groups == 151 and split.filter("group_id IS NULL").select("split").distinct().count() == 1
+    per = {r["split"]: r["n"] for r in split.groupBy("split").agg(
+        F.count_distinct(F.coalesce("group_id", F.lit("-"))).alias("n")).collect()}
+    assert per == {"train": 120, "val": 15, "test": 16}
+
+
 def test_overlap_is_seen(spark):
     rows = [("a", "train"), ("a", "val"), ("b", "test"), ("b", "val"), ("c", "train")]
     df = spark.createDataFrame(rows, "group_id string, split string")
