@@ -19,6 +19,7 @@ from tagloom.plans.model import load_scores
 from tagloom.session import build_session
 from tagloom.settings import load_settings
 from tagloom.sources import documents, inventory, jsonl
+from tagloom.sources.shards import SOURCES
 
 
 def _settings(args: argparse.Namespace) -> dict[str, Any]:
@@ -69,7 +70,8 @@ def _evaluate(spark: SparkSession, args: argparse.Namespace) -> None:
         rows = first_rows(rows.withColumn("ord", place), args.max_samples)
     if rows.isEmpty():
         raise SystemExit("the input has no labelled rows")
-    scored = stage(load_scores(spark, args.checkpoint, args.scorer, args.batch_size)(rows).drop("code"))
+    score = load_scores(spark, args.checkpoint, args.scorer, args.batch_size)
+    scored = stage(score(predictor.prepare(rows)).drop("code"))
     if predictor.task == "detection":
         metrics = evaluate.detection_metrics(scored, predictor.threshold)
         print(evaluate.confusion_text(metrics))
@@ -113,6 +115,11 @@ def _inventory(spark: SparkSession, args: argparse.Namespace) -> None:
         inventory.model_folders(spark, args.models).orderBy("folder").show(1000, truncate=False)
 
 
+def _sources(spark: SparkSession, args: argparse.Namespace) -> None:
+    for name, read in sorted(SOURCES.items()):
+        print(f"{name:<16} {(read.__doc__ or '').strip().splitlines()[0]}")
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="tagloom", description=__doc__)
     commands = top.add_subparsers(dest="command", required=True)
@@ -152,6 +159,7 @@ def parser() -> argparse.ArgumentParser:
         ("--file", text), ("--batch-size", {"type": int, "default": 16}),
     )
     command("inventory", _inventory, ("--raw-dir", {"default": "data/raw"}), ("--models", text))
+    command("sources", _sources)
     return top
 
 

@@ -143,16 +143,22 @@ def full_report(cell_table: DataFrame, dictionary: DataFrame) -> DataFrame:
     )
 
 
+# Fixed formats of the text report; names are cut so that columns stay apart.
+REPORT_HEADER = "%-34s%9s%9s%9s%10s" % ("class", "prec", "recall", "f1", "support")
+REPORT_ROW = "%-34s%9.4f%9.4f%9.4f%10d"
+NAME_WIDTH = 33
+
+
 def report_lines(report: DataFrame) -> DataFrame:
     """``line_no, line``: the report as a fixed-width text table."""
-    header = f"{'class':<34}{'prec':>9}{'recall':>9}{'f1':>9}{'support':>10}"
-    spark = report.sparkSession
-    top = spark.createDataFrame([(-2, header), (-1, "-" * len(header))], "line_no int, line string")
+    rule = "-" * len(REPORT_HEADER)
+    top = report.sparkSession.createDataFrame(
+        [(-2, REPORT_HEADER), (-1, rule)], "line_no int, line string"
+    )
     body = report.select(
         F.col("class_id").alias("line_no"),
         F.format_string(
-            "%-34s%9.4f%9.4f%9.4f%10d",
-            F.left("name", F.lit(33)), "precision", "recall", "f1", "support",
+            REPORT_ROW, F.left("name", F.lit(NAME_WIDTH)), "precision", "recall", "f1", "support"
         ).alias("line"),
     )
     return top.unionByName(body)

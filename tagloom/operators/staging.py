@@ -43,9 +43,9 @@ def stage(df: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows of an input with fewer splits than the cluster has cores, hashed
-    over all cores; larger inputs are left as they are. For work that costs
-    far more than moving the rows."""
+    """Rows of a scan with fewer splits than the cluster has cores, hashed over
+    all cores; larger scans are left as they are. For work that costs far more
+    than moving the rows."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df

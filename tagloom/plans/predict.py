@@ -10,10 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom import schemas
+from tagloom import settings as config
+from tagloom.functions.text import truncate_middle
 from tagloom.operators import multiclass, scoring
 from tagloom.plans.model import ScoreRows
 from tagloom.sources import documents, jsonl
 
+# Fixed value: the limit of runs whose settings do not name one.
+LEGACY_CODE_CHARS = 8000
+
 
 @dataclass(frozen=True)
 class Predictor:
@@ -22,6 +27,9 @@ class Predictor:
     task: str
     names: Sequence[str]
     threshold: float
+    # Set for checkpoints from before the token-level cut: texts are cut by
+    # characters first, as they were in training.
+    max_code_chars: int | None = None
 
     @staticmethod
     def load(spark: SparkSession, checkpoint: str, threshold: float | None = None) -> Predictor:
@@ -37,8 +45,15 @@ class Predictor:
             content.get("task", "detection"),
             documents.names_by_id(content) if content else ["safe", "vulnerable"],
             scoring.chosen_threshold(threshold, stored),
+            _character_limit(spark, f"{base.rpartition('/')[0]}/config.yaml"),
         )
 
+    def prepare(self, rows: DataFrame) -> DataFrame:
+        """What happens to ``code`` before the scorer sees it."""
+        if self.max_code_chars is None:
+            return rows
+        return rows.withColumn("code", truncate_middle(F.col("code"), self.max_code_chars))
+
     def shape(self, scored: DataFrame) -> DataFrame:
         """Replace ``probs`` by the ``pred`` struct."""
         if self.task == "detection":
@@ -48,6 +63,17 @@ class Predictor:
         return scored.withColumn("pred", pred).drop("probs")
 
 
+def _character_limit(spark: SparkSession, path: str) -> int | None:
+    """The run's character limit; none if the run cuts by tokens or left no
+    settings behind."""
+    if not documents.exists(spark, path):
+        return None
+    section = config.parse(documents.read_text(spark, path)).get("model", {})
+    if "head_ratio" in section:
+        return None
+    return int(section.get("max_code_chars", LEGACY_CODE_CHARS))
+
+
 def prediction_lines(predicted: DataFrame) -> DataFrame:
     """``id, pred`` and, where a label exists, ``gold``, as JSON text. The id
     is written even if null, gold only if known."""
@@ -71,7 +97,7 @@ def predict_file(
 ) -> dict[str, Any]:
     """Score a JSON Lines file; returns agreement counts over labelled rows."""
     out = out or default_output(path)
-    predicted = predictor.shape(score(jsonl.read_records(spark, path)))
+    predicted = predictor.shape(score(predictor.prepare(jsonl.read_records(spark, path))))
     prediction_lines(predicted).write.mode("overwrite").text(out)
     kind = schemas.DETECTION if predictor.task == "detection" else schemas.CLASSIFICATION
     # Counted on the written file, so that nothing is scored twice.
@@ -81,4 +107,4 @@ def predict_file(
 
 def predict_one(predictor: Predictor, score: ScoreRows, rows: DataFrame) -> dict[str, Any]:
     """The prediction for a single-row input, as a dict."""
-    return predictor.shape(score(rows)).select("pred").first()["pred"].asDict(recursive=True)
+    return predictor.shape(score(predictor.prepare(rows))).select("pred").first()["pred"].asDict(recursive=True)

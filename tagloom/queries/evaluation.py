@@ -395,9 +395,7 @@ def per_class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 SELECT class_id AS line_no, printf('%-34s%9.4f%9.4f%9.4f%10d', left(name, 33), precision, recall, f1, support) AS line
 FROM ({_REPORT})
-UNION ALL SELECT -2, '{"class":<34}{"prec":>9}{"recall":>9}{"f1":>9}{"support":>10}'
-UNION ALL SELECT -1, '{"-" * 71}'""".replace('{"class":<34}{"prec":>9}{"recall":>9}{"f1":>9}{"support":>10}',
-    f"{'class':<34}{'prec':>9}{'recall':>9}{'f1':>9}{'support':>10}"))
+UNION ALL SELECT -2, '{multiclass.REPORT_HEADER}' UNION ALL SELECT -1, '{"-" * 71}'""")
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiclass.report_lines(_report(spark, sf_dir))
 

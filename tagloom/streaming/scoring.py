@@ -32,7 +32,7 @@ def score_new_files(
         .json(in_dir)
         .withColumn("code", F.coalesce("code", F.lit("")))
     )
-    lines = prediction_lines(predictor.shape(score(rows)))
+    lines = prediction_lines(predictor.shape(score(predictor.prepare(rows))))
     return (
         lines.writeStream.format("text")
         .option("path", out_dir)

@@ -246,6 +246,24 @@ def test_streamed_scoring_matches_batch(spark, records_file, tmp_path):
     assert spark.read.text(out).exceptAll(batch.union(batch)).isEmpty()
 
 
+def test_older_checkpoints_cut_by_characters(spark, tmp_path):
+    best = tmp_path / "run" / "best"
+    best.mkdir(parents=True)
+    limit = lambda: predict.Predictor.load(spark, str(best)).max_code_chars
+    assert limit() is None
+    for text, want in (
+        ("model: {max_length: 512}", 8000), ("model: {max_code_chars: 10}", 10),
+        ("model: {head_ratio: 0.6, max_code_chars: 10}", None), ("", 8000),
+    ):
+        (tmp_path / "run" / "config.yaml").write_text(text)
+        assert limit() == want
+    old = predict.Predictor("detection", ["safe", "vulnerable"], 0.5, max_code_chars=10)
+    rows = jsonl.literal(spark, "a" * 100)
+    assert old.prepare(rows).first()["code"].startswith("aaaaaa\n") and len(old.prepare(rows).first()["code"]) < 60
+    with pytest.raises(FileNotFoundError):
+        predict.Predictor.load(spark, str(tmp_path / "nowhere"))
+
+
 def test_chosen_threshold():
     good, bad = '{"threshold": 0.2}', "{broken"
     assert scoring.chosen_threshold(0.7, good) == 0.7
@@ -277,6 +295,8 @@ def test_command_line(spark, built, trained, records_file, capsys, tmp_path):
     assert "verdict" in capsys.readouterr().out
     cli.main(["predict", "--checkpoint", best, "--input", str(records_file), "--scorer", "stubs:BadWordScorer"])
     assert "/3)" in capsys.readouterr().out
+    cli.main(["sources"])
+    assert capsys.readouterr().out.startswith("cvefixes")
     cli.main(["inventory", "--raw-dir", str(base / "raw")])
     assert "cvefixes" in capsys.readouterr().out
     with pytest.raises(SystemExit):
