@@ -145,7 +145,7 @@ def encode_words(
 def vocabulary_tokenizer(load: Callable[[], Any]) -> Tokenizer:
     """A tokenizer object as an Arrow-batched function.
 
-    ``load`` runs once per Python worker and returns an object with
+    ``load`` runs once per task and returns an object with
     ``encode_batch(list[str], add_special_tokens=False)`` whose items have
     ``ids`` (the interface of the `tokenizers` package).
     """

@@ -56,8 +56,8 @@ def first_per_fingerprint(
 ) -> DataFrame:
     """Exact duplicates removed; of equal texts the first in order stays.
 
-    Spark keeps only the best row per map task before the shuffle, so a text
-    that makes up a third of the corpus does not pile up in one reducer.
+    Spark keeps only the best row per map task before the shuffle, so of a
+    text that makes up a third of the corpus one copy per map task is moved.
     """
     first = Window.partitionBy(name).orderBy(order)
     return (

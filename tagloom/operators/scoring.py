@@ -36,7 +36,7 @@ def score(
 ) -> DataFrame:
     """Add the class probabilities of every row.
 
-    ``load`` runs once per Python worker. Only the text travels to Python;
+    ``load`` runs once per task. Only the text travels to Python;
     all other columns, a gold label among them, stay on their row.
     """
 
