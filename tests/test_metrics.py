@@ -75,6 +75,16 @@ def test_continuous_and_hot_scores(spark):
     assert got["tn"] == int(((s < 0.5) & (y == 0)).sum())
 
 
+def test_score_ranges_are_balanced_for_crowded_scores(spark):
+    # All scores within a hair of one half, a third of the rows on one value.
+    score = F.when(F.col("id") % 3 == 0, F.lit(0.5)).otherwise(0.5 + F.col("id") * 1e-9)
+    df = spark.range(30_000).select((F.col("id") % 2).alias("y"), score.alias("score"))
+    counts = binary.score_counts(df, "y", "score")
+    sizes = [r["count"] for r in binary._score_ranges(counts).transform(counts).groupBy("_range").count().collect()]
+    assert sum(sizes) == 20_001 and len(sizes) >= binary.FEWEST_RANGES // 2
+    assert max(sizes) <= 3 * sum(sizes) / len(sizes)
+
+
 def test_one_class_nan_scores_and_no_rows(spark):
     one = binary.binary_metrics(rows_of(spark, [1, 1], [0.2, 0.7]), "y", "score").first()
     assert math.isnan(one["roc_auc"]) and math.isnan(one["pr_auc"])
