@@ -7,19 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tagloom.llm import line_dedup, mixing, near_dup, packing, quality
+from tagloom.llm import (
+    brown,
+    chat,
+    embeddings,
+    fixity,
+    line_dedup,
+    mixing,
+    near_dup,
+    packing,
+    quality,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        embeddings.op1_embedding_near_dup,
+        chat.op2_chat_format,
+        fixity.op3_warc_fixity,
         near_dup.op4_near_duplicates,
         mixing.op5_entropy_mix,
+        toxicity.op6_toxicity_neighbours,
+        brown.op7_brown_classes,
         quality.op8_quality_divergence,
         packing.op9_best_fit_packing,
         line_dedup.op10_line_dedup,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLES: dict[str, str] = {}
+# Operators 5, 6, 7, 9, 10 and the pipeline iterate, fit or encode: they are
+# tested by brute force instead.
+ORACLES: dict[str, str] = {
+    "op1_embedding_near_dup": embeddings.ORACLE,
+    "op2_chat_format": chat.ORACLE,
+    "op3_warc_fixity": fixity.ORACLE,
+    "op4_near_duplicates": near_dup.ORACLE,
+}
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
