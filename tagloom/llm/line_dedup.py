@@ -22,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tagloom.llm.components import own_exchange
-from tagloom.llm.words import WordHashes, arrow_schema, mixed
+from tagloom.llm.words import WordHashes, arrow_schema, free, mixed
 from tagloom.operators.staging import stage
 
 RUN_WORDS = 50
@@ -97,7 +98,12 @@ def winnow(h: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...] | None:
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per chosen gram of each document, with the runs that chose it."""
-    kind = arrow_schema_of(PRINTS)
+    kind = arrow_schema(StructType.fromDDL(PRINTS))
+
+    def made(rows: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, f.type) for c, f in zip(rows, kind, strict=True)], schema=kind
+        )
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes(100_000)
@@ -121,20 +127,16 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
                         column.append(v)
                     size += len(part)
                 if size > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, kind, strict=True)], schema=kind)
+                    yield made(rows)
                     rows, size = [[] for _ in kind], 0
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, kind, strict=True)], schema=kind)
+            yield made(rows)
 
-    keyed = docs.select(F.col(id_column).cast("long"), F.xxhash64(text), F.col(text))
+    keyed = docs.select(
+        F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("t")
+    )
     return keyed.mapInArrow(run, PRINTS)
 
 
-def arrow_schema_of(ddl: str) -> pa.Schema:
-    from pyspark.sql.types import StructType
-
-    return arrow_schema(StructType.fromDDL(ddl))
-
-
 def later_runs(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, text_hash, spans``: stretches to delete, as first and last line
     among the lines with a word; they may overlap."""
@@ -160,10 +162,14 @@ def later_runs(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -
     return again.groupBy(*place).agg(F.collect_list(F.struct("starts", "ends")).alias("spans"))
 
 
+ADDED = ("_lines", "_removed", "_spans")
+
+
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows of ``docs`` with their text cleaned, plus ``_lines`` (lines with
     a word), ``_removed`` (how many of them went) and ``_spans`` (their first
-    and last line numbers in the original text, joined where they touch).
+    and last line numbers in the original text, joined where they touch). The
+    three are named by ``free`` where ``docs`` has such columns.
 
     Lines without a word go with a removed line before them. A null text stays
     null; an empty one stays empty. A null doc_id comes first in the order. Rows
@@ -171,34 +177,30 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     that share an id only are ordered by the hash of their texts. A text whose
     own lines repeat keeps the first copy. Other columns pass through.
     """
-    spans = later_runs(docs, id_column, text)
-    known = docs.withColumns(
-        {"_key": F.col(id_column).cast("long"), "_hash": F.xxhash64(text)}
+    lines, removed, places, key, value = free(docs, *ADDED, "_key", "_hash")
+    spans = later_runs(docs, id_column, text).select(
+        F.col("doc_id").alias("id"), F.col("text_hash").alias("h"), F.col("spans").alias(places)
     )
-    same = known["_key"].eqNullSafe(spans["doc_id"]) & (known["_hash"] == spans["text_hash"])
-    joined = known.join(spans.select("doc_id", "text_hash", "spans").alias("s"), same, "left").select(
-        *[known[c] for c in docs.columns], F.col("s.spans").alias("_spans")
-    )
-    out = f"{text} string, _lines int, _removed int, _spans array<struct<first:int,last:int>>"
-    return cleaned(joined, text, out)
-
+    known = docs.withColumns({key: F.col(id_column).cast("long"), value: F.xxhash64(text)})
+    same = known[key].eqNullSafe(spans["id"]) & (known[value] == spans["h"])
+    joined = known.join(spans, same, "left").select(*[known[c] for c in docs.columns], places)
+    out = f"`{text}` string, `{lines}` int, `{removed}` int, `{places}` array<struct<first:int,last:int>>"
+    return cleaned(joined, text, places, out)
 
-def cleaned(joined: DataFrame, text: str, out: str) -> DataFrame:
-    from pyspark.sql.types import StructType
 
+def cleaned(joined: DataFrame, text: str, places: str, out: str) -> DataFrame:
     added = StructType.fromDDL(out)
     names = [f.name for f in added]
-    schema = StructType([f for f in joined.schema if f.name not in names] + list(added))
-    others = [f.name for f in joined.schema if f.name not in names]
+    others = [f for f in joined.schema if f.name not in names]
+    schema = StructType(others + list(added))
     arrow = arrow_schema(schema)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            spans = batch.column(batch.schema.get_field_index("_spans")).to_pylist()
+            texts, spans = batch.column(text).to_pylist(), batch.column(places).to_pylist()
             done = [cut(t, s) for t, s in zip(texts, spans, strict=True)]
             made = list(zip(*done, strict=True)) or [()] * len(names)
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in others]
+            columns = [batch.column(f.name) for f in others]
             for values, name in zip(made, names, strict=True):
                 columns.append(pa.array(values, arrow.field(name).type))
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
@@ -237,8 +239,8 @@ def cut(text: str | None, spans: list[dict] | None) -> tuple[str | None, int, in
 def deduplicated(docs: DataFrame) -> DataFrame:
     """Rows with their repeats cut out; a row all of whose lines went is gone."""
     done = remove_repeats(docs)
-    left = (F.col("_removed") == 0) | (F.col("_removed") < F.col("_lines"))
-    return done.filter(left).select(*docs.columns)
+    lines, removed, _ = map(F.col, free(docs, *ADDED))
+    return done.filter((removed == 0) | (removed < lines)).select(*docs.columns)
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tagloom.llm.words import arrow_schema, split_words
+from tagloom.llm.words import arrow_schema, free, split_words
 from tagloom.operators.staging import stage
 
 WEIGHTS = (3, 1, 2)
@@ -46,7 +46,9 @@ def sized(docs: DataFrame, id_column: str, source: str, text: str) -> DataFrame:
             columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    chosen = docs.select(F.col(id_column).cast("long"), F.col(source).cast("string"), F.col(text))
+    chosen = docs.select(
+        F.col(id_column).cast("long").alias("i"), F.col(source).cast("string").alias("s"), F.col(text).alias("t")
+    )
     return chosen.mapInArrow(run, kind)
 
 
@@ -181,12 +183,16 @@ def mixed(sizes: DataFrame) -> DataFrame:
 def sampled(docs: DataFrame) -> DataFrame:
     """The documents as the mix takes them: repeated, once, or not at all."""
     sizes = stage(sized(docs, "doc_id", "source", "text"))
-    plan = stage(mixed(sizes).select("doc_id", "source", F.col("copies").alias("_copies")).alias("p"))
-    per_id = plan.groupBy("doc_id", "source").agg(F.max("_copies").alias("_copies"))
-    d = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_source": F.col("source").cast("string")})
-    same = d["_id"].eqNullSafe(per_id["doc_id"]) & d["_source"].eqNullSafe(per_id["source"])
-    taken = d.join(per_id, same).filter("_copies > 0").select(*[d[c] for c in docs.columns], "_copies")
-    again = F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")
+    key, origin, copies, copy = free(docs, "_id", "_source", "_copies", "_copy")
+    # Rows that share id and source but not their size are taken alike.
+    per_id = stage(
+        mixed(sizes).groupBy(F.col("doc_id").alias("id"), F.col("source").alias("of"))
+        .agg(F.max("copies").alias(copies))
+    )
+    d = docs.withColumns({key: F.col("doc_id").cast("long"), origin: F.col("source").cast("string")})
+    same = d[key].eqNullSafe(per_id["id"]) & d[origin].eqNullSafe(per_id["of"])
+    taken = d.join(per_id, same).filter(F.col(copies) > 0).select(*[d[c] for c in docs.columns], copies)
+    again = F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy)
     return taken.select(*docs.columns, again).select(*docs.columns)
 
 

@@ -14,17 +14,18 @@ a task compares two bounded blocks and passes on a spanning forest.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tagloom.llm.components import connected_components, own_exchange
-from tagloom.llm.words import WordHashes, arrow_schema, mixed, rolled, split_words
+from tagloom.llm.words import WordHashes, arrow_schema, free, mixed, rolled, split_words
 from tagloom.operators.staging import stage
 
 SHINGLE = 5
@@ -106,8 +107,6 @@ def described(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     arrow = arrow_schema(StructType.fromDDL(kind))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         hashes = WordHashes()
         for batch in source:
             rows = []
@@ -123,7 +122,7 @@ def described(docs: DataFrame, id_column: str, text: str) -> DataFrame:
                 [pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow
             )
 
-    return docs.select(F.col(id_column).cast("long"), F.col(text)).mapInArrow(run, kind)
+    return docs.select(F.col(id_column).cast("long").alias("i"), F.col(text).alias("t")).mapInArrow(run, kind)
 
 
 def meeting_places(reps: DataFrame) -> DataFrame:
@@ -190,8 +189,6 @@ EDGES = "a long, b long"
 def signature_links(reps: DataFrame) -> DataFrame:
     """A spanning forest, per meeting place, of pairs within the distance."""
     arrow = arrow_schema(StructType.fromDDL(EDGES))
-    from pyspark.sql import Window
-
     places = meeting_places(reps)
     shared = places.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
     cells = in_blocks(shared.join(reps.select("id", "sign"), "id"), "key", "n", BUCKET_BLOCK)
@@ -312,8 +309,9 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> D
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their own columns."""
-    gone = classes(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    name = free(docs, "_gone")[0]
+    gone = classes(docs).filter("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:

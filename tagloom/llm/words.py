@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,17 @@ def native_words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS), "")
 
 
+def free(frame: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until no column is called so."""
+    taken, out = {c.lower() for c in frame.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as ''."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(modulus))
@@ -72,24 +83,6 @@ def crc_of_id(doc_id: int | None) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
 
 
-def batches(frame: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInArrow`` over record batches; ``function`` maps one table to one
-    or several dictionaries of columns."""
-    from pyspark.sql.types import StructType
-
-    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    arrow = arrow_schema(kind)
-
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            for columns in function(batch):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[f.name], f.type) for f in arrow], schema=arrow
-                )
-
-    return frame.mapInArrow(run, kind)
-
-
 def arrow_schema(kind) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
