@@ -65,7 +65,7 @@ def _evaluate(spark: SparkSession, args: argparse.Namespace) -> None:
     predictor = predict.Predictor.load(spark, args.checkpoint, args.threshold)
     rows = jsonl.read_labelled(spark, args.input, schemas.RECORD)
     if args.max_samples:
-        # Records from elsewhere have no `ord`; their file position serves.
+        # Records from elsewhere have no `ord`; their place in the scan serves.
         place = F.coalesce("ord", F.monotonically_increasing_id())
         rows = first_rows(rows.withColumn("ord", place), args.max_samples)
     if rows.isEmpty():
@@ -110,9 +110,13 @@ def _predict(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def _inventory(spark: SparkSession, args: argparse.Namespace) -> None:
-    inventory.folder_sizes(spark, args.raw_dir).orderBy("folder").show(1000, truncate=False)
+    tables = [inventory.folder_sizes(spark, args.raw_dir)]
     if args.models:
-        inventory.model_folders(spark, args.models).orderBy("folder").show(1000, truncate=False)
+        tables.append(inventory.model_folders(spark, args.models))
+    for table in tables:
+        print("\t".join(table.columns))
+        for row in table.orderBy("folder").toLocalIterator():
+            print("\t".join(map(str, row)))
 
 
 def _sources(spark: SparkSession, args: argparse.Namespace) -> None:

@@ -69,7 +69,22 @@ def rank_of(probs: Column, class_id: Column) -> Column:
 
 
 def negative_log_likelihood(probs: Column, class_id: Column) -> Column:
-    return -F.log(F.greatest(F.get(probs, class_id), F.lit(LOG_FLOOR)))
+    """Of a probability, which has a floor as its logit was lost on the way;
+    :func:`logits_loss` has none. A class outside the vector is an error."""
+    return -F.log(F.greatest(_at(probs, class_id), F.lit(LOG_FLOOR)))
+
+
+def logits_loss(logits: Column, class_id: Column) -> Column:
+    """Negative log-likelihood of a class from scores, by log-sum-exp, so that
+    scores far apart keep their loss."""
+    top = F.array_max(logits)
+    shifted = bind(top, lambda m: F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - m)))
+    return top + F.log(shifted) - _at(logits, class_id)
+
+
+def _at(values: Column, class_id: Column) -> Column:
+    missing = F.raise_error(F.concat(F.lit("no class "), F.coalesce(class_id.cast("string"), F.lit("null"))))
+    return F.coalesce(F.get(values, class_id), missing.cast("double"))
 
 
 def cls_pooling(hidden: Column) -> Column:

@@ -54,7 +54,11 @@ def balanced_sample(
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
     # Class ids are dense and few; this is the per-class table, not the data.
     slots = sizes.withColumn("_slot", F.row_number().over(Window.orderBy(label)) - 1)
-    shape = slots.agg(F.sum("_size").alias("n"), F.count(F.lit(1)).alias("c")).first()
+    shape = slots.agg(
+        F.sum("_size").alias("n"), F.count(F.lit(1)).alias("c"), F.count_if(F.col(label).isNull()).alias("unknown")
+    ).first()
+    if shape["unknown"]:
+        raise ValueError(f"{label} is null in some rows; balanced draws need a class for each")
     if not shape["n"]:
         empty = df.limit(0)
         return empty if expand else empty.withColumn("draws", F.lit(0).cast("long"))

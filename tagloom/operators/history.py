@@ -23,18 +23,20 @@ def track_best(
     before = run.rowsBetween(Window.unboundedPreceding, -1)
     # Fixed value: the score to beat in the first epoch.
     start = F.lit(-1.0)
-    previous = F.greatest(F.coalesce(F.max(score).over(before), start), start)
+    # A null or NaN score is no improvement and never one to beat.
+    value = F.when(~F.isnan(score), F.col(score))
+    previous = F.greatest(F.coalesce(F.max(value).over(before), start), start)
     limit = max(patience, 1)
     return (
         history.withColumn("_step", F.row_number().over(run))
-        .withColumn("improved", F.col(score) > previous)
+        .withColumn("improved", F.coalesce(value > previous, F.lit(False)))
         .withColumn("_gain", F.when(F.col("improved"), F.col("_step")))
         .withColumn("stale", F.col("_step") - F.coalesce(F.max("_gain").over(so_far), F.lit(0)))
         .withColumn(
             "best_epoch",
             F.coalesce(F.max(F.when(F.col("improved"), F.col(epoch))).over(so_far), F.lit(-1)),
         )
-        .withColumn("best_score", F.greatest(F.max(score).over(so_far), start))
+        .withColumn("best_score", F.greatest(F.max(value).over(so_far), start))
         .withColumn(
             "_stops", F.max((F.col("stale") >= limit).cast("int")).over(before)
         )

@@ -114,8 +114,10 @@ def class_report(cell_table: DataFrame, dictionary: DataFrame) -> DataFrame:
 def full_report(cell_table: DataFrame, dictionary: DataFrame) -> DataFrame:
     """The class report followed by accuracy, macro and weighted averages.
 
-    Accuracy is over all rows, the averages over the dictionary's classes. The
-    confusion matrix is staged: it is small, and the rows behind it are not.
+    The averages are over the dictionary's classes. Where these leave out a
+    class that was seen, a micro average over the listed ones stands in place
+    of the accuracy over all rows. The confusion matrix is staged: it is small,
+    and the rows behind it are not.
     """
     staged = stage(cell_table)
     report = class_report(staged, dictionary).select("name", "precision", "recall", "f1", "support")
@@ -136,6 +138,17 @@ def full_report(cell_table: DataFrame, dictionary: DataFrame) -> DataFrame:
         "f1",
         "support",
     )
+    seen = per_class(staged)
+    listed = dictionary.select(F.col("id").alias("class_id"))
+    if not seen.join(listed, "class_id", "left_anti").isEmpty():
+        tp, predicted, support = F.sum("tp"), F.sum("predicted"), F.sum("support")
+        accuracy = seen.join(listed, "class_id", "left_semi").agg(
+            F.lit("micro avg").alias("name"),
+            rates.ratio(tp, predicted).alias("precision"),
+            rates.ratio(tp, support).alias("recall"),
+            rates.ratio(2 * tp, predicted + support).alias("f1"),
+            F.coalesce(support, F.lit(0)).alias("support"),
+        )
     return (
         report.unionByName(accuracy)
         .unionByName(averaged("macro avg", lambda c: F.avg(c)))
@@ -174,14 +187,18 @@ def gold_agreement(df: DataFrame, predicted: str, gold: str) -> DataFrame:
 
 
 def cross_entropy(
-    df: DataFrame, truth: str, probs: str, weights: DataFrame | None = None
+    df: DataFrame,
+    truth: str,
+    probs: str,
+    weights: DataFrame | None = None,
+    from_logits: bool = False,
 ) -> DataFrame:
-    """``loss``: mean negative log-likelihood; with class ``weights``
-    (``class_id, weight``) the mean is weighted and divided by the weights."""
+    """``loss``: mean negative log-likelihood of probabilities or logits; with
+    class ``weights`` (``class_id, weight``) the mean is weighted and divided
+    by the weights. A null label or one outside the vector is an error."""
     y = F.col(truth).cast("int")
-    per_row = df.select(
-        y.alias("class_id"), vectors.negative_log_likelihood(F.col(probs), y).alias("_nll")
-    )
+    loss = vectors.logits_loss if from_logits else vectors.negative_log_likelihood
+    per_row = df.select(y.alias("class_id"), loss(F.col(probs), y).alias("_nll"))
     per_label = per_row.groupBy("class_id").agg(
         F.sum("_nll").alias("_nll"), F.count(F.lit(1)).alias("_n")
     )

@@ -51,12 +51,14 @@ def ranked(
     by: Sequence[str] = (),
     name: str = "rank",
 ) -> DataFrame:
-    """Add the 1-based position along ``order``, per non-null ``by`` value.
+    """Add the 1-based position along ``order``, per non-null ``by`` value. A
+    row whose order is null is an error.
 
     The join with the bucket sizes reuses the partitioning of the window, so
     the rows are shuffled once.
     """
-    keyed = df.withColumn("_bucket", bucket)
+    known = F.when(bucket.isNull(), F.raise_error("a row without a place in the order")).otherwise(bucket)
+    keyed = df.withColumn("_bucket", known)
     sizes = keyed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     inside = Window.partitionBy(*by, "_bucket").orderBy(*order)
     return (

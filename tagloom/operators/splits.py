@@ -113,7 +113,9 @@ def shuffle_split(
     numbered = ranked(seen, [F.col("_first")], ord_bucket(F.col("_first")), name="_rank")
     by_group = numbered.join(placed, "_rank").select(group, "_place", "split")
     extra = [F.col("_place").alias(place)] if place else []
-    return df.join(by_group, group).select(*df.columns, "split", *extra)
+    by_group = by_group.withColumnRenamed(group, "_of")
+    same = F.col(group).eqNullSafe(F.col("_of"))
+    return df.join(by_group, same).select(*[df[c] for c in df.columns], "split", *extra)
 
 
 def shuffle_sample(

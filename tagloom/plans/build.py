@@ -91,6 +91,8 @@ def split_task(
     rows, for one split shared by both tasks."""
     data, seed = settings["data"], settings["seed"]
     shares = {"train": data["train_ratio"], "val": data["val_ratio"]}
+    if like_shuffle and groups_of is not None:
+        raise ValueError("a shared split cannot also follow a list shuffle; choose one")
     if like_shuffle:
         assigned = splits.shuffle_split(encoded, seed=seed, **shares, place="place")
     else:

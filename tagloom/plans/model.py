@@ -33,7 +33,9 @@ def weigh_rows(rows: DataFrame, num_labels: int) -> DataFrame:
     )
     if num_labels <= BROADCAST_CLASSES:
         weights = F.broadcast(weights)
-    return rows.join(weights, "label")
+    weighed = rows.join(weights, "label", "left")
+    missing = F.raise_error(F.lit("a label is null or outside the classes")).cast("double")
+    return weighed.withColumn("weight", F.coalesce("weight", missing))
 
 
 def balance_rows(rows: DataFrame, settings: Mapping[str, Any], num_labels: int) -> DataFrame:

@@ -106,5 +106,8 @@ def predict_file(
 
 
 def predict_one(predictor: Predictor, score: ScoreRows, rows: DataFrame) -> dict[str, Any]:
-    """The prediction for a single-row input, as a dict."""
-    return predictor.shape(score(predictor.prepare(rows))).select("pred").first()["pred"].asDict(recursive=True)
+    """The prediction for a single-row input, as a dict; more rows are an error."""
+    found = predictor.shape(score(predictor.prepare(rows.limit(2)))).select("pred").collect()
+    if len(found) != 1:
+        raise ValueError("expected one text; put several into a JSON Lines file and use --input")
+    return found[0]["pred"].asDict(recursive=True)

@@ -403,7 +403,9 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 SELECT name, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support FROM (
     SELECT name, precision, recall, f1, support FROM ({_REPORT})
-    UNION ALL SELECT 'accuracy', NULL, NULL, avg(CAST(y = pred AS INTEGER)), count(*) FROM ({_PREDICTED})
+    UNION ALL SELECT 'micro avg', tp / p, tp / s, 2 * tp / (p + s), s FROM (
+        SELECT CAST(count(*) FILTER (WHERE y = pred AND y < 9) AS DOUBLE) AS tp, count(*) FILTER (WHERE pred < 9) AS p,
+               count(*) FILTER (WHERE y < 9) AS s FROM ({_PREDICTED}))
     UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM ({_REPORT})
     UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
                      sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM ({_REPORT}))""")
@@ -431,6 +433,34 @@ def cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""
+SELECT round(avg(m + ln(list_sum(list_transform(z, lambda x: exp(x - m)))) - z[label + 1]), 6) AS loss
+FROM (SELECT label, z, list_max(z) AS m FROM (
+    SELECT label, list_transform(embedding, lambda x: 1000 * CAST(x AS DOUBLE)) AS z FROM embeddings))""")
+def logit_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss of whole vectors read as logits, scaled so that they lie far apart."""
+    wide = F.transform(F.col("embedding").cast("array<double>"), lambda x: x * 1000)
+    rows = table(spark, sf_dir, "embeddings").select("label", wide.alias("logits"))
+    return multiclass.cross_entropy(rows, "label", "logits", from_logits=True).select(
+        F.round("loss", 6).alias("loss")
+    )
+
+
+@query(f"""
+SELECT name, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support FROM (
+    WITH r AS (SELECT 'class ' || class_id AS name, precision, recall, f1, support FROM ({_CLASS_RATES}) WHERE class_id < 10)
+    SELECT name, precision, recall, f1, support FROM r
+    UNION ALL SELECT 'accuracy', NULL, NULL, avg(CAST(y = pred AS INTEGER)), count(*) FROM ({_PREDICTED})
+    UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM r
+    UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+                     sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM r)""")
+def classification_report_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report where every class seen is named: accuracy over all rows."""
+    cells = multiclass.cells(class_scores(spark, sf_dir), "y", "probs")
+    names = documents.dictionary(spark, [f"class {i}" for i in range(NUM_CLASSES)])
+    return _rounded(multiclass.full_report(cells, names), "precision", "recall", "f1")
+
+
 # ---- Predictions --------------------------------------------------------
 
 

@@ -122,7 +122,7 @@ def baseline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     split = stage(splits.fit_group_split(rows).assign(rows))
     fitted = model.fit_baseline(
-        split.filter(F.col("split") == "train"), load_settings(), 2, features=1 << 14, iterations=10
+        split.filter(F.col("split") == "train"), load_settings(), 2
     )
     path = scratch_dir(spark)
     fitted.save(f"{path}/model")
