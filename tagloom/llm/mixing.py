@@ -30,7 +30,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_COPIES = 2
 # Documents rounded together; a larger source is dealt over several shards.
-SHARD = 20_000
+SHARD = 2_000
 STEPS = 60
 EXACT = "decimal(38,6)"
 
