@@ -9,11 +9,14 @@ segment tree over the remaining capacity finds that window.
 from __future__ import annotations
 
 import os
-import re
+import sys
 from collections.abc import Iterator, Sequence
+from itertools import pairwise
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,21 +30,20 @@ TOKENIZER = "word_bpe_49k.json"
 # Text of one shard; a task holds the ids of its shard.
 SHARD_BYTES = 8 << 20
 # Words remembered per worker, and the longest that is.
-MOST_WORDS, LONGEST_WORD = 1_000_000, 64
-# Where marks at the end of a word begin. Apostrophes stay: they may belong to
-# the letters after them.
-MARKS = re.compile(rb"(?<=[a-z0-9])(?=[.,;:!?#*$%&]+(?:[ \t-\r]|\Z))")
-_ENCODERS: dict[str, Encoder] = {}
+MOST_WORDS, LONGEST_WORD = 600_000, 64
+# A letter or digit, the marks that end its word, and what ends the word.
+MARKS = r"([a-z0-9])([.,;:!?#*$%&]+)([ \t-\r]|\z)"
 
 
 class Encoder:
-    """Ids of a text as little-endian unsigned 32-bit numbers.
+    """Ids of texts as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its words; words recur, so they are remembered. It also folds
-    case and starts anew where a letter or digit meets sentence marks, so texts
-    that hold no control string are folded and cut there first: fewer words
-    are new.
+    are those of its words; words recur, so they are remembered, and Arrow
+    finds the distinct ones of a batch. The tokenizer also folds case and
+    starts anew where a letter or digit meets sentence marks (apostrophes are
+    none: they may belong to the letters after them), so texts that hold no
+    control string are folded and cut there first: fewer words are new.
     """
 
     def __init__(self, path: str):
@@ -49,35 +51,59 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    def encode(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def __call__(self, text: str | None) -> bytes:
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        if b"<|" not in raw:
-            raw = MARKS.sub(b" ", raw.lower())
-        words = raw.split()
-        missing = [w for w in set(words) if w not in self.known]
-        if missing:
-            if len(self.known) + len(missing) > MOST_WORDS:
-                self.known.clear()
-                missing = list(set(words))
-            self.known.update(zip(missing, self.encode(missing), strict=True))
-        ids = b"".join(map(self.known.__getitem__, words))
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """Of distinct words."""
+        missing = [w for w in words if w not in self.known]
+        if len(self.known) + len(missing) > MOST_WORDS:
+            self.known.clear()
+            missing = words
+        self.known.update(zip(missing, self.encode(missing), strict=True))
+        ids = [self.known[w] for w in words]
         for w in missing:
             if len(w) > LONGEST_WORD:
                 del self.known[w]
         return ids
 
+    def __call__(self, text: str | None) -> bytes:
+        return self.batch(pa.array([text], pa.string()))[0].tobytes()
+
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        # Large offsets: splitting must not overflow on very long texts.
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        # Copied, as Arrow's lower-casing misplaces the texts of a slice.
+        texts = texts.take(pa.array(np.arange(len(texts))))
+        folded = pc.replace_substring_regex(pc.ascii_lower(texts), MARKS, r"\1 \2\3")
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, folded)
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        ids = self.ids_of(coded.dictionary.to_pylist())
+        sizes = np.fromiter((len(i) // 4 for i in ids), np.int64, len(ids))
+        word = coded.indices.to_numpy()
+        taken = sizes[word]
+        ends = np.cumsum(taken)
+        # Place of each id among those of the distinct words.
+        shift = (np.cumsum(sizes) - sizes)[word] - (ends - taken)
+        at = np.repeat(shift, taken)
+        at += np.arange(len(at))
+        flat = np.frombuffer(b"".join(ids), "<u4")[at]
+        last = np.cumsum(words.value_lengths().to_numpy())
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], last])]
+        return [flat[low:high] for low, high in pairwise(cuts.tolist())]
+
 
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """One per Python worker. Code sent by value brings its own globals with
+    every task, so it is kept in a module that stays."""
+    kept = sys.modules.setdefault("_tagloom_worker", ModuleType("_tagloom_worker")).__dict__
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 class OpenWindows:
@@ -150,15 +176,15 @@ def packed(
     arrow = arrow_schema(StructType.fromDDL(PIECES))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer), np.array([END_ID], "<u4").tobytes()
+        encode, end = encoder(tokenizer).batch, np.array([END_ID], "<u4")
         shard = TaskContext.get().partitionId()
         pieces: list[list] = []
         for batch in source:
-            for doc_id, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = encode(value) + end
-                n = len(ids) // 4
+            for doc_id, own in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                ids = np.concatenate([own, end])
+                n = len(ids)
                 for start in range(0, n, window):
-                    part = ids[4 * start : 4 * (start + window)]
+                    part = ids[start : start + window].tobytes()
                     pieces.append([doc_id, start, len(part) // 4, part, n])
         places = best_fit([p[2] for p in pieces], window)
         for low in range(0, len(pieces), 2000):

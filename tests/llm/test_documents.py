@@ -297,6 +297,20 @@ def test_words_encode_as_the_whole_text(text):
     assert ids == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_a_batch_encodes_as_its_texts():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tokenizer, encode = Tokenizer.from_file(packing.tokenizer_path()), packing.Encoder(packing.tokenizer_path())
+    parts = ["a", "Z", "É", "×", "ß", "3", "²", "Σ", "'s", "’", ".", ",", "!?", "<|endoftext|>", "<|", " ", "\n", "\x85", "é"]
+    rng = random.Random(5)
+    texts = [None, "", " "] + ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(500)]
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [i.tolist() for i in encode.batch(pa.array(texts))] == want
+    assert [i.tolist() for i in encode.batch(pa.array(texts)[200:])] == want[200:]
+    assert encode.batch(pa.array([], pa.string())) == []
+
+
 def test_best_fit_takes_the_tightest_window():
     rng = random.Random(3)
     lengths = [rng.randint(1, 100) for _ in range(500)]
