@@ -3,12 +3,12 @@
 from pyspark import cloudpickle
 
 import tagloom
-from tagloom.queries import corpus, evaluation, inputs, records, runs, text
+from tagloom.queries import corpus, evaluation, inputs, jobs, records, runs, text
 from tagloom.queries.registry import oracles, registered
 
 # Workers may not have the package on their path, so its code is sent along.
 cloudpickle.register_pickle_by_value(tagloom)
 
 __all__ = [
-    "corpus", "evaluation", "inputs", "oracles", "records", "registered", "runs", "text",
+    "corpus", "evaluation", "inputs", "jobs", "oracles", "records", "registered", "runs", "text",
 ]

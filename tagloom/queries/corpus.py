@@ -95,15 +95,20 @@ def fan_out_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- Deduplicated samples -----------------------------------------------
 
-_DISTINCT_SAMPLES = f"""
+
+def sql_distinct_samples(source: str) -> str:
+    return f"""
     SELECT * EXCLUDE (rn) FROM (
         SELECT *, row_number() OVER (PARTITION BY code_hash ORDER BY ord) AS rn
         FROM (SELECT *, md5(code) AS code_hash FROM (
             SELECT * EXCLUDE (code), {sql_truncate('code', MAX_CHARS, 4800)} AS code
-            FROM ({_sql_samples(_DOC_FIXES, "docs")}) WHERE length(code) >= {MIN_CHARS})))
+            FROM ({_sql_samples(_DOC_FIXES, source)}) WHERE length(code) >= {MIN_CHARS})))
     WHERE rn = 1"""
 
 
+_DISTINCT_SAMPLES = sql_distinct_samples("docs")
+
+
 def distinct_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = corpus.fan_out_pairs(document_fixes(spark, sf_dir), "docs")
     cut = samples.filter(corpus.long_enough(MIN_CHARS)).withColumn(
@@ -254,7 +259,7 @@ def split_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.groupBy("split", "lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-_DOC_CLASSES = """
+SQL_CLASSES = """
     SELECT CAST(row_number() OVER (ORDER BY n DESC, first_ord) - 1 AS INTEGER) AS id, name
     FROM (SELECT cwe AS name, count(*) AS n, min(ord) AS first_ord FROM pool GROUP BY cwe)
     WHERE n >= 30 ORDER BY n DESC, first_ord LIMIT 40"""
@@ -262,7 +267,7 @@ _DOC_CLASSES = """
 
 @query(f"""
 WITH pool AS (SELECT * FROM ({_DISTINCT_SAMPLES}) WHERE label = 1 AND cwe <> ''),
-classes AS ({_DOC_CLASSES}),
+classes AS ({SQL_CLASSES}),
 assigned AS ({sql_split('pool', 'group_id')})
 SELECT split, coalesce(c.id, (SELECT CAST(count(*) AS INTEGER) FROM classes)) AS label, count(*) AS n
 FROM pool JOIN assigned USING (group_id) LEFT JOIN classes c ON cwe = c.name

@@ -65,7 +65,7 @@ def doc_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_DOCS = """
+SQL_DOC_SCORES = """
     SELECT doc_id, CASE WHEN left(md5(CAST(doc_id AS VARCHAR)), 1) < '8' THEN 'val' ELSE 'test' END AS split,
            quality AS y, n_chars / (n_chars + CAST(1000.0 AS DOUBLE)) AS score
     FROM labels JOIN documents USING (doc_id)"""
@@ -231,7 +231,7 @@ def binary_metrics_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics, *RATES, *AREAS)
 
 
-@query(_sql_areas(_DOCS, "split"))
+@query(_sql_areas(SQL_DOC_SCORES, "split"))
 def curve_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ROC-AUC and average precision where many scores are tied."""
     return _rounded(binary.curve_areas(doc_scores(spark, sf_dir), "y", "score", by=["split"]), *AREAS)
@@ -241,7 +241,7 @@ def curve_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT score, sum(y) AS pos, sum(1 - y) AS neg,
        CAST(sum(sum(y)) OVER (ORDER BY score DESC) AS BIGINT) AS tp,
        CAST(sum(sum(1 - y)) OVER (ORDER BY score DESC) AS BIGINT) AS fp
-FROM ({_DOCS}) GROUP BY score""".replace("sum(y) AS pos", "CAST(sum(y) AS BIGINT) AS pos").replace(
+FROM ({SQL_DOC_SCORES}) GROUP BY score""".replace("sum(y) AS pos", "CAST(sum(y) AS BIGINT) AS pos").replace(
     "sum(1 - y) AS neg", "CAST(sum(1 - y) AS BIGINT) AS neg"))
 def cumulative_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     curve = binary.cumulative_counts(doc_scores(spark, sf_dir), "y", "score")
@@ -251,7 +251,7 @@ def cumulative_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 SELECT split, count(*) AS n, count(*) FILTER (y = 1) AS positives,
        round(avg(CAST(y = 1 AS INTEGER)), 9) AS positive_rate
-FROM ({_DOCS}) GROUP BY split""")
+FROM ({SQL_DOC_SCORES}) GROUP BY split""")
 def positive_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(binary.positive_rate(doc_scores(spark, sf_dir), "y", by=["split"]), "positive_rate")
 
@@ -297,7 +297,7 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(swept, *_SWEPT)
 
 
-@query(f"SELECT split, {_SQL_SWEPT}, tn, fp, fn, tp FROM ({_sql_sweep(_DOCS, _FINE_GRID, 'split')})")
+@query(f"SELECT split, {_SQL_SWEPT}, tn, fp, fn, tp FROM ({_sql_sweep(SQL_DOC_SCORES, _FINE_GRID, 'split')})")
 def threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 198 thresholds of the fine grid in one pass."""
     swept = thresholds.sweep(doc_scores(spark, sf_dir), "y", "score", thresholds.fine_grid(), ["split"])
@@ -312,7 +312,10 @@ def _sql_best(source: str, by: str, target: float) -> str:
     WHERE rn = 1"""
 
 
-@query(f"SELECT split, {_SQL_SWEPT}, tn, fp, fn, tp FROM ({_sql_best(_DOCS, 'split', 0.9)})")
+SQL_TUNED = _sql_best(SQL_DOC_SCORES, "split", 0.9)
+
+
+@query(f"SELECT split, {_SQL_SWEPT}, tn, fp, fn, tp FROM ({SQL_TUNED})")
 def best_for_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     swept = thresholds.sweep(doc_scores(spark, sf_dir), "y", "score", thresholds.fine_grid(), ["split"])
     return _rounded(thresholds.best_for_recall(swept, 0.9, ["split"]), *_SWEPT)
@@ -323,8 +326,8 @@ SELECT round(b.threshold, 9) AS threshold, round(b.recall, 9) AS recall, round(b
        round(b.f1, 9) AS f1, b.fn, b.fp, round(o.recall, 9) AS check_recall, round(o.precision, 9) AS check_precision,
        round(o.f1, 9) AS check_f1, o.fn AS check_fn, o.fp AS check_fp,
        round(abs(o.recall - b.recall), 9) AS recall_gap, abs(o.recall - b.recall) <= 0.03 AS transfers
-FROM ({_sql_best(_DOCS, 'split', 0.9)}) b
-LEFT JOIN ({_sql_sweep(_DOCS, _FINE_GRID, 'split')}) o ON o.threshold = b.threshold AND o.split = 'test'
+FROM ({_sql_best(SQL_DOC_SCORES, 'split', 0.9)}) b
+LEFT JOIN ({_sql_sweep(SQL_DOC_SCORES, _FINE_GRID, 'split')}) o ON o.threshold = b.threshold AND o.split = 'test'
 WHERE b.split = 'val'""")
 def threshold_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A threshold tuned on one split, checked on the other."""

@@ -14,7 +14,7 @@ from tagloom.schemas import LABELLED_INPUT
 from tagloom.settings import load_settings
 from tagloom.sources import jsonl
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, labelled where a label exists."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     known = table(spark, sf_dir, "labels").select("doc_id", "quality")
@@ -25,42 +25,42 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_RECORDS = """
+SQL_RECORDS = """
     SELECT 'doc-' || doc_id AS id, text AS code, quality AS label FROM documents LEFT JOIN labels USING (doc_id)"""
 
 
-@query(f"SELECT id, md5(code) AS code_hash, label FROM ({_RECORDS})")
+@query(f"SELECT id, md5(code) AS code_hash, label FROM ({SQL_RECORDS})")
 def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written as JSON Lines, read back strictly."""
     path = scratch_dir(spark)
-    jsonl.write_jsonl(_records(spark, sf_dir), path)
+    jsonl.write_jsonl(labelled_documents(spark, sf_dir), path)
     back = jsonl.read_strict(spark, path, LABELLED_INPUT)
     return back.select("id", F.md5("code").alias("code_hash"), "label")
 
 
-@query(f"SELECT id, CAST(length(code) AS INTEGER) AS n_code, label FROM ({_RECORDS})")
+@query(f"SELECT id, CAST(length(code) AS INTEGER) AS n_code, label FROM ({SQL_RECORDS})")
 def jsonl_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record followed by a broken copy and a blank line: only the
     whole records come back."""
     path = scratch_dir(spark)
     line = F.to_json(F.struct("id", "code", "label"))
     lines = F.array(line, F.substring(line, F.lit(1), F.length(line) - 1), F.lit(""))
-    _records(spark, sf_dir).select(F.explode(lines).alias("value")).write.text(path)
+    labelled_documents(spark, sf_dir).select(F.explode(lines).alias("value")).write.text(path)
     back = jsonl.read_lenient(spark, path, LABELLED_INPUT)
     return back.select("id", F.length("code").alias("n_code"), "label")
 
 
-@query(f"SELECT id, md5(code) AS code_hash, label FROM ({_RECORDS}) WHERE label IS NOT NULL")
+@query(f"SELECT id, md5(code) AS code_hash, label FROM ({SQL_RECORDS}) WHERE label IS NOT NULL")
 def labelled_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows without a label are left out on reading."""
     path = scratch_dir(spark)
-    jsonl.write_jsonl(_records(spark, sf_dir), path)
+    jsonl.write_jsonl(labelled_documents(spark, sf_dir), path)
     return jsonl.read_labelled(spark, path).select("id", F.md5("code").alias("code_hash"), "label")
 
 
-@query(f"SELECT id, label FROM ({_RECORDS}) WHERE label IS NOT NULL")
+@query(f"SELECT id, label FROM ({SQL_RECORDS}) WHERE label IS NOT NULL")
 def missing_label_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.labelled_only(_records(spark, sf_dir)).select("id", "label")
+    return corpus.labelled_only(labelled_documents(spark, sf_dir)).select("id", "label")
 
 
 @query(f"""
