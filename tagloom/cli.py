@@ -6,7 +6,7 @@ import argparse
 import logging
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom import schemas
@@ -61,6 +61,12 @@ def _train(spark: SparkSession, args: argparse.Namespace) -> None:
         print(f"[{split}] {rate_line(results[split])}")
 
 
+def _print_rows(rows: DataFrame, order: str) -> None:
+    print(*rows.columns, sep="\t")
+    for row in rows.orderBy(order).toLocalIterator():
+        print(*row, sep="\t")
+
+
 def _evaluate(spark: SparkSession, args: argparse.Namespace) -> None:
     predictor = predict.Predictor.load(spark, args.checkpoint, args.threshold)
     rows = jsonl.read_labelled(spark, args.input, schemas.RECORD)
@@ -74,10 +80,10 @@ def _evaluate(spark: SparkSession, args: argparse.Namespace) -> None:
     scored = stage(score(predictor.prepare(rows)).drop("code"))
     if predictor.task == "detection":
         metrics = evaluate.detection_metrics(scored, predictor.threshold)
-        print(evaluate.confusion_text(metrics))
-        print(f"threshold = {predictor.threshold:.3f}")
+        for item in metrics.items():
+            print(*item, sep="\t")
         if args.sweep:
-            print(evaluate.sweep_text(thresholds.sweep(evaluate.positive_scores(scored), "y", "score")))
+            _print_rows(thresholds.sweep(evaluate.positive_scores(scored), "y", "score"), "threshold")
         return
     print(rate_line(evaluate.class_metrics(scored, len(predictor.names))))
     print(evaluate.report_text(scored, predictor.names))
@@ -85,7 +91,7 @@ def _evaluate(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def _tune(spark: SparkSession, args: argparse.Namespace) -> None:
     best, table = evaluate.tune(train.run_scores(spark, args.run), args.split, args.target_recall)
-    print(evaluate.sweep_text(table))
+    _print_rows(table, "threshold")
     if best is None:
         print(f"no threshold reaches recall {args.target_recall:.0%} on {args.split}")
         return
@@ -114,9 +120,7 @@ def _inventory(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.models:
         tables.append(inventory.model_folders(spark, args.models))
     for table in tables:
-        print("\t".join(table.columns))
-        for row in table.orderBy("folder").toLocalIterator():
-            print("\t".join(map(str, row)))
+        _print_rows(table, "folder")
 
 
 def _sources(spark: SparkSession, args: argparse.Namespace) -> None:

@@ -8,6 +8,7 @@ claim to the network's quality; it lets every step around it run on Spark.
 from __future__ import annotations
 
 import importlib
+import inspect
 from collections.abc import Callable, Mapping
 from typing import Any
 
@@ -18,8 +19,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom import settings as config
 from tagloom.operators import balance, scoring
 from tagloom.operators.labels import BROADCAST_CLASSES
+from tagloom.sources import documents
 
 ScoreRows = Callable[[DataFrame], DataFrame]
 
@@ -89,12 +92,31 @@ def baseline_scores(model: PipelineModel) -> ScoreRows:
     return score
 
 
-def plugged_scores(entry_point: str, batch_size: int = 16) -> ScoreRows:
-    """A scorer named ``package.module:factory``; see :class:`scoring.Scorer`."""
+def run_settings(spark: SparkSession, checkpoint: str) -> dict[str, Any] | None:
+    """What the run that made a checkpoint was set to; None if it left no file."""
+    path = f"{checkpoint.rstrip('/').rpartition('/')[0]}/config.yaml"
+    return config.parse(documents.read_text(spark, path)) if documents.exists(spark, path) else None
+
+
+def plugged_scores(
+    entry_point: str,
+    batch_size: int = 16,
+    checkpoint: str | None = None,
+    settings: Mapping[str, Any] | None = None,
+) -> ScoreRows:
+    """A scorer named ``package.module:factory``; see :class:`scoring.Scorer`.
+
+    A factory with parameters named ``checkpoint`` and ``settings`` is given
+    the checkpoint's path and the model settings of its run (``max_length`` and
+    ``head_ratio`` say how texts were cut in training).
+    """
     module, _, factory = entry_point.partition(":")
+    offered = {"checkpoint": checkpoint, "settings": dict(settings or {})}
 
     def load() -> scoring.Scorer:
-        return getattr(importlib.import_module(module), factory)()
+        make = getattr(importlib.import_module(module), factory)
+        wanted = inspect.signature(make).parameters
+        return make(**{name: value for name, value in offered.items() if name in wanted})
 
     return lambda rows: scoring.score(rows, load, batch_size=batch_size)
 
@@ -102,5 +124,6 @@ def plugged_scores(entry_point: str, batch_size: int = 16) -> ScoreRows:
 def load_scores(spark: SparkSession, checkpoint: str, scorer: str | None, batch_size: int = 16) -> ScoreRows:
     """The plugged-in scorer if one is named, else the checkpoint's baseline."""
     if scorer:
-        return plugged_scores(scorer, batch_size)
+        options = (run_settings(spark, checkpoint) or {}).get("model")
+        return plugged_scores(scorer, batch_size, checkpoint, config.merged(config.DEFAULTS["model"], options))
     return baseline_scores(PipelineModel.load(f"{checkpoint.rstrip('/')}/model"))

@@ -10,10 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom import schemas
-from tagloom import settings as config
 from tagloom.functions.text import truncate_middle
 from tagloom.operators import multiclass, scoring
-from tagloom.plans.model import ScoreRows
+from tagloom.plans.model import ScoreRows, run_settings
 from tagloom.sources import documents, jsonl
 
 # Fixed value: the limit of runs whose settings do not name one.
@@ -45,7 +44,7 @@ class Predictor:
             content.get("task", "detection"),
             documents.names_by_id(content) if content else ["safe", "vulnerable"],
             scoring.chosen_threshold(threshold, stored),
-            _character_limit(spark, f"{base.rpartition('/')[0]}/config.yaml"),
+            _character_limit(run_settings(spark, base)),
         )
 
     def prepare(self, rows: DataFrame) -> DataFrame:
@@ -63,12 +62,12 @@ class Predictor:
         return scored.withColumn("pred", pred).drop("probs")
 
 
-def _character_limit(spark: SparkSession, path: str) -> int | None:
+def _character_limit(settings: dict[str, Any] | None) -> int | None:
     """The run's character limit; none if the run cuts by tokens or left no
     settings behind."""
-    if not documents.exists(spark, path):
+    if settings is None:
         return None
-    section = config.parse(documents.read_text(spark, path)).get("model", {})
+    section = settings.get("model", {})
     if "head_ratio" in section:
         return None
     return int(section.get("max_code_chars", LEGACY_CODE_CHARS))

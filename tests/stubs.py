@@ -28,3 +28,13 @@ class LengthScorer:
         for row, c in zip(out, codes):
             row[len(c) % 6] = 0.5
         return out
+
+
+class EchoScorer:
+    """Answers with what it was made from."""
+
+    def __init__(self, checkpoint, settings):
+        self.row = [len(checkpoint), settings["max_length"], settings["head_ratio"]]
+
+    def predict_probs(self, codes):
+        return np.array([self.row] * len(codes), dtype=float)
