@@ -9,9 +9,12 @@ of ``RUN_WORDS`` words always shares a fingerprint, although only a part of the
 grams is kept.
 
 Fingerprints found at two positions are matches. They are extended both ways by
-the runs that lean on them: neighbouring runs overlap, so the equal ones
-together cover a repeated stretch to its first and last line. Every run that
-equals an earlier one, in the order of doc_id and line, is deleted.
+runs read forwards, which reach a repeated stretch's first line, and runs read
+backwards (the shortest stretch with ``RUN_WORDS`` words that *ends* at a line),
+which reach its last one. Of any stretch of ``RUN_WORDS`` words or more each
+line lies in a run of one kind within the stretch, so all lines of a repeated
+stretch go, whichever earlier text it equals. Every run that equals an earlier
+one, in the order of doc_id and line, is deleted.
 """
 
 from __future__ import annotations
@@ -52,10 +55,18 @@ def reach(words: np.ndarray, least: int) -> np.ndarray:
     return np.searchsorted(total, total[:-1] + least) - 1
 
 
-def stretch_hash(h: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the lines from each position to its ``end`` (inclusive)."""
+def backward_runs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last line of the shortest stretch with ``RUN_WORDS`` words that
+    ends at each line, where there is one."""
+    total = np.concatenate([[0], np.cumsum(words)])
+    start = np.searchsorted(total, total[1:] - RUN_WORDS, side="right") - 1
+    end = np.flatnonzero(start >= 0)
+    return start[end], end
+
+
+def stretch_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the lines from each ``start`` to its ``end`` (inclusive)."""
     odd = np.uint64(0x9E3779B97F4A7C15)
-    n = len(end)
     with np.errstate(over="ignore"):
         powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(h), odd)]), dtype=np.uint64)
         # Sum of h[i] * odd**-i, so that stretches compare after a shift.
@@ -64,14 +75,14 @@ def stretch_hash(h: np.ndarray, end: np.ndarray) -> np.ndarray:
             np.concatenate([[np.uint64(1)], np.full(len(h), inverse)]), dtype=np.uint64
         )
         total = np.concatenate([[np.uint64(0)], np.cumsum(h * backwards[:-1], dtype=np.uint64)])
-        at = np.arange(n)
-        sums = (total[end + 1] - total[:n]) * powers[:n]
-        return mixed(sums + np.uint64(1) * (end - at + 1).astype(np.uint64))
+        sums = (total[end + 1] - total[start]) * powers[start]
+        return mixed(sums + np.uint64(1) * (end - start + 1).astype(np.uint64))
 
 
 def winnow(h: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...] | None:
-    """Per line with a full run: its end and hash, and the chosen gram with its
-    hash. None if the document is shorter than a run."""
+    """Per run of either kind: its end and hash, the chosen gram with its hash,
+    and its start. A backward run takes the gram of the forward run at its
+    start, which lies in it. None if the document is shorter than a run."""
     run_end = reach(words, RUN_WORDS)
     full = int((run_end < len(h)).sum())
     if not full:
@@ -79,7 +90,7 @@ def winnow(h: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...] | None:
     gram_end = reach(words, GRAM_WORDS)
     grams = int((gram_end < len(h)).sum())
     run_end = run_end[:full]
-    gram_hash = stretch_hash(h, gram_end[:grams])
+    gram_hash = stretch_hash(h, np.arange(grams), gram_end[:grams])
     # Last gram that ends inside the run; gram ends never decrease.
     last = np.searchsorted(gram_end[:grams], run_end, side="right") - 1
     best = np.arange(full)
@@ -93,7 +104,11 @@ def winnow(h: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...] | None:
         better = ok & (value <= low)
         low = np.where(better, value, low)
         best = np.where(better, at, best)
-    return run_end, stretch_hash(h, run_end), best, low
+    start, end = backward_runs(words)
+    other = run_end[start] != end
+    start = np.concatenate([np.arange(full), start[other]])
+    end = np.concatenate([run_end, end[other]])
+    return end, stretch_hash(h, start, end), best[start], low[start], start
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -115,13 +130,13 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
                 found = winnow(hashes.of(lines), np.array(words, np.int64)) if lines else None
                 if found is None:
                     continue
-                end, run_hash, best, low = found
+                end, run_hash, best, low, start = found
                 order = np.argsort(best, kind="stable")
                 cuts = np.flatnonzero(np.diff(best[order])) + 1
                 for part in np.split(order, cuts):
                     one = (
                         doc_id, text_hash, low[part[0]].astype(np.int64), int(best[part[0]]),
-                        part.astype(np.int32), end[part].astype(np.int32), run_hash[part].astype(np.int64),
+                        start[part].astype(np.int32), end[part].astype(np.int32), run_hash[part].astype(np.int64),
                     )
                     for column, v in zip(rows, one, strict=True):
                         column.append(v)
