@@ -28,8 +28,9 @@ def line_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id."""
-    return near_dup.one_of_each(docs)
+    """One document of each group of texts that share 80% of their shingles, the
+    one with the smallest doc_id."""
+    return near_dup.one_of_each(docs, near_dup.STAGE_PERCENT)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,10 +3,11 @@
 Each document is the set of its distinct five-word shingles. Its signature has
 ``POSITIONS`` symbols of eight bits, one per hash function; a symbol differs
 with the probability of one minus the similarity. All pairs of signatures that
-differ in at most ``MOST_DIFFERENT`` symbols are found: cut into ``CHUNKS``
-chunks, by the pigeonhole principle one chunk differs in at most
-``MOST_DIFFERENT // CHUNKS`` symbols, and every such error is enumerated by
-masking symbols of the chunk. Links are then confirmed on the full sets.
+differ in at most ``distance(percent)`` symbols, an odd number, are found: cut
+into chunks of which each two cover two more symbols of distance, by the
+pigeonhole principle one chunk differs in at most one symbol, and every such
+error is enumerated by masking a symbol of the chunk. Links are then confirmed
+on the full sets.
 
 Equal sets are one class before anything is paired. No pairs leave a task:
 a task compares two bounded blocks and passes on a spanning forest.
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,12 @@ from tagloom.llm.words import WordHashes, arrow_schema, free, mixed, rolled, spl
 from tagloom.operators.staging import stage
 
 SHINGLE = 5
-# At similarity 0.85 a signature differs in 9.6 symbols of 64 on average, with a
-# deviation of 2.9; beyond 23 lie about 3 of a million linked pairs.
 POSITIONS = 64
-MOST_DIFFERENT = 23
-CHUNKS = 12
+# Least similarity of a link, in percent: that of the query, and that of other
+# work on word shingles.
+PERCENT, STAGE_PERCENT = 85, 80
+# Chance that the signatures of a pair at the least similarity lie too far apart.
+MOST_MISSED = 2e-6
 # Rows of one block of a pair that a task compares.
 BUCKET_BLOCK = 2048
 SET_BLOCK = 512
@@ -42,6 +44,14 @@ _rng = np.random.default_rng(20240229)
 FACTORS = _rng.integers(1, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def distance(percent: int) -> int:
+    """Least odd distance beyond which lie at most ``MOST_MISSED`` of the pairs
+    with the similarity ``percent``: 25 symbols at 85, 29 at 80."""
+    p = (100 - percent) / 100 * 255 / 256
+    chances = [comb(POSITIONS, k) * p**k * (1 - p) ** (POSITIONS - k) for k in range(POSITIONS + 1)]
+    return next(d for d in range(1, POSITIONS, 2) if sum(chances[d + 1 :]) <= MOST_MISSED or d == POSITIONS - 1)
+
+
 def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
     """Hashes of the distinct shingles, sorted; of a shorter text, the whole
     sequence; none without words."""
@@ -60,22 +70,21 @@ def signature(items: np.ndarray) -> np.ndarray:
     return (mixed(least) & np.uint64(0xFF)).astype(np.uint8)
 
 
-CHUNK_CUTS = np.linspace(0, POSITIONS, CHUNKS + 1).astype(int)
+MOST_DIFFERENT = distance(PERCENT)
 
 
-def keys_of(sign: np.ndarray) -> np.ndarray:
-    """Keys under which signatures (rows) meet: every chunk with every allowed
-    set of errors masked out."""
+def keys_of(sign: np.ndarray, most: int = MOST_DIFFERENT) -> np.ndarray:
+    """Keys under which signatures (rows) at a distance up to ``most`` meet:
+    every chunk with every symbol masked out."""
     wide = sign.astype(np.uint64) + np.uint64(1)
-    keys, number = [], 0
-    for low, high in zip(CHUNK_CUTS[:-1], CHUNK_CUTS[1:], strict=True):
-        errors = min(MOST_DIFFERENT // CHUNKS, high - low)
-        for masked in combinations(range(low, high), errors):
-            h = np.full(len(sign), number, np.uint64)
+    cuts = np.linspace(0, POSITIONS, most // 2 + 2).astype(int)
+    keys = []
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        for masked in range(low, high):
+            h = np.full(len(sign), len(keys), np.uint64)
             for at in range(low, high):
-                h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + (np.uint64(0) if at in masked else wide[:, at]))
+                h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + (np.uint64(0) if at == masked else wide[:, at]))
             keys.append(h)
-            number += 1
     return np.stack(keys, 1)
 
 
@@ -125,7 +134,7 @@ def described(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     return docs.select(F.col(id_column).cast("long").alias("i"), F.col(text).alias("t")).mapInArrow(run, kind)
 
 
-def meeting_places(reps: DataFrame) -> DataFrame:
+def meeting_places(reps: DataFrame, most: int) -> DataFrame:
     kind = "key long, id long"
     arrow = arrow_schema(StructType.fromDDL(kind))
 
@@ -134,7 +143,7 @@ def meeting_places(reps: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             sign = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, POSITIONS)
-            keys = keys_of(sign)
+            keys = keys_of(sign, most)
             ids = np.repeat(batch.column(0).to_numpy(), keys.shape[1])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys.ravel().view(np.int64)), pa.array(ids)], schema=arrow
@@ -186,10 +195,10 @@ def edges_out(found: list[tuple[int, int]], arrow: pa.Schema) -> pa.RecordBatch:
 EDGES = "a long, b long"
 
 
-def signature_links(reps: DataFrame) -> DataFrame:
+def signature_links(reps: DataFrame, most: int) -> DataFrame:
     """A spanning forest, per meeting place, of pairs within the distance."""
     arrow = arrow_schema(StructType.fromDDL(EDGES))
-    places = meeting_places(reps)
+    places = meeting_places(reps, most)
     shared = places.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
     cells = in_blocks(shared.join(reps.select("id", "sign"), "id"), "key", "n", BUCKET_BLOCK)
     order = ["key", "lo", "hi"]
@@ -205,7 +214,7 @@ def signature_links(reps: DataFrame) -> DataFrame:
             step = max(1, (1 << 22) // (len(ids) * POSITIONS))
             for at in range(0, len(ids), step):
                 far = (sign[at : at + step, None, :] != sign[None, :, :]).sum(2, dtype=np.uint8)
-                x, y = np.nonzero(far <= MOST_DIFFERENT)
+                x, y = np.nonzero(far <= most)
                 x = x + at
                 found += forest_edges(ids, x[x < y], y[x < y], forest)
             if len(found) > 20_000:
@@ -216,9 +225,9 @@ def signature_links(reps: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, EDGES)
 
 
-def confirmed_links(docs: DataFrame, groups: DataFrame, id_column: str, text: str) -> DataFrame:
+def confirmed_links(docs: DataFrame, groups: DataFrame, id_column: str, text: str, percent: int) -> DataFrame:
     """A spanning forest, per candidate group, of the true links: similarity at
-    least 0.85 on the full sets, in whole numbers."""
+    least ``percent`` on the full sets, in whole numbers."""
     arrow = arrow_schema(StructType.fromDDL(EDGES))
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
     members = groups.join(sizes.select(own_exchange("component"), "n"), "component")
@@ -232,7 +241,7 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, id_column: str, text: st
         for rows in runs_of(source, [0, 1, 2]):
             ids = rows.column("id").to_numpy()
             items = [np.frombuffer(x, np.uint64) for x in rows.column("items").to_pylist()]
-            yield edges_out(true_links(ids, items), arrow)
+            yield edges_out(true_links(ids, items, percent), arrow)
 
     return placed.mapInArrow(run, EDGES)
 
@@ -251,7 +260,7 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
     return rows.select("id", "component", "n", "t").mapInArrow(run, kind)
 
 
-def true_links(ids: np.ndarray, items: list[np.ndarray]) -> list[tuple[int, int]]:
+def true_links(ids: np.ndarray, items: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Count intersections of all pairs, a band of shared shingles at a time."""
     n = len(ids)
     sizes = np.array([len(x) for x in items], np.int64)
@@ -272,13 +281,14 @@ def true_links(ids: np.ndarray, items: list[np.ndarray]) -> list[tuple[int, int]
         part[owner[a:b], number[a:b] - low] = 1
         common += part @ part.T
     both = sizes[:, None] + sizes[None, :] - common.astype(np.int64)
-    x, y = np.nonzero(100 * common.astype(np.int64) >= 85 * both)
+    x, y = np.nonzero(100 * common.astype(np.int64) >= percent * both)
     return forest_edges(ids, x[x < y], y[x < y], Forest(n))
 
 
-def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, one row per input row.
 
+    Sets with a similarity of ``percent`` or more are linked.
     Null and empty texts, and texts of separators, have no shingles and stand
     alone. Rows with equal sets are linked. Rows that share a doc_id are one
     node: their links are pooled. A null doc_id is its own component and kept.
@@ -290,8 +300,8 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> D
         .agg(F.min("doc_id").alias("id"), F.first("sign").alias("sign"))
     )
     # One doc_id may stand for several sets; each row of it keeps its own.
-    candidates = connected_components(stage(signature_links(sets)), "a", "b")
-    links = confirmed_links(docs, stage(candidates), id_column, text)
+    candidates = connected_components(stage(signature_links(sets, distance(percent))), "a", "b")
+    links = confirmed_links(docs, stage(candidates), id_column, text, percent)
     class_of = connected_components(stage(links), "a", "b")
     by_set = (
         sets.join(class_of, sets["id"] == class_of["node"], "left")
@@ -307,10 +317,10 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> D
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents that are kept, with their own columns."""
     name = free(docs, "_gone")[0]
-    gone = classes(docs).filter("not kept").select(F.col("doc_id").alias(name)).distinct()
+    gone = classes(docs, percent=percent).filter("not kept").select(F.col("doc_id").alias(name)).distinct()
     return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 

@@ -3,7 +3,11 @@
 import random
 from collections import defaultdict
 
-from tagloom.llm import line_dedup
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from tagloom.llm import line_dedup, near_dup
 
 # ---- line dedup -----------------------------------------------------------
 
@@ -56,3 +60,30 @@ def test_repeated_stretches_go_to_their_last_line(spark):
     assert {i: r["_removed"] for i, r in got.items() if r["_removed"]} == {i: len(w) for i, w in want.items()}
     # 55 and 30 words: a run ends after the first line.
     assert got[3]["text"] == "" and got[2]["text"] == texts[2].split("\n")[0]
+
+
+# ---- near duplicates --------------------------------------------------------
+
+
+def test_pipeline_drops_near_copies_from_80_percent_on(spark):
+    """Pairs of 100 words whose last words differ: similarity (96 - n) / (96 + n)."""
+    rows = []
+    for n in range(3, 18):
+        words = [f"p{n}w{i}" for i in range(100)]
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(words[: 100 - n] + [f"new{i}" for i in range(n)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent, kept in ((80, corpus_pipeline.near_duplicates(spark, docs, "")), (85, near_dup.one_of_each(docs))):
+        want = {2 * n for n in range(3, 18)} | {2 * n + 1 for n in range(3, 18) if 100 * (96 - n) < percent * (96 + n)}
+        assert {r["doc_id"] for r in kept.collect()} == want
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_signatures_within_the_distance_share_a_key(percent):
+    rng = np.random.default_rng(7)
+    most = near_dup.distance(percent)
+    a = rng.integers(0, 256, (300, near_dup.POSITIONS)).astype(np.uint8)
+    b = a.copy()
+    for row in b:
+        at = rng.choice(near_dup.POSITIONS, most, replace=False)
+        row[at] ^= rng.integers(1, 256, most).astype(np.uint8)
+    assert (near_dup.keys_of(a, most) == near_dup.keys_of(b, most)).any(axis=1).all()
