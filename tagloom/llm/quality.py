@@ -2,8 +2,8 @@
 
 A document is described by two histograms: its characters by class, and its
 words by the common words of its language. Each is compared with the average
-document of the language by Jensen-Shannon divergence, in bits. Only Spark's
-own expressions are used.
+document of the language, whatever its name, by Jensen-Shannon divergence, in
+bits. Only Spark's own expressions are used.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ COMMON_WORDS = {
     "fr": ("de", "la", "le", "et", "les", "des", "en", "un"),
     "es": ("de", "la", "que", "el", "en", "y", "a", "los"),
 }
-# All other languages share one reference, with characters only.
-OTHER = ""
+# So many references at most are broadcast; more are joined unhinted.
+MOST_BROADCAST = 10_000
 CLASSES = {
     "upper": "[A-Z]",
     "symbol": "[#*$%&|<>]",
@@ -60,11 +60,10 @@ def measured(docs: DataFrame, keep: Sequence[str], text: str = "text", lang: str
     lines with a word that equal an earlier one; ``n_repeat_words`` the words
     covered by 8-word windows that occur twice or more.
     """
-    known = F.coalesce(F.col(lang).cast("string"), F.lit(OTHER))
     first = docs.select(
         F.struct(*[F.col(c) for c in keep]).alias("doc"),
         F.coalesce(F.col(text), F.lit("")).alias("t"),
-        F.when(known.isin(*COMMON_WORDS), known).otherwise(OTHER).alias("lang"),
+        F.col(lang).cast("string").alias("lang"),
     )
     listed = F.create_map(
         *[x for k, v in COMMON_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]
@@ -142,9 +141,9 @@ def assess(docs: DataFrame, keep: Sequence[str], text: str = "text", lang: str =
     bits), ``base_failed`` and ``kept``, one row per input row.
 
     The references are the mean histograms of all documents of a language, so
-    every document counts alike however long. A null or unknown language uses
-    the reference of the unknown ones, without words. Documents shorter than a
-    measure's minimum are not judged by it. Repeated rows are each assessed;
+    every document counts alike however long. A language without common words
+    here is compared by its characters only, a document without a language by
+    neither. Documents shorter than a measure's minimum are not judged by it. Repeated rows are each assessed;
     an empty table gives an empty one. The measures are written once, as both
     the references and the verdicts read them.
     """
@@ -153,14 +152,14 @@ def assess(docs: DataFrame, keep: Sequence[str], text: str = "text", lang: str =
     sizes = {"c": len(chars), "w": len(words)}
     rows = rows.withColumns({"hc": F.array(*chars), "hw": F.array(*words)})
     longer = F.col("n_words") >= CHAR_WORDS
-    means = rows.filter(longer).groupBy("lang").agg(
+    means = stage(rows.filter(longer & F.col("lang").isNotNull()).groupBy("lang").agg(
         *[F.array(*[F.avg(F.get(f"h{k}", F.lit(i))) for i in range(n)]).alias(f"r{k}") for k, n in sizes.items()]
-    )
-    # At most one row per known language and one for all others.
-    judged = rows.join(F.broadcast(means), "lang", "left")
-    by_char = F.when(longer, divergence(F.col("hc"), F.col("rc"))).otherwise(0.0)
+    ))
+    few = means.count() <= MOST_BROADCAST
+    judged = rows.join(F.broadcast(means) if few else means, "lang", "left")
+    by_char = F.when(longer & F.col("lang").isNotNull(), divergence(F.col("hc"), F.col("rc"))).otherwise(0.0)
     by_word = F.when(
-        (F.col("n_words") >= WORD_WORDS) & (F.col("lang") != OTHER),
+        (F.col("n_words") >= WORD_WORDS) & F.col("lang").isin(*COMMON_WORDS),
         divergence(F.col("hw"), F.col("rw")),
     ).otherwise(0.0)
     failed = (F.col("n_words") < LEAST_WORDS) | (

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tagloom.llm import line_dedup, near_dup
+from tagloom.llm import line_dedup, near_dup, quality
 
 # ---- line dedup -----------------------------------------------------------
 
@@ -87,3 +87,26 @@ def test_signatures_within_the_distance_share_a_key(percent):
         at = rng.choice(near_dup.POSITIONS, most, replace=False)
         row[at] ^= rng.integers(1, 256, most).astype(np.uint8)
     assert (near_dup.keys_of(a, most) == near_dup.keys_of(b, most)).any(axis=1).all()
+
+
+# ---- quality ------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("most", [10_000, 1])
+def test_languages_with_other_alphabets_are_compared_with_themselves(spark, monkeypatch, most):
+    monkeypatch.setattr(quality, "MOST_BROADCAST", most)
+    rng = random.Random(3)
+
+    def text(letters):
+        words = ["".join(rng.choices(letters, k=rng.randint(2, 8))) for _ in range(150)]
+        return " ".join(words).capitalize() + "."
+
+    letters = {"pt": "abcdeilmnoprstuvã", "ru": "абвгдеиклмнопрст", "zz": "abcde", None: "абвabc"}
+    rows = [(i, text(letters[lang]), lang) for i, lang in enumerate(["pt"] * 20 + ["ru"] * 10 + ["zz"] + [None, "pt"] * 2)]
+    rows += [(100, text("абвгде"), "pt"), (101, "я " * 150, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc"]["doc_id"]: r for r in quality.assess(docs, ["doc_id"]).collect()}
+    assert len(got) == len(rows)
+    # Only the Russian text among the Portuguese ones and the repeated word go.
+    assert {i for i, r in got.items() if not r["kept"]} == {100, 101}
+    assert all(got[i]["char_divergence"] == 0 for i, _, lang in rows if lang is None)
