@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pandas.arrays import IntegerArray
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -162,7 +163,9 @@ LINKS = "row long, n long, a long, b long"
 def links(placed: DataFrame, axes: np.ndarray, cosine: float) -> DataFrame:
     """Per pair of tiles: ``row, n`` (links of a row) and ``a, b`` (a forest)."""
     width = axes.shape[0]
-    cells = placed.join(F.broadcast(tile_pairs(placed, cosine)), "tile")
+    cells = placed.join(F.broadcast(tile_pairs(placed, cosine)), "tile").withColumns(
+        {"named": F.col("id").isNotNull(), "id": F.coalesce("id", F.lit(0))}
+    )
 
     def compare(cell: pd.DataFrame) -> pd.DataFrame:
         u = np.frombuffer(b"".join(cell["unit"]), np.float64).reshape(-1, width)
@@ -171,7 +174,8 @@ def links(placed: DataFrame, axes: np.ndarray, cosine: float) -> DataFrame:
         right = np.flatnonzero((cell["tile"] == cell["hi"]).to_numpy())
         same = bool(len(left) == len(cell) and len(right) == len(cell))
         counts, forest = np.zeros(len(cell), np.int64), Forest(len(cell))
-        ids, found = cell["id"].to_numpy(), []
+        # Without nulls, which would turn ids into floating point.
+        ids, named, found = cell["id"].to_numpy(), cell["named"].to_numpy(), []
         for i in range(0, len(left), BLOCK):
             p = left[i : i + BLOCK]
             for j in range(i if same else 0, len(right), BLOCK):
@@ -181,6 +185,9 @@ def links(placed: DataFrame, axes: np.ndarray, cosine: float) -> DataFrame:
                 if same and i == j:
                     a, b = a[a < b], b[a < b]
                 counts += np.bincount(a, minlength=len(cell)) + np.bincount(b, minlength=len(cell))
+                # A row without an id counts its links but joins no tree.
+                both = named[a] & named[b]
+                a, b = a[both], b[both]
                 # Rows already in one tree add nothing; test before the loop.
                 roots = np.array([forest.root(k) for k in range(len(cell))]) if len(a) else None
                 if roots is not None:
@@ -189,9 +196,15 @@ def links(placed: DataFrame, axes: np.ndarray, cosine: float) -> DataFrame:
                         if forest.join(s, t):
                             found.append((ids[s], ids[t]))
         some = np.flatnonzero(counts)
-        lines = list(zip(cell["row"].to_numpy()[some].tolist(), counts[some].tolist(), strict=True))
-        lines = [(*x, None, None) for x in lines] + [(None, None, *x) for x in found]
-        return pd.DataFrame(lines, columns=["row", "n", "a", "b"]).astype("Int64")
+        empty = np.arange(len(some) + len(found)) >= len(some)
+        left, right = np.array(found, np.int64).reshape(-1, 2).T
+        fill, pad = np.zeros(len(found), np.int64), np.zeros(len(some), np.int64)
+        return pd.DataFrame({
+            "row": IntegerArray(np.concatenate([cell["row"].to_numpy()[some], fill]), empty),
+            "n": IntegerArray(np.concatenate([counts[some], fill]), empty),
+            "a": IntegerArray(np.concatenate([pad, left]), ~empty),
+            "b": IntegerArray(np.concatenate([pad, right]), ~empty),
+        })
 
     return cells.groupBy("lo", "hi").applyInPandas(compare, LINKS)
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tagloom.llm import line_dedup, near_dup, quality
+from tagloom.llm import embeddings, line_dedup, near_dup, quality
 
 # ---- line dedup -----------------------------------------------------------
 
@@ -110,3 +110,37 @@ def test_languages_with_other_alphabets_are_compared_with_themselves(spark, monk
     # Only the Russian text among the Portuguese ones and the repeated word go.
     assert {i for i, r in got.items() if not r["kept"]} == {100, 101}
     assert all(got[i]["char_divergence"] == 0 for i, _, lang in rows if lang is None)
+
+
+# ---- embeddings -----------------------------------------------------------------
+
+
+def test_rows_without_an_id_do_not_take_part_in_components(spark):
+    rng = np.random.default_rng(2)
+    big = 1 << 53
+    rows = []
+    for k in range(12):
+        base = rng.normal(size=8)
+        for j in range(6):
+            vector = (base + rng.normal(size=8) * rng.choice([0.0, 0.1, 0.3])).tolist()
+            rows.append((None if j in (1, 3) else big + 1 + 16 * k + j, vector))
+    rows.sort(key=lambda r: rng.random())
+    got = embeddings.near_copies(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)).collect()
+    x = np.array([v for _, v in rows])
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    close = x @ x.T >= embeddings.COSINE
+    np.fill_diagonal(close, False)
+    ids = [i for i, _ in rows if i is not None]
+    up = {i: i for i in ids}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in zip(*np.nonzero(close), strict=True):
+            i, j = rows[a][0], rows[b][0]
+            if i is not None and j is not None and up[i] != up[j]:
+                up[i] = up[j] = min(up[i], up[j])
+                changed = True
+    assert {r["vec_id"]: r["component_id"] for r in got if r["vec_id"] is not None} == up
+    assert all(r["component_id"] is None and r["kept"] for r in got if r["vec_id"] is None)
+    assert sorted(r["n_links"] for r in got) == sorted(close.sum(1).tolist())
+    assert sum(up[i] != i for i in ids) > 20
