@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.operators.labels import BROADCAST_CLASSES
-from tagloom.operators.ordering import ord_bucket, ranked
+from tagloom.operators.ordering import ord_levels, ranked
 
 # Draws of one row are counted in chunks of this many draw numbers, so that a
 # row of a rare class, drawn very often, is expanded by many tasks.
@@ -81,7 +81,7 @@ def balanced_sample(
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("draws"))
     )
-    numbered = ranked(df, [F.col(order)], ord_bucket(F.col(order)), by=[label], name="_row")
+    numbered = ranked(df, [F.col(order)], ord_levels(F.col(order)), by=[label], name="_row")
     drawn = numbered.join(picks, [label, "_row"])
     if not expand:
         return drawn.select(*df.columns, "draws")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions import tokens
-from tagloom.operators.ordering import ord_bucket, ranked
+from tagloom.operators.ordering import ord_levels, ranked
 
 
 def number_batches(df: DataFrame, batch_size: int, order: str = "ord") -> DataFrame:
@@ -14,7 +14,7 @@ def number_batches(df: DataFrame, batch_size: int, order: str = "ord") -> DataFr
     one possibly shorter."""
     if batch_size <= 0:
         raise ValueError(f"batch_size must be positive, got {batch_size}")
-    numbered = ranked(df, [F.col(order)], ord_bucket(F.col(order)), name="_position")
+    numbered = ranked(df, [F.col(order)], ord_levels(F.col(order)), name="_position")
     batch = F.floor((F.col("_position") - 1) / batch_size).cast("long")
     return numbered.withColumn("batch_id", batch).drop("_position")
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.operators.ordering import ord_bucket, ranked
+from tagloom.operators.ordering import falling_levels, ranked
 
 # Fixed values of the label dictionaries.
 OTHER = "OTHER"
@@ -33,8 +33,7 @@ def class_table(frequency: DataFrame, min_samples: int = 30, top_k: int | None =
         best = kept.orderBy(*order).limit(top_k)
         numbered = best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
     else:
-        bucket = F.struct((-F.col("n")).alias("n"), ord_bucket(F.col("first_ord")).alias("o"))
-        numbered = ranked(kept, order, bucket)
+        numbered = ranked(kept, order, falling_levels(F.col("n"), F.col("first_ord")))
     return numbered.select((F.col("rank") - 1).cast("int").alias("id"), "name", "n")
 
 

@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.text import text_or_none
 from tagloom.operators.ordering import (
-    hash_bucket,
+    falling_levels,
+    hash_levels,
+    hash_place,
     keys_at,
     not_after,
-    ord_bucket,
+    ord_levels,
     ranked,
     seeded_hash,
 )
@@ -29,13 +31,11 @@ SPLITS = ("train", "val", "test")
 DRIVER_GROUPS = 2_000_000
 
 
-def cut_positions(train: float, val: float) -> list[Column]:
+def cut_positions(total: int, train: float, val: float) -> list[int]:
     """Last position of train and of val; products are truncated, and test
     takes what is left."""
-    total = F.col("total")
-    n_train = (total * F.lit(float(train))).cast("long")
-    n_val = (total * F.lit(float(val))).cast("long")
-    return [n_train, n_train + n_val]
+    n_train = int(total * train)
+    return [n_train, n_train + int(total * val)]
 
 
 @dataclass(frozen=True)
@@ -76,7 +76,7 @@ def fit_group_split(
     keys = df.select(text_or_none(F.col(group)).alias("_key")).distinct()
     groups = keys.withColumn("_hash", seeded_hash(seed, F.col("_key")))
     total, cuts = keys_at(
-        groups, ["_hash", "_key"], hash_bucket(F.col("_hash")), cut_positions(train, val)
+        groups, ["_hash", "_key"], hash_place(F.col("_hash")), lambda n: cut_positions(n, train, val)
     )
     return GroupSplit(seed, group, total, cuts[0], cuts[1])
 
@@ -110,7 +110,7 @@ def shuffle_split(
         [(p + 1, i, s) for i, (p, s) in enumerate(zip(positions, names))],
         "_rank long, _place long, split string",
     )
-    numbered = ranked(seen, [F.col("_first")], ord_bucket(F.col("_first")), name="_rank")
+    numbered = ranked(seen, [F.col("_first")], ord_levels(F.col("_first")), name="_rank")
     by_group = numbered.join(placed, "_rank").select(group, "_place", "split")
     extra = [F.col("_place").alias(place)] if place else []
     by_group = by_group.withColumnRenamed(group, "_of")
@@ -131,8 +131,8 @@ def shuffle_sample(
         raise ValueError(f"a sample of {limit} exceeds {DRIVER_GROUPS}; use sample_rows")
     picks = random.Random(seed).sample(range(total), limit)
     chosen = df.sparkSession.createDataFrame([(p + 1,) for p in picks], "_rank long")
-    bucket = F.struct(F.col(place), ord_bucket(F.col(order)).alias("o"))
-    numbered = ranked(df, [F.col(place), F.col(order)], bucket, name="_rank")
+    levels = falling_levels(-F.col(place), F.col(order))
+    numbered = ranked(df, [F.col(place), F.col(order)], levels, name="_rank")
     return numbered.join(chosen, "_rank").select(*df.columns)
 
 
@@ -156,7 +156,7 @@ def sample_rows(df: DataFrame, limit: int | None, seed: int, order: str = "ord")
         return df.limit(0)
     keyed = df.withColumn("_hash", seeded_hash(seed, F.col(order)))
     keys = ["_hash", order]
-    total, (cut,) = keys_at(keyed, keys, hash_bucket(F.col("_hash")), [F.lit(limit)])
+    total, (cut,) = keys_at(keyed, keys, hash_place(F.col("_hash")), lambda n: [limit])
     if total <= limit or cut is None:
         return df
     return keyed.filter(not_after(keys, cut)).drop("_hash")
@@ -166,7 +166,7 @@ def first_rows(df: DataFrame, limit: int | None, order: str = "ord") -> DataFram
     """The first ``limit`` rows along a unique order, without a global sort."""
     if not limit:
         return df
-    total, (cut,) = keys_at(df, [order], ord_bucket(F.col(order)), [F.lit(limit)])
+    total, (cut,) = keys_at(df, [order], F.col(order).cast("long"), lambda n: [limit])
     if total <= limit or cut is None:
         return df
     return df.filter(not_after([order], cut))
@@ -177,5 +177,5 @@ def epoch_order(df: DataFrame, seed: int, epoch: int, order: str = "ord") -> Dat
     ``position``. Sorting by it is left to the reader."""
     hashed = df.withColumn("_hash", seeded_hash(seed, F.concat_ws(":", F.lit(epoch), F.col(order))))
     keys: Sequence[Column] = [F.col("_hash"), F.col(order)]
-    numbered = ranked(hashed, keys, hash_bucket(F.col("_hash")), name="position")
+    numbered = ranked(hashed, keys, hash_levels(F.col("_hash")), name="position")
     return numbered.drop("_hash")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tagloom import schemas
 from tagloom.functions import text, tokens
 from tagloom.operators import labels, scoring, splits
-from tagloom.operators.ordering import ord_bucket, ranked
+from tagloom.operators.ordering import ord_levels, ranked
 from tagloom.operators.staging import scratch_dir
 from tagloom.plans import build, evaluate
 from tagloom.plans.predict import Predictor, predict_file
@@ -43,7 +43,7 @@ def shard_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     _write_in_order(docs, "doc_id", path)
     rows = shards.read_shards(spark, f"{path}/part-*.parquet", docs.schema)
     hashed = rows.select("doc_id", text.fingerprint(F.col("text")).alias("code_hash"), "ord")
-    return ranked(hashed, [F.col("ord")], ord_bucket(F.col("ord")), name="position").drop("ord")
+    return ranked(hashed, [F.col("ord")], ord_levels(F.col("ord")), name="position").drop("ord")
 
 
 _BUILT = f"""

@@ -30,7 +30,7 @@ def test_shuffle_split_keeps_null_groups(spark):
 def test_null_orders_are_errors(spark):
     df = spark.createDataFrame([(1,), (None,)], "ord long")
     with pytest.raises(Exception, match="order"):
-        ordering.ranked(df, [F.col("ord")], ordering.ord_bucket(F.col("ord"))).collect()
+        ordering.ranked(df, [F.col("ord")], ordering.ord_levels(F.col("ord"))).collect()
 
 
 def test_null_labels_are_errors(spark):

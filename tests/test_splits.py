@@ -127,10 +127,13 @@ def test_epoch_order(pairs):
 
 def test_ranked_equals_a_global_sort(spark):
     @settings(max_examples=5, deadline=None)
-    @given(st.lists(st.integers(0, 1 << 30), min_size=1, max_size=80, unique=True))
+    @given(
+        st.lists(st.integers(0, 1 << 30), min_size=1, max_size=80, unique=True)
+        | st.lists(st.integers(-(1 << 63), (1 << 63) - 1), min_size=1, max_size=80, unique=True)
+    )
     def check(orders):
         df = spark.createDataFrame([(o, o % 3) for o in orders], "ord long, k int").repartition(3)
-        bucket = ordering.ord_bucket(F.col("ord"))
+        bucket = ordering.ord_levels(F.col("ord"))
         got = {r["ord"]: r["rank"] for r in ordering.ranked(df, [F.col("ord")], bucket).collect()}
         assert got == {o: i + 1 for i, o in enumerate(sorted(orders))}
         per = ordering.ranked(df, [F.col("ord")], bucket, by=["k"])
@@ -146,8 +149,38 @@ def test_ranked_equals_a_global_sort(spark):
 def test_keys_at_edges(spark):
     df = spark.range(100).select(F.col("id").alias("ord")).withColumn("_hash", seeded_hash(1, F.col("ord")))
     order = [r["_hash"] for r in df.orderBy("_hash").collect()]
-    bucket = ordering.hash_bucket(F.col("_hash"))
-    total, rows = ordering.keys_at(df, ["_hash"], bucket, [F.lit(p) for p in (0, 1, 50, 50, 100, 101)])
+    place = ordering.hash_place(F.col("_hash"))
+    total, rows = ordering.keys_at(df, ["_hash"], place, lambda n: (0, 1, 50, 50, n, n + 1))
     assert total == 100
     assert [r and r["_hash"] for r in rows] == [None, order[0], order[49], order[49], order[99], None]
-    assert ordering.keys_at(df.limit(0), ["_hash"], bucket, [F.lit(1)]) == (0, [None])
+    assert ordering.keys_at(df.limit(0), ["_hash"], place, lambda n: [1]) == (0, [None])
+
+
+@pytest.mark.parametrize("ends", [(0, 500), (-(1 << 63), (1 << 63) - 1)])
+def test_keys_at_descends_into_dense_and_sparse_keys(spark, monkeypatch, ends):
+    monkeypatch.setattr(ordering, "SLICES", 8)
+    monkeypatch.setattr(ordering, "LEAF_ROWS", 5)
+    rng = random.Random(3)
+    keys = sorted({*ends, *[rng.randint(*ends) for _ in range(300)], *range(ends[0] + 9, ends[0] + 99)})
+    df = spark.createDataFrame([(k,) for k in keys], "ord long")
+    total, rows = ordering.keys_at(df, ["ord"], F.col("ord"), lambda n: (1, 2, 60, 61, n // 2, n))
+    assert total == len(keys)
+    assert [r["ord"] for r in rows] == [keys[p - 1] for p in (1, 2, 60, 61, total // 2, total)]
+    with pytest.raises(ValueError, match="place"):
+        ordering.keys_at(df.union(spark.range(1).select(F.lit(None).cast("long"))), ["ord"], F.col("ord"), lambda n: [1])
+
+
+def test_only_the_coarsest_level_is_summed_in_one_place(spark):
+    from contextlib import redirect_stdout
+    from io import StringIO
+
+    df = spark.range(100).withColumnRenamed("id", "ord")
+    out = StringIO()
+    with redirect_stdout(out):
+        ordering.ranked(df, [F.col("ord")], ordering.ord_levels(F.col("ord"))).explain()
+    assert out.getvalue().count("SinglePartition") == 1
+    # One row a parent of 2**48 keys: as the keys are longs, at most 2**16.
+    sizes = df.select(ordering.ord_levels(F.col("ord")).bucket.alias("_bucket"), F.lit(1).alias("_n"))
+    top = sizes.select(ordering.ord_levels(F.col("ord")).parents[0](F.col("_bucket")).alias("p")).distinct()
+    assert top.count() == 1 and 64 - ordering.TOP_BITS == 16
+
