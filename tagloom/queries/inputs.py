@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.functions import tokens
+from tagloom.functions import subwords, tokens
 from tagloom.operators import batching
 from tagloom.operators.staging import spread
 from tagloom.queries.registry import query, table
@@ -66,3 +66,49 @@ def dynamic_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
         types.alias("type_sum"),
         F.md5(F.array_join("input_ids", " ")).alias("ids_md5"),
     )
+
+
+def vocabulary(spark: SparkSession) -> subwords.Subwords:
+    """A public vocabulary file; any other of the `tokenizers` library will do."""
+    import public_tokenizers
+
+    return subwords.Subwords(spark, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def subword_inputs(spark: SparkSession, sf_dir: str, bpe: subwords.Subwords) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return docs.select("doc_id", bpe.head_tail(F.col("text"), MAX_LENGTH).alias("input_ids"))
+
+
+# Byte pair encoding has no SQL form: the three below are tested against the
+# tokenizer itself.
+@query()
+def subword_head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned subword ids of whole texts, the middle cut out, wrapped in the
+    file's special tokens, with the mask of real tokens."""
+    ids = F.col("input_ids")
+    return subword_inputs(spark, sf_dir, vocabulary(spark)).withColumn("attention_mask", tokens.attention_mask(ids))
+
+
+@query()
+def subword_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subword inputs in batches of 16, padded to the longest row in steps of 8."""
+    bpe = vocabulary(spark)
+    rows = subword_inputs(spark, sf_dir, bpe)
+    return batching.pad_batches(batching.number_batches(rows, 16, "doc_id"), bpe.special)
+
+
+@query()
+def subword_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per language: subwords of the whole texts, and how many texts a limit of
+    512 would cut, by how much."""
+    bpe = vocabulary(spark)
+    room = MAX_LENGTH - len(sum(bpe.special.around(), []))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
+    return docs.select("lang", bpe.count(F.col("text")).alias("n")).groupBy("lang").agg(
+        F.count("*").alias("documents"),
+        F.sum("n").alias("tokens"),
+        F.max("n").alias("longest"),
+        F.count_if(F.col("n") > room).alias("cut"),
+        F.sum(F.greatest(F.col("n") - room, F.lit(0))).alias("tokens_lost"),
+    )
