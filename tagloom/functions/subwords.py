@@ -28,6 +28,8 @@ from tagloom.functions.tokens import SpecialTokens, check_lengths, wrap
 MOST_FILE_BYTES = 64 << 20
 # Words remembered per worker, and the longest that is.
 MOST_WORDS, LONGEST_WORD = 500_000, 64
+# Words of texts that are looked up together.
+GROUP_WORDS = 100_000
 # Names under which tokenizer files list their special tokens.
 SPECIAL_NAMES = {
     "cls_id": ("[CLS]",), "sep_id": ("[SEP]",), "pad_id": ("[PAD]", "<pad>"),
@@ -76,24 +78,38 @@ class Encoder:
         self.known: dict[bytes, list[int]] = {}
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str | None]) -> Iterator[list[int]]:
         plain = ["" if t is None else t for t in texts]
         if not self.by_word:
             yield from self.encode(plain)
             return
-        # bytes.split knows ASCII white space only, which every such tokenizer drops.
-        for words in (t.encode("utf-8", "replace").split() for t in plain):
-            missing = list({w for w in words if w not in self.known})
-            if len(self.known) + len(missing) > MOST_WORDS:
-                self.known.clear()
-                missing = list(set(words))
-            self.known.update(zip(missing, self.encode([w.decode() for w in missing]), strict=True))
+        group: list[list[bytes]] = []
+        size = 0
+        for text in plain:
+            # bytes.split knows ASCII white space only, which every such tokenizer drops.
+            words = text.encode("utf-8", "replace").split()
+            group.append(words)
+            size += len(words)
+            if size >= GROUP_WORDS:
+                yield from self.looked_up(group)
+                group, size = [], 0
+        yield from self.looked_up(group)
+
+    def looked_up(self, group: list[list[bytes]]) -> Iterator[list[int]]:
+        """New words of a group of texts are encoded in one call."""
+        used = set().union(*group)
+        missing = [w for w in used if w not in self.known]
+        if len(self.known) + len(missing) > MOST_WORDS:
+            self.known.clear()
+            missing = list(used)
+        self.known.update(zip(missing, self.encode([w.decode() for w in missing]), strict=True))
+        for words in group:
             yield list(chain.from_iterable(map(self.known.__getitem__, words)))
-            for w in missing:
-                if len(w) > LONGEST_WORD:
-                    del self.known[w]
+        for w in missing:
+            if len(w) > LONGEST_WORD:
+                del self.known[w]
 
 
 def encoder(key: str, file: Broadcast) -> Encoder:
