@@ -8,8 +8,10 @@ A conversation is a log of events, folded into its final messages:
 * ``regenerate``: what the message holds is thrown away, and with it all
   messages after it that were opened before this event.
 
-The fold needs no loop: per message the last event that resets it decides, and
-the deltas after it are joined in order. Only Spark's own expressions are used.
+Only a message that is there can be regenerated, so of the regenerations of a
+conversation those that take effect are folded in the order of the log. Per
+message the last event that resets it decides, and the deltas after it are
+joined in order. Only Spark's own expressions are used.
 """
 
 from __future__ import annotations
@@ -48,7 +50,10 @@ def folded(events: DataFrame) -> DataFrame:
     Events have ``conv_id, seq, kind, message, role, text``; a null text is
     empty, the last role given counts. Events of equal ``seq`` apply in the
     order open, edit, regenerate, delta, then by text. Messages never opened
-    do not exist; unknown kinds are ignored. An empty log gives no messages.
+    do not exist, and neither events for them nor those for messages that are
+    gone have an effect; a message that is gone may be opened again. Unknown
+    kinds are ignored. An empty log gives no messages. Events without a conv_id
+    are one conversation. A conversation's messages meet in one row.
     """
     kinds = [*RESETS, "delta"]
     order = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind"))
@@ -57,26 +62,54 @@ def folded(events: DataFrame) -> DataFrame:
         F.struct("seq", order.alias("k"), F.coalesce("text", F.lit("")).alias("text")).alias("e"),
     )
     resets = F.col("kind").isin(*RESETS)
-    opened = F.col("kind") == "open"
+    opened = F.collect_list(F.when(F.col("kind") == "open", F.col("e.seq")))
+    again = F.collect_list(F.when(F.col("kind") == "regenerate", F.struct("e.seq", "e.text")))
     # Deltas of one message meet in one row, as its text does.
     merged = known.groupBy("conv_id", "message").agg(
         F.max(F.when(resets, F.col("e"))).alias("reset"),
-        F.max(F.when(F.col("kind") == "regenerate", F.col("e.seq"))).alias("regenerated"),
-        F.max(F.when(opened, F.col("e.seq"))).alias("opened"),
+        opened.alias("opens"),
+        again.alias("again"),
         F.max(F.when(F.col("role").isNotNull(), F.struct("e.seq", "role"))).alias("r"),
         F.collect_list(F.when(F.col("kind") == "delta", F.col("e"))).alias("deltas"),
     )
-    earlier = Window.partitionBy("conv_id").orderBy("message").rowsBetween(Window.unboundedPreceding, -1)
-    alive = (
-        merged.withColumn("cut", F.max("regenerated").over(earlier))
-        .filter("opened is not null and (cut is null or cut < opened)")
-    )
-    later = F.filter(F.array_sort("deltas"), lambda d: d > F.col("reset"))
+    # Each regeneration with the opening it falls on, if there is one.
+    falls = F.transform(
+        "again",
+        lambda g: F.struct(
+            g.seq.alias("seq"), g.text.alias("text"), F.col("message").alias("message"),
+            F.array_max(F.filter("opens", lambda o: o <= g.seq)).alias("opened"),
+        ),
+    )
     base = F.when(F.col("reset.k") == 3, F.lit("")).otherwise(F.col("reset.text"))
-    return alive.select(
-        "conv_id", "message", F.coalesce("r.role", F.lit("")).alias("role"),
-        F.concat(base, F.array_join(F.transform(later, lambda d: d.text), "")).alias("text"),
+    later = F.filter(F.array_sort("deltas"), lambda d: d > F.col("reset"))
+    held = merged.select(
+        "conv_id", falls.alias("falls"),
+        F.struct(
+            "message", F.array_max("opens").alias("opened"), F.coalesce("r.role", F.lit("")).alias("role"),
+            F.concat(base, F.array_join(F.transform(later, lambda d: d.text), "")).alias("text"),
+        ).alias("m"),
     )
+    whole = held.groupBy("conv_id").agg(
+        F.collect_list("m").alias("messages"), F.array_sort(F.flatten(F.collect_list("falls"))).alias("falls")
+    )
+
+    def gone(cuts: Column, message: Column, opened_at: Column) -> Column:
+        return F.exists(cuts, lambda c: (c.message < message) & (c.seq >= opened_at))
+
+    # A later cut of an earlier message removes all that another would.
+    cuts = F.aggregate(
+        F.filter("falls", lambda g: g.opened.isNotNull()),
+        F.slice("falls", 1, 0),
+        lambda cuts, g: F.when(gone(cuts, g.message, g.opened), cuts).otherwise(
+            F.concat(F.filter(cuts, lambda c: c.message < g.message), F.array(g))
+        ),
+    )
+    alive = F.filter(
+        "messages", lambda m: m.opened.isNotNull() & ~F.coalesce(gone(F.col("cuts"), m.message, m.opened), F.lit(False))
+    )
+    return whole.withColumn("cuts", cuts).select("conv_id", F.explode(alive).alias("m")).select(
+        "conv_id", "m.message", "m.role", "m.text"
+    )
 
 
 def rendered(messages: DataFrame) -> DataFrame:
@@ -124,7 +157,9 @@ def read_back(formatted: Column) -> Column:
 
 def as_events(conversations: DataFrame) -> DataFrame:
     """The log that a streaming front end would have kept of finished turns:
-    each is opened, streamed in two deltas, and an answer is regenerated once.
+    each is opened and streamed in two parts. What a user says replaces a first
+    try by an edit; before an answer is regenerated, a message had been opened
+    after it, which goes with its first try.
 
     Turns are numbered by their order (null turns first, ties by role and
     text), so rows that repeat a turn stay separate messages.
@@ -139,16 +174,21 @@ def as_events(conversations: DataFrame) -> DataFrame:
     half = F.floor(F.length("text") / 2)
     start, rest = F.substr("text", F.lit(1), half), F.substr("text", half + 1)
 
-    def event(step: int, kind: str, text: Column) -> Column:
+    def event(step: int, kind: str, text: Column, after: int = 0) -> Column:
         return F.struct(
-            (F.col("message") * 8 + step).alias("seq"), F.lit(kind).alias("kind"), text.alias("text")
-        )
-
-    plain = [event(0, "open", F.lit("")), event(3, "delta", start), event(4, "delta", rest)]
-    draft = [event(1, "delta", F.lit("...")), event(2, "regenerate", F.lit(""))]
-    log = F.when(F.col("role") == LOSS_ROLE, F.array(*plain, *draft)).otherwise(F.array(*plain))
-    return rows.select("conv_id", "message", "role", F.explode(log).alias("e")).select(
-        "conv_id", "message", "role", "e.seq", "e.kind", "e.text"
+            (F.col("message") * 8 + step).alias("seq"), F.lit(kind).alias("kind"), text.alias("text"),
+            (F.col("message") + after).alias("message"), F.when(F.lit(after == 0), F.col("role")).alias("role"),
+        )
+
+    first = F.lit("...")
+    said = [event(0, "open", first), event(1, "edit", start), event(2, "delta", rest)]
+    answered = [
+        event(0, "open", F.lit("")), event(1, "delta", first), event(2, "open", first, 1), event(3, "delta", first, 1),
+        event(4, "regenerate", F.lit("")), event(5, "delta", start), event(6, "delta", rest),
+    ]
+    log = F.when(F.col("role") == LOSS_ROLE, F.array(*answered)).otherwise(F.array(*said))
+    return rows.select("conv_id", F.explode(log).alias("e")).select(
+        "conv_id", "e.message", "e.role", "e.seq", "e.kind", "e.text"
     )
 
 

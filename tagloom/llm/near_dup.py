@@ -21,7 +21,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -111,27 +111,34 @@ def forest_edges(ids: np.ndarray, a: np.ndarray, b: np.ndarray, forest: Forest)
 
 
 def described(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """``doc_id, n_shingles, set_hash, sign``, one row per input row."""
-    kind = "doc_id long, n_shingles long, set_hash binary, sign binary"
+    """``doc_id, same, n_shingles, set_hash, sign``, one row per input row;
+    ``same`` is the SHA-256 of its text."""
+    kind = "doc_id long, same binary, n_shingles long, set_hash binary, sign binary"
     arrow = arrow_schema(StructType.fromDDL(kind))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in source:
             rows = []
-            for doc_id, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, value, same in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 items = shingles(value, hashes)
                 if len(items):
                     digest = hashlib.blake2b(items.tobytes(), digest_size=16).digest()
-                    rows.append((doc_id, len(items), digest, signature(items).tobytes()))
+                    rows.append((doc_id, same, len(items), digest, signature(items).tobytes()))
                 else:
-                    rows.append((doc_id, 0, None, None))
+                    rows.append((doc_id, same, 0, None, None))
             columns = list(zip(*rows, strict=True)) or [()] * len(arrow)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow
             )
 
-    return docs.select(F.col(id_column).cast("long").alias("i"), F.col(text).alias("t")).mapInArrow(run, kind)
+    return docs.select(
+        F.col(id_column).cast("long").alias("i"), F.col(text).alias("t"), same_text(F.col(text)).alias("s")
+    ).mapInArrow(run, kind)
+
+
+def same_text(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
 def meeting_places(reps: DataFrame, most: int) -> DataFrame:
@@ -225,15 +232,21 @@ def signature_links(reps: DataFrame, most: int) -> DataFrame:
     return placed.mapInArrow(run, EDGES)
 
 
-def confirmed_links(docs: DataFrame, groups: DataFrame, id_column: str, text: str, percent: int) -> DataFrame:
+def confirmed_links(
+    docs: DataFrame, groups: DataFrame, sets: DataFrame, id_column: str, text: str, percent: int
+) -> DataFrame:
     """A spanning forest, per candidate group, of the true links: similarity at
-    least ``percent`` on the full sets, in whole numbers."""
+    least ``percent`` on the full sets, in whole numbers. A set is read from
+    one text that has it."""
     arrow = arrow_schema(StructType.fromDDL(EDGES))
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
     members = groups.join(sizes.select(own_exchange("component"), "n"), "component")
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("t"))
-    sets = shingle_sets(texts.join(members.withColumnRenamed("node", "id"), "id"))
-    cells = in_blocks(sets, "component", "n", SET_BLOCK)
+    members = members.join(sets.select(F.col("id").alias("node"), "first", "same"), "node")
+    texts = docs.select(
+        F.col(id_column).cast("long").alias("first"), same_text(F.col(text)).alias("same"), F.col(text).alias("t")
+    )
+    wanted = texts.join(members.withColumnRenamed("node", "id"), ["first", "same"])
+    cells = in_blocks(shingle_sets(wanted), "component", "n", SET_BLOCK)
     order = ["component", "lo", "hi"]
     placed = cells.select(*order, "id", "own", "items").repartition(*order).sortWithinPartitions(*order)
 
@@ -251,8 +264,12 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
     arrow = arrow_schema(StructType.fromDDL(kind))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, seen = WordHashes(), set()
         for batch in source:
+            # Repeated rows of a text meet in one task.
+            ids = batch.column(0).to_pylist()
+            new = [i for i, x in enumerate(ids) if x not in seen and not seen.add(x)]
+            batch = batch.take(pa.array(new, pa.int64()))
             items = [shingles(t, hashes).tobytes() for t in batch.column(3).to_pylist()]
             columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(items, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
@@ -285,30 +302,60 @@ def true_links(ids: np.ndarray, items: list[np.ndarray], percent: int) -> list[t
     return forest_edges(ids, x[x < y], y[x < y], Forest(n))
 
 
+def grouped(docs: DataFrame, id_column: str, text: str, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of :func:`described`, staged, and the groups of linked sets:
+    ``set_hash``, ``first`` (the set's least doc_id), ``group`` and ``least``
+    (the group's least doc_id)."""
+    rows = stage(described(docs, id_column, text))
+    # The number is a set's own for good once the table is written, also where
+    # one doc_id is the first of several sets.
+    sets = stage(
+        rows.filter("set_hash is not null and doc_id is not null")
+        .groupBy("set_hash")
+        .agg(F.min(F.struct("doc_id", "same")).alias("least"), F.first("sign").alias("sign"))
+        .select("set_hash", "least.same", F.col("least.doc_id").alias("first"), "sign", F.monotonically_increasing_id().alias("id"))
+    )
+    candidates = connected_components(stage(signature_links(sets, distance(percent))), "a", "b")
+    links = confirmed_links(docs, stage(candidates), sets, id_column, text, percent)
+    class_of = connected_components(stage(links), "a", "b")
+    by_set = sets.join(class_of, sets["id"] == class_of["node"], "left").select(
+        "set_hash", "first", F.coalesce("component", "id").alias("group")
+    )
+    return rows, stage(with_least(stage(by_set)))
+
+
+def with_least(by_set: DataFrame) -> DataFrame:
+    least = by_set.groupBy("group").agg(F.min("first").alias("least"))
+    return by_set.join(least.select(own_exchange("group"), "least"), "group").select("set_hash", "first", "group", "least")
+
+
 def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, one row per input row.
 
     Sets with a similarity of ``percent`` or more are linked.
     Null and empty texts, and texts of separators, have no shingles and stand
     alone. Rows with equal sets are linked. Rows that share a doc_id are one
-    node: their links are pooled. A null doc_id is its own component and kept.
+    node: the links of all its texts are its own. A null doc_id is its own
+    component and kept.
     """
-    rows = stage(described(docs, id_column, text))
-    sets = stage(
+    rows, by_set = grouped(docs, id_column, text, percent)
+    # Groups that a doc_id with several sets holds together.
+    several = (
         rows.filter("set_hash is not null and doc_id is not null")
-        .groupBy("set_hash")
-        .agg(F.min("doc_id").alias("id"), F.first("sign").alias("sign"))
+        .groupBy("doc_id")
+        .agg(F.min("set_hash").alias("low"), F.max("set_hash").alias("high"))
+        .filter("low <> high")
+        .select("doc_id")
     )
-    # One doc_id may stand for several sets; each row of it keeps its own.
-    candidates = connected_components(stage(signature_links(sets, distance(percent))), "a", "b")
-    links = confirmed_links(docs, stage(candidates), id_column, text, percent)
-    class_of = connected_components(stage(links), "a", "b")
-    by_set = (
-        sets.join(class_of, sets["id"] == class_of["node"], "left")
-        .select("set_hash", F.coalesce("component", "id").alias("component_id"))
+    held = rows.join(several, "doc_id").join(by_set, "set_hash").select("doc_id", "group").distinct()
+    lowest = held.groupBy("doc_id").agg(F.min("group").alias("low"))
+    joined = connected_components(stage(held.join(lowest, "doc_id").select("group", "low")), "group", "low")
+    pooled = by_set.join(joined, by_set["group"] == joined["node"], "left").select(
+        "set_hash", "first", F.coalesce("component", "group").alias("group")
     )
+    of_set = stage(with_least(stage(pooled)).select("set_hash", F.col("least").alias("component_id")))
     return (
-        rows.join(stage(by_set), "set_hash", "left")
+        rows.join(of_set, "set_hash", "left")
         .select(
             "doc_id", "n_shingles",
             F.coalesce("component_id", "doc_id").alias("component_id"),
@@ -318,10 +365,25 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", perc
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents that are kept, with their own columns."""
-    name = free(docs, "_gone")[0]
-    gone = classes(docs, percent=percent).filter("not kept").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
+    """The documents that are kept, with their own columns: of each group of
+    linked texts that of its least doc_id.
+
+    Texts decide for themselves: where one doc_id has several, each stays or
+    goes with its own group, so no text goes without one like it that stays.
+    Texts without shingles and rows without a doc_id stay, as do repeated rows
+    of the doc_id that is kept.
+    """
+    rows, by_set = grouped(docs, "doc_id", "text", percent)
+    name, same = free(docs, "_gone", "_same")
+    gone = (
+        rows.join(by_set, "set_hash")
+        .filter("doc_id <> least")
+        .select(F.col("doc_id").alias(name), "same")
+        .distinct()
+    )
+    keyed = docs.withColumn(same, same_text(F.col("text")))
+    hit = (F.col("doc_id").cast("long") == F.col(name)) & (F.col(same) == gone["same"])
+    return keyed.join(gone, hit, "left_anti").drop(same)
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:

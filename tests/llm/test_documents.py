@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tagloom.llm import brown, line_dedup, mixing, near_dup, packing, quality, toxicity
 
@@ -98,6 +99,27 @@ def test_near_duplicates_equal_brute_force(docs):
     assert {r["doc_id"] for r in kept.collect()} == {i for i in ids if root(i) == i} | {None}
 
 
+def test_one_id_with_several_texts_loses_none(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    near_b = b.replace("b39", "other")
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, near_b), (9, c), (11, b), (5, b), (20, ""), (20, None), (None, a)]
+    # One id that is the first of two sets that nothing links, and a crowd of
+    # rows with that id.
+    rows += [(1, " ".join(f"p{i}" for i in range(9))), (1, "q r s"), (2, "q r s")] + [(1, f"z{i} z{i} y x w v") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_gone": F.lit(1), "same": F.lit(2)})
+    got = near_dup.classes(docs).collect()
+    assert len(got) == len(rows)
+    # 5 holds a and b, 7 holds near_b and c: all are one by their ids.
+    assert {r["component_id"] for r in got if r["doc_id"] in (3, 5, 7, 9, 11)} == {3}
+    assert {r["component_id"] for r in got if r["doc_id"] in (1, 2)} == {1}
+    assert all(r["kept"] == (r["doc_id"] in (3, 1, 20, None)) for r in got)
+    kept = near_dup.one_of_each(docs)
+    assert kept.columns == docs.columns
+    left = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    want = [r for r in rows if r not in ((5, a), (7, near_b), (9, c), (11, b), (2, "q r s"))]
+    assert left == sorted(want, key=str)
+
+
 def test_every_close_signature_shares_a_key():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 256, (200, near_dup.POSITIONS)).astype(np.uint8)

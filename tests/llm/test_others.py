@@ -94,29 +94,47 @@ def brute_fold(events):
 def test_fold_equals_replay(spark):
     rng = random.Random(8)
     rows, want = [], {}
-    for conv in range(40):
+    for conv in range(300):
         events, seq, opened = [], 0, 0
         for _ in range(rng.randint(1, 25)):
             seq += 1
+            seq -= rng.random() < 0.1 and bool(events)
             if opened == 0 or rng.random() < 0.3:
-                events.append((seq, "open", opened, rng.choice(["user", "assistant"]), rng.choice([None, "", "hi "])))
-                opened += 1
+                # Now and then a message is opened again, be it there or gone.
+                at = rng.randrange(opened) if opened and rng.random() < 0.2 else opened
+                events.append((seq, "open", at, rng.choice(["user", "assistant"]), rng.choice([None, "", "hi "])))
+                opened = max(opened, at + 1)
             else:
                 kind = rng.choice(["delta", "delta", "delta", "edit", "regenerate"])
                 events.append((seq, kind, rng.randrange(opened), None, rng.choice(NASTY)))
-        alive = brute_fold(events)
-        # An event for a message that is gone has no effect on later ones.
-        gone = {e[2] for e in events} - set(alive)
-        if any(e[1] == "regenerate" and e[2] in gone for e in events):
-            continue
-        want[conv] = alive
+        want[conv] = brute_fold(events)
         rows += [(conv, *e) for e in events]
     rng.shuffle(rows)
     log = spark.createDataFrame(rows, "conv_id long, seq long, kind string, message long, role string, text string")
     got = {}
     for r in chat.folded(log).collect():
         got.setdefault(r["conv_id"], {})[r["message"]] = [r["role"], r["text"]]
-    assert got == want and len(want) > 10
+    assert got == {conv: alive for conv, alive in want.items() if alive}
+    assert sum(len(e) for e in want.values()) > 300
+
+
+def test_fold_keeps_messages_after_a_regeneration_of_one_that_is_gone(spark):
+    kinds = [("open", 0), ("open", 1), ("regenerate", 0), ("open", 2), ("regenerate", 1)]
+    rows = [(None, i, k, m, "user", "t") for i, (k, m) in enumerate(kinds)]
+    log = spark.createDataFrame(rows, "conv_id long, seq long, kind string, message long, role string, text string")
+    assert [tuple(r) for r in chat.folded(log).orderBy("message").collect()] == [(None, 0, "user", ""), (None, 2, "user", "t")]
+    assert chat.folded(log.limit(0)).count() == 0
+
+
+def test_a_long_conversation_and_rows_without_one(spark):
+    rows = [(None, i, "assistant" if i % 2 else "user", "w" * (i % 5)) for i in range(3000)]
+    rows += [(4, None, None, None), (4, None, None, "x" * 400_000)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    done = chat.rendered(chat.folded(chat.as_events(table))).withColumn("turns", chat.read_back(F.col("formatted")))
+    got = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in done.select("conv_id", "turns").collect()}
+    assert got[None] == [r[2:] for r in rows[:3000]]
+    assert got[4] == [("", ""), ("", "x" * 400_000)]
+    assert chat.rendered(chat.folded(chat.as_events(table.limit(0)))).count() == 0
 
 
 def test_rendering_reads_back(spark):
