@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -377,11 +378,26 @@ def test_language_model(docs, empty, monkeypatch):
         assert found and r["score"] < 0
     assert np.allclose((10**model.step).sum(1), 1)
     # Emissions of a class, its unseen slot included, add up to one.
-    frequent = {h: int(model.classes[u]) for h, u in model.frequent.items()}
+    frequent = {int(h): int(model.classes[u]) for h, u in zip(model.frequent.keys, model.frequent.values, strict=True)}
+
+    def class_of(w):
+        word = pa.array([w.decode()], pa.large_string())
+        own = frequent.get(int(brown.hashes_of(word)[0]))
+        return int(model.classes[brown.ending_units(word)[0]]) if own is None else own
+
+    # Scores are transitions times emissions, word by word.
+    want = defaultdict(list)
+    for i, text, *_ in ROWS:
+        line = [0, *[class_of(w) for w in words_of(text)], 0]
+        total = sum(model.step[a, b] - model.norm[b] for a, b in zip(line, line[1:], strict=False))
+        total += sum(np.log10(count[w] + brown.ALPHA) for w in words_of(text)) + np.log10(ends + brown.ALPHA)
+        want[i].append(total)
+    for r in got:
+        assert any(abs(r["score"] - x) < 1e-6 * abs(x) for x in want[r["doc_id"]])
     mass = Counter()
     kinds = Counter()
     for w, c in count.items():
-        cls = frequent.get(brown.hash_of(w), int(model.classes[brown.ending_unit(w)]))
+        cls = class_of(w)
         mass[cls] += c + brown.ALPHA
         kinds[cls] += 1
     for cls, total in mass.items():
