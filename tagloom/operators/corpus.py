@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions import text
+from tagloom.operators.staging import stage
 
 SAMPLE_COLUMNS = [
     "id", "code", "label", "cwe", "cwe_name", "source", "language", "project", "group_id", "ord",
@@ -68,6 +69,58 @@ def first_per_fingerprint(
     )
 
 
+# Losing rows that are broadcast as they are, and bits of the filter that
+# stands for more of them: 8,192 bitmaps of 4 KiB at most.
+MOST_BROADCAST, FILTER_BITS = 1_000_000, 1 << 28
+
+
+def first_by_keys(
+    df: DataFrame, fingerprint: Column, order: str = "ord", name: str = "code_hash", path: str | None = None
+) -> DataFrame:
+    """:func:`first_per_fingerprint` without moving a text that stays.
+
+    Which rows lose is found on fingerprints and the unique ``order`` alone,
+    staged at ``path``. Up to ``MOST_BROADCAST`` losing rows are broadcast.
+    For more, a Bloom filter of fixed size is; rows that miss it stay where
+    they are, and only rows that hit it are joined with the losing ones.
+    The input is read once for the keys and once or twice for the rows.
+    """
+    keyed = df.withColumn(name, fingerprint)
+    keys = stage(keyed.select(F.col(name).alias("_key"), F.col(order).alias("_ord")), path and f"{path}/keys")
+    again = keys.groupBy("_key").agg(F.min("_ord").alias("_first"), F.max("_ord").alias("_last")).filter("_first < _last")
+    late = keys.join(again.select("_key", "_first"), "_key").filter("_ord > _first").select("_ord")
+    losers = stage(late, path and f"{path}/losers")
+    count = losers.count()
+    mine = F.col(order) == F.col("_ord")
+    if count <= MOST_BROADCAST:
+        return keyed.join(F.broadcast(losers), mine, "left_anti") if count else keyed
+    hit = bloom_hit(keyed, losers, order)
+    return hit.filter("not _hit").unionByName(hit.filter("_hit").join(losers, mine, "left_anti")).drop("_hit")
+
+
+def bloom_hit(df: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    """Add ``_hit``: false only where ``column`` is none of the ``values``, a
+    table of one column. The filter has one hash and ``FILTER_BITS`` bits."""
+
+    def bit(value: Column) -> Column:
+        return F.pmod(F.xxhash64(value), F.lit(FILTER_BITS)) + 1
+
+    places = values.select(bit(F.col(values.columns[0])).alias("p"))
+    bitmaps = places.groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits")
+    )
+    at = F.bitmap_bit_position(bit(F.col(column)))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    on = F.expr("shiftright(_byte, _at)").bitwiseAND(1) == 1
+    marked = df.withColumn("_bucket", F.bitmap_bucket_number(bit(F.col(column))))
+    return (
+        marked.join(F.broadcast(bitmaps), "_bucket", "left")
+        .withColumns({"_byte": byte, "_at": at.bitwiseAND(7).cast("int")})
+        .withColumn("_hit", F.coalesce(on, F.lit(False)))
+        .select(*df.columns, "_hit")
+    )
+
+
 def task_rows(df: DataFrame, task: str) -> DataFrame:
     """Classification uses flawed samples with a known class; detection all."""
     if task == "classification":

@@ -52,8 +52,9 @@ def distinct_samples(
     kept = splits.first_rows(kept, max_samples)
     kept = kept.withColumn("code", text.truncate_middle(F.col("code"), data["max_code_chars"]))
     if data["dedup"]:
-        kept = corpus.first_per_fingerprint(kept, text.fingerprint(F.col("code")))
+        kept = corpus.first_by_keys(kept, text.fingerprint(F.col("code")), path=f"{path}-keys")
     staged = stage(kept, path)
+    documents.remove(samples.sparkSession, f"{path}-keys")
     counts = seen.get
     log.info("read %s samples, %s too short", counts["read"], counts["short"])
     return staged

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tagloom import schemas
@@ -113,3 +114,32 @@ def test_class_count(spark):
     assert labels.class_count(df, 3).first()["num_labels"] == 7
     assert labels.class_count(df, 9).first()["num_labels"] == 9
     assert labels.class_count(df.limit(0), 0).first()["num_labels"] == 1
+
+
+@pytest.mark.parametrize("most,bits", [(1_000_000, 1 << 28), (0, 1 << 28), (0, 1 << 16), (0, 4)])
+def test_first_by_keys_equals_the_window(spark, monkeypatch, most, bits):
+    monkeypatch.setattr(corpus, "MOST_BROADCAST", most)
+    monkeypatch.setattr(corpus, "FILTER_BITS", bits)
+    rng = random.Random(bits)
+    rows = [(o, f"t{rng.randrange(60)}" if rng.random() < 0.6 else f"u{o}", "x") for o in rng.sample(range(-(1 << 40), 1 << 40), 400)]
+    rows += [(1 << 50, None, "x"), ((1 << 50) + 1, None, "x"), ((1 << 50) + 2, "", "x")] + [(-5 - i, "hot", "x") for i in range(300)]
+    df = spark.createDataFrame(rows, "ord long, code string, _key string").repartition(5)
+    mark = text.fingerprint(F.coalesce("code", F.lit("")))
+    want = sorted(tuple(r) for r in corpus.first_per_fingerprint(df, mark).select("ord", "code_hash").collect())
+    done = corpus.first_by_keys(df, mark)
+    assert sorted((r["ord"], r["code_hash"]) for r in done.collect()) == want
+    assert done.columns == [*df.columns, "code_hash"]
+    none = corpus.first_by_keys(df.filter("code like 'u%'"), mark)
+    assert none.count() == df.filter("code like 'u%'").count()
+    assert corpus.first_by_keys(df.limit(0), mark).count() == 0
+
+
+def test_texts_that_stay_are_not_moved(spark):
+    from contextlib import redirect_stdout
+    from io import StringIO
+
+    df = spark.createDataFrame([(i, f"t{i % 4}") for i in range(9)], "ord long, code string")
+    out = StringIO()
+    with redirect_stdout(out):
+        corpus.first_by_keys(df, text.fingerprint(F.col("code"))).explain()
+    assert "Exchange hashpartitioning" not in out.getvalue() and "BroadcastHashJoin" in out.getvalue()
