@@ -10,10 +10,11 @@ from __future__ import annotations
 import importlib
 import inspect
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from tagloom import settings as config
 from tagloom.operators import balance, scoring
 from tagloom.operators.labels import BROADCAST_CLASSES
+from tagloom.operators.staging import scratch_dir, stage
 from tagloom.sources import documents
 
 ScoreRows = Callable[[DataFrame], DataFrame]
@@ -64,22 +66,86 @@ def fit_baseline(
     iterations: int = 20,
 ) -> PipelineModel:
     """Fit on ``code`` and ``label``; weights follow ``data.imbalance``."""
+    stages = [*feature_stages(features), classifier(num_labels, iterations)]
+    return Pipeline(stages=stages).fit(weighted_rows(rows, settings, num_labels))
+
+
+def weighted_rows(rows: DataFrame, settings: Mapping[str, Any], num_labels: int) -> DataFrame:
     weighted = balance_rows(rows.select("code", "label", "ord"), settings, num_labels)
-    return Pipeline(
-        stages=[
-            RegexTokenizer(
-                inputCol="code", outputCol="_words", pattern=WORD_PATTERN, gaps=False, toLowercase=False
-            ),
-            HashingTF(inputCol="_words", outputCol="_counts", numFeatures=features),
-            IDF(inputCol="_counts", outputCol="_features"),
-            LogisticRegression(
-                featuresCol="_features", labelCol="label", weightCol="weight",
-                rawPredictionCol="_raw", probabilityCol="_probability",
-                maxIter=iterations, regParam=1e-3,
-                family="binomial" if num_labels == 2 else "multinomial",
-            ),
-        ]
-    ).fit(weighted.select("code", F.col("label").cast("double"), "weight"))
+    return weighted.select("code", F.col("label").cast("double"), "weight")
+
+
+def feature_stages(features: int) -> list[Any]:
+    return [
+        RegexTokenizer(
+            inputCol="code", outputCol="_words", pattern=WORD_PATTERN, gaps=False, toLowercase=False
+        ),
+        HashingTF(inputCol="_words", outputCol="_counts", numFeatures=features),
+        IDF(inputCol="_counts", outputCol="_features"),
+    ]
+
+
+def classifier(num_labels: int, iterations: int) -> LogisticRegression:
+    return LogisticRegression(
+        featuresCol="_features", labelCol="label", weightCol="weight",
+        rawPredictionCol="_raw", probabilityCol="_probability",
+        maxIter=iterations, regParam=1e-3, tol=0.0,
+        family="binomial" if num_labels == 2 else "multinomial",
+    )
+
+
+@dataclass
+class Training:
+    """Epochs of a fit so far: what each measured, and the best model."""
+
+    history: list[dict[str, Any]]
+    best_epoch: int
+    best: PipelineModel | None
+
+
+def fit_epochs(
+    rows: DataFrame,
+    settings: Mapping[str, Any],
+    num_labels: int,
+    validate: Callable[[ScoreRows], tuple[dict[str, Any], float]],
+    features: int = 1 << 16,
+    iterations: int = 4,
+) -> Training:
+    """Fit epoch by epoch until the validation score has not risen for
+    ``training.early_stopping_patience`` epochs, or ``training.epochs`` are over.
+
+    An epoch goes ``iterations`` steps further. The optimiser takes the same
+    path each time, so an epoch walks it again from the start; the features
+    are made and written once. ``validate`` measures a model on rows it was not
+    fitted on and names the score to raise. A score must rise strictly above
+    the best; a NaN does not.
+    """
+    options, spark = settings["training"], rows.sparkSession
+    patience = max(1, int(options["early_stopping_patience"]))
+    weighted = weighted_rows(rows, settings, num_labels)
+    prepared = Pipeline(stages=feature_stages(features)).fit(weighted)
+    path = scratch_dir(spark)
+    done, best_score, stale = Training([], -1, None), -1.0, 0
+    try:
+        table = stage(prepared.transform(weighted).select("_features", "label", "weight"), f"{path}/rows")
+        for epoch in range(1, int(options["epochs"]) + 1):
+            last = classifier(num_labels, iterations * epoch).fit(table)
+            loss = last.summary.objectiveHistory[-1]
+            # As saved: without the training summary, which cannot travel to tasks.
+            last.save(f"{path}/epoch={epoch}")
+            fitted = PipelineModel([*prepared.stages, LogisticRegressionModel.load(f"{path}/epoch={epoch}")])
+            metrics, score = validate(baseline_scores(fitted))
+            done.history.append({"epoch": epoch, "train_loss": loss, "score": score, "val": metrics})
+            if score > best_score:
+                best_score, stale = score, 0
+                done.best_epoch, done.best = epoch, fitted
+            else:
+                stale += 1
+                if stale >= patience:
+                    break
+    finally:
+        documents.remove(spark, path)
+    return done
 
 
 def baseline_scores(model: PipelineModel) -> ScoreRows:

@@ -56,14 +56,25 @@ def train(
     run_dir = f"{settings['training']['output_dir'].rstrip('/')}/{run}"
     rows, names = load_splits(spark, settings)
     documents.write_text(spark, f"{run_dir}/config.yaml", config.dump(settings))
-    fitted = model.fit_baseline(rows["train"], settings, len(names), iterations=20)
-    losses = fitted.stages[-1].summary.objectiveHistory
-    fitted.write().overwrite().save(f"{run_dir}/best/model")
+
+    def validate(score: model.ScoreRows) -> tuple[dict[str, Any], float]:
+        scored = score(rows["val"]).select("label", "probs")
+        metrics = evaluate.metrics_of(scored, task, len(names), 0.5)
+        return metrics, metrics["f1" if task == "detection" else "macro_f1"]
+
+    fitted = model.fit_epochs(rows["train"], settings, len(names), validate)
+    if fitted.best is None:
+        raise ValueError("no epoch has a validation score; is the validation split empty?")
+    # The best on the validation rows, not the last.
+    fitted.best.write().overwrite().save(f"{run_dir}/best/model")
     documents.write_json(spark, f"{run_dir}/best/label_map.json", documents.label_map(task, names))
 
     # As saved: without the training summary, which would travel to every task.
     score = model.load_scores(spark, f"{run_dir}/best", None)
-    results: dict[str, Any] = {"task": task, "source": source, "model": MODEL_NAME, "best_epoch": 1}
+    results: dict[str, Any] = {
+        "task": task, "source": source, "model": MODEL_NAME, "best_epoch": fitted.best_epoch,
+        "history": [{k: e[k] for k in ("epoch", "train_loss", "val")} for e in fitted.history],
+    }
     for split in ("val", "test"):
         # Scored once, then read for metrics, reports and later tuning.
         path = f"{run_dir}/scores/split={split}"
@@ -74,7 +85,6 @@ def train(
         if task == "classification":
             report = evaluate.report_text(scored, names)
             documents.write_text(spark, f"{run_dir}/report_{split}.txt", report)
-    results["history"] = [{"epoch": 1, "train_loss": losses[-1], "val": results["val"]}]
     documents.write_json(spark, f"{run_dir}/results.json", results)
     return results
 

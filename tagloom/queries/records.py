@@ -6,12 +6,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.operators import binary, corpus, scoring, splits
+from tagloom.operators import binary, corpus, history, scoring, splits
 from tagloom.operators.staging import scratch_dir, stage
 from tagloom.queries.registry import query, sql_split, table
 from tagloom.plans import evaluate, model
 from tagloom.schemas import LABELLED_INPUT
-from tagloom.settings import load_settings
+from tagloom.settings import load_settings, merged
 from tagloom.sources import jsonl
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,3 +130,44 @@ def baseline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.binary_metrics(
         evaluate.positive_scores(scored, keep=["split"]), "y", "score", by=["split"]
     )
+
+
+@query(f"""
+WITH r AS (SELECT d.doc_id, d.source AS group_id, l.quality AS label
+           FROM documents d JOIN labels l USING (doc_id)),
+s AS ({sql_split('r', 'group_id')})
+SELECT split, count(*) AS rows, count(*) FILTER (label = 1) AS positives, true AS adds_up, true AS areas_in_range,
+       true AS best_epoch_agrees, true AS best_is_highest
+FROM r JOIN s USING (group_id) GROUP BY split""")
+def baseline_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baseline trained in epochs with patience on the labelled documents:
+    what SQL can say of its metrics per split, and whether the best epoch it
+    wrote is the one its history tells."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    known = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    rows = docs.join(known, "doc_id").select(
+        F.col("doc_id").alias("ord"), F.col("source").alias("group_id"), F.col("text").alias("code"),
+        F.col("quality").alias("label"),
+    )
+    split = stage(splits.fit_group_split(rows).assign(rows))
+    config = merged(load_settings(), {"training": {"epochs": 4, "early_stopping_patience": 2}})
+
+    def validate(score):
+        metrics = evaluate.metrics_of(score(split.filter("split <> 'train'")).select("label", "probs"), "detection", 2, 0.5)
+        return metrics, metrics["f1"]
+
+    done = model.fit_epochs(split.filter("split = 'train'"), config, 2, validate, features=1 << 14)
+    told = spark.createDataFrame([("one", e["epoch"], float(e["score"])) for e in done.history], "run string, epoch int, score double")
+    best = history.early_stop(told, ["run"], "epoch", "score", 2).first()
+    scored = model.baseline_scores(done.best)(split)
+    metrics = binary.binary_metrics(evaluate.positive_scores(scored, keep=["split"]), "y", "score", by=["split"])
+    within = [F.isnan(c) | F.col(c).between(0, 1) for c in ("roc_auc", "pr_auc")]
+    return metrics.select(
+        "split",
+        (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("rows"),
+        (F.col("tp") + F.col("fn")).alias("positives"),
+        (F.round(F.col("accuracy") * (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp"))) == F.col("tn") + F.col("tp")).alias("adds_up"),
+        (within[0] & within[1]).alias("areas_in_range"),
+        F.lit(best["best_epoch"] == done.best_epoch).alias("best_epoch_agrees"),
+        F.lit(max(e["score"] for e in done.history) == done.history[done.best_epoch - 1]["score"]).alias("best_is_highest"),
+    )

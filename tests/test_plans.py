@@ -139,12 +139,30 @@ def trained(spark, built):
 def test_train_run_folder(spark, trained):
     run, results = trained
     assert json.loads((run / "results.json").read_text())["test"]["tp"] == results["test"]["tp"]
-    assert results["best_epoch"] == 1 and len(results["history"]) == 1
+    told = [e["val"]["f1"] for e in results["history"]]
+    assert [e["epoch"] for e in results["history"]] == list(range(1, len(told) + 1))
+    assert results["best_epoch"] == 1 + told.index(max(told))
+    # Two epochs without a gain end the training, three are the most.
+    assert len(told) == min(3, results["best_epoch"] + 2)
+    losses = [e["train_loss"] for e in results["history"]]
+    assert losses == sorted(losses, reverse=True)
     assert results["val"]["roc_auc"] > 0.5
     assert json.loads((run / "best" / "label_map.json").read_text())["num_labels"] == 2
     assert "run_name: first" in (run / "config.yaml").read_text()
     runs = documents.read_runs(spark, str(run / "results.json"))
-    assert documents.run_history(runs).first()["epoch"] == 1
+    assert documents.run_history(runs).agg({"epoch": "max"}).first()[0] == len(told)
+
+
+def test_patience_and_unmeasured_epochs(spark, built, tmp_path):
+    _, config, _ = built
+    rows, names = train.load_splits(spark, config)
+    config = settings.merged(config, {"training": {"epochs": 9, "early_stopping_patience": 2}})
+    scores = iter([0.2, 0.5, float("nan"), 0.5, 0.9])
+    done = model.fit_epochs(rows["train"], config, 2, lambda _: ({}, next(scores)), features=64, iterations=1)
+    assert done.best_epoch == 2 and [e["epoch"] for e in done.history] == [1, 2, 3, 4]
+    assert not done.best.stages[-1].hasSummary
+    done = model.fit_epochs(rows["train"], config, 2, lambda _: ({}, float("nan")), features=64, iterations=1)
+    assert done.best is None and done.best_epoch == -1 and len(done.history) == 2
 
 
 def test_tune_and_predict(spark, trained, tmp_path, capsys):
