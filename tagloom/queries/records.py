@@ -150,13 +150,13 @@ def baseline_training(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("quality").alias("label"),
     )
     split = stage(splits.fit_group_split(rows).assign(rows))
-    config = merged(load_settings(), {"training": {"epochs": 4, "early_stopping_patience": 2}})
+    config = merged(load_settings(), {"training": {"epochs": 3, "early_stopping_patience": 2}})
 
     def validate(score):
         metrics = evaluate.metrics_of(score(split.filter("split <> 'train'")).select("label", "probs"), "detection", 2, 0.5)
         return metrics, metrics["f1"]
 
-    done = model.fit_epochs(split.filter("split = 'train'"), config, 2, validate, features=1 << 14)
+    done = model.fit_epochs(split.filter("split = 'train'"), config, 2, validate, features=1 << 14, iterations=3)
     told = spark.createDataFrame([("one", e["epoch"], float(e["score"])) for e in done.history], "run string, epoch int, score double")
     best = history.early_stop(told, ["run"], "epoch", "score", 2).first()
     scored = model.baseline_scores(done.best)(split)
