@@ -1,149 +1,102 @@
 """Toxicity by nearest labelled examples (operator 6).
 
-Examples and documents are TF-IDF vectors over terms that training labels mark
-as telling. The examples of a bounded sample form an inverted index in blocks,
-each term holding its largest weight per block. A document visits blocks by
-falling upper bound and stops when none can change its ``NEIGHBOURS`` nearest,
-so the cosines are exact. Neighbours vote with their cosine; a logistic curve
-fitted on the examples, each without itself, makes the vote a probability.
+Examples and documents are TF-IDF vectors over every term of the examples. A
+term that goes with the label beyond chance weighs more, by its evidence; none
+is left out. The examples of a bounded sample form an inverted index in blocks,
+each term holding its largest weight per block. A document reads the blocks of
+highest bound, then all that can still change its ``NEIGHBOURS`` nearest, so the
+cosines are exact. Neighbours vote with their cosine; a logistic curve fitted on
+the examples, each without itself, makes the vote a probability.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tagloom.llm.words import arrow_schema, remainder
+from tagloom.llm.words import arrow_schema, coded, hashes_of, remainder
 from tagloom.operators.staging import stage
 
-# Bounds of the fitted model: labelled rows it learns from, and its terms.
-MOST_EXAMPLES = 20_000
-MOST_TERMS = 8192
-# A term tells if it is so much commoner in toxic examples, by a
-# likelihood-ratio statistic far beyond chance.
-LEAST_RATIO, LEAST_EVIDENCE, LEAST_SEEN = 6.0, 25.0, 4
+# Bound of the fitted model: labelled rows it learns from, by smallest id hash.
+MOST_EXAMPLES = 6_000
 NEIGHBOURS = 15
 BLOCK = 64
+# Blocks read before the rest is held against the nearest found so far.
+FIRST_BLOCKS = 4
+# Standard errors from which a term's evidence multiplies its weight.
+CHANCE = 4.0
 # Weight of the base rate against the neighbours' votes.
-PRIOR = 0.5
+PRIOR = 0.05
 THRESHOLD = 0.3
-PREFIXES = (4, 5)
-EDGES = b".,;:!?\"'()[]{}<>*#&%$|-_"
-WORDS_KEPT = 300_000
+EDGES = ".,;:!?\"'()[]{}<>*#&%$|-_"
 
 
-def word_terms(word: bytes) -> tuple[bytes, ...]:
-    """The bare word, and its first characters where it is longer."""
-    bare = word.strip(EDGES)
-    if not bare:
-        return ()
-    text = bare.decode("utf-8", "replace")
-    starts = [b"^" + text[:n].encode() for n in PREFIXES if len(text) > n]
-    return (bare, *starts)
+def term_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``text, term hash, times`` of a batch, by text and term. A term is a
+    lower-cased word without the marks around it."""
+    words, at, sizes = coded(texts)
+    bare = pc.ascii_trim(words, characters=EDGES)
+    full = pc.greater(pc.binary_length(bare), 0).to_numpy(zero_copy_only=False)
+    terms, term_of = np.unique(hashes_of(bare), return_inverse=True)
+    text_of = np.repeat(np.arange(len(sizes)), sizes)[full[at]]
+    width = max(1, len(terms))
+    code, times = np.unique(text_of * width + term_of[at[full[at]]], return_counts=True)
+    return code // width, terms[code % width] if len(code) else np.zeros(0, np.int64), times
 
 
-def lowered(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def known_counts(texts: pa.Array, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``term_counts`` with term numbers, of the terms in ``hashes`` alone."""
+    text, term, times = term_counts(texts)
+    if not len(hashes):
+        return text[:0], term[:0], times[:0]
+    number = np.minimum(np.searchsorted(hashes, term), len(hashes) - 1)
+    known = hashes[number] == term
+    return text[known], number[known], times[known]
 
 
-def example_terms(examples: DataFrame) -> DataFrame:
-    """``toxic, term`` once per example and term."""
-    kind = "toxic int, term binary"
-    arrow = arrow_schema(StructType.fromDDL(kind))
-
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            labels, terms = [], []
-            for label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = {t for w in set(lowered(text)) for t in word_terms(w)}
-                terms += own
-                labels += [label] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(terms, pa.binary())], schema=arrow)
-
-    return examples.select("toxic", "text").mapInArrow(run, kind)
-
-
-def telling_terms(examples: DataFrame) -> list[bytes]:
-    """At most ``MOST_TERMS`` terms, by falling evidence."""
-    totals = examples.agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("n")).first()
-    toxic, rest = float(totals["t"]), float(totals["n"])
-    if not toxic or not rest:
-        return []
+def evidence(toxic: np.ndarray, rest: np.ndarray, n_toxic: int, n_rest: int) -> np.ndarray:
+    """Standard errors between a term's rates among toxic and other examples:
+    the root of the likelihood-ratio statistic."""
 
     def likelihood(k, n, p):
-        one = F.when((k > 0) & (p > 0), k * F.log(p)).otherwise(0.0)
-        return one + F.when((n - k > 0) & (p < 1), (n - k) * F.log(1 - p)).otherwise(0.0)
-
-    a, b, nt, nn = F.col("a"), F.col("b"), F.lit(toxic), F.lit(rest)
-    p = (a + b) / (nt + nn)
-    evidence = 2 * (
-        likelihood(a, nt, a / nt) + likelihood(b, nn, b / nn) - likelihood(a, nt, p) - likelihood(b, nn, p)
-    )
-    found = (
-        example_terms(examples)
-        .groupBy("term")
-        .agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
-        .filter(a >= LEAST_SEEN)
-        .withColumn("g", F.round(evidence, 6))
-        .filter((F.col("g") >= LEAST_EVIDENCE) & (a / nt >= LEAST_RATIO * (b + 1) / (nn + 1)))
-        .orderBy(F.desc("g"), "term")
-        .limit(MOST_TERMS)
-    )
-    return [bytes(r["term"]) for r in found.select("term").collect()]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            one = np.where(k > 0, k * np.log(p), 0.0)
+            return one + np.where(n > k, (n - k) * np.log1p(-p), 0.0)
 
+    if not n_toxic or not n_rest:
+        return np.zeros(len(toxic))
+    p = (toxic + rest) / (n_toxic + n_rest)
+    apart = likelihood(toxic, n_toxic, toxic / n_toxic) + likelihood(rest, n_rest, rest / n_rest)
+    return np.sqrt(np.maximum(2 * (apart - likelihood(toxic, n_toxic, p) - likelihood(rest, n_rest, p)), 0.0))
 
-class Terms:
-    """Counts of the telling terms of a text; words are looked up once."""
 
-    def __init__(self, terms: list[bytes]):
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.known: dict[bytes, tuple[int, ...]] = {}
-
-    def look_up(self, word: bytes) -> tuple[int, ...]:
-        if len(self.known) >= WORDS_KEPT:
-            self.known.clear()
-        found = tuple(self.number[t] for t in word_terms(word) if t in self.number)
-        self.known[word] = found
-        return found
-
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        known, counts = self.known, Counter()
-        for word in lowered(text):
-            found = known.get(word)
-            if found is None:
-                found = self.look_up(word)
-            if found:
-                counts.update(found)
-        terms = sorted(counts)
-        return np.array(terms, np.int64), np.array([counts[t] for t in terms], np.float64)
-
-
-def document_frequency(docs: DataFrame, terms: list[bytes]) -> tuple[int, np.ndarray]:
-    """Number of all documents, and of those with each term."""
+def document_frequency(docs: DataFrame, hashes: np.ndarray) -> tuple[int, np.ndarray]:
+    """Number of all documents, and of those with each term. A task counts in
+    one array, as long as the examples have terms."""
     kind = "term int, n long"
     arrow = arrow_schema(StructType.fromDDL(kind))
-    size = len(terms)
+    size = len(hashes)
+    shared = docs.sparkSession.sparkContext.broadcast(hashes)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, total = Terms(terms), np.zeros(size + 1, np.int64)
+        total = np.zeros(size + 1, np.int64)
         for batch in source:
-            for text in batch.column(0).to_pylist():
-                total[find(text)[0]] += 1
-                total[size] += 1
+            _, number, _ = known_counts(batch.column(0), shared.value)
+            total[:size] += np.bincount(number, minlength=size)
+            total[size] += batch.num_rows
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], schema=arrow)
 
-    counts = docs.select("text").mapInArrow(run, kind).groupBy("term").agg(F.sum("n").alias("n")).collect()
+    found = docs.select("text").mapInArrow(run, kind).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(size + 1, np.int64)
-    for r in counts:
-        total[r["term"]] = r["n"]
+    total[found.column("term").to_numpy()] = found.column("n").to_numpy()
     return int(total[size]), total[:size]
 
 
@@ -151,11 +104,10 @@ def document_frequency(docs: DataFrame, terms: list[bytes]) -> tuple[int, np.nda
 class Index:
     """Examples in blocks, and per term its postings and block maxima."""
 
-    terms: list[bytes]
-    idf: np.ndarray
+    hashes: np.ndarray
+    weight: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    post_at: np.ndarray  # term -> first posting
     post_doc: np.ndarray
     post_weight: np.ndarray
     head_at: np.ndarray  # term -> first (term, block) head
@@ -167,45 +119,41 @@ class Index:
     shift: float = 0.0
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(counts)) * self.idf[terms]
+        w = (1 + np.log(counts)) * self.weight[terms]
         return w / np.sqrt((w * w).sum()) if len(w) else w
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, but: int = -1, k: int = NEIGHBOURS):
         """Example numbers and cosines of the ``k`` nearest with a term in
         common; equal cosines by number."""
-        if not len(terms):
-            return np.zeros(0, np.int64), np.zeros(0)
-        low, high = self.head_at[terms], self.head_at[terms + 1]
-        size = high - low
-        heads = np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        heads, size = spans(self.head_at[terms], self.head_at[terms + 1])
         if not len(heads):
             return np.zeros(0, np.int64), np.zeros(0)
-        q = np.repeat(weights, size)
-        blocks, of = np.unique(self.head_block[heads], return_inverse=True)
-        bounds = np.bincount(of, q * self.head_most[heads])
-        order = np.argsort(-bounds, kind="stable")
-        rank = np.empty_like(order)
-        rank[order] = np.arange(len(order))
-        head_rank = rank[of]
-        docs, cosines = np.zeros(0, np.int64), np.zeros(0)
-        at, step = 0, 4
-        while at < len(order):
-            if len(cosines) >= k and bounds[order[at]] < cosines[-1] - 1e-12:
-                break
-            pick = (head_rank >= at) & (head_rank < at + step)
-            h, w = heads[pick], q[pick]
-            first, length = self.head_post[h], self.head_post[h + 1] - self.head_post[h]
-            posts = np.repeat(first - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
-            found, where = np.unique(self.post_doc[posts], return_inverse=True)
-            score = np.bincount(where, np.repeat(w, length) * self.post_weight[posts])
-            if but >= 0:
-                score, found = score[found != but], found[found != but]
-            docs, cosines = np.concatenate([docs, found]), np.concatenate([cosines, score])
-            best = np.lexsort((docs, -np.round(cosines, 12)))[:k]
-            docs, cosines = docs[best], cosines[best]
-            at, step = at + step, 2 * step
+        q, block = np.repeat(weights, size), self.head_block[heads]
+        bounds = np.bincount(block, q * self.head_most[heads])
+        first = np.argsort(-bounds, kind="stable")[:FIRST_BLOCKS]
+        chosen = np.zeros(len(bounds), bool)
+        chosen[first] = True
+        docs, cosines = self.read(heads, q, chosen[block], but, k)
+        least = cosines[-1] if len(cosines) == k else 0.0
+        rest = (bounds > 0) & (bounds >= least - 1e-12) & ~chosen
+        if rest.any():
+            more, close = self.read(heads, q, rest[block], but, k)
+            docs, cosines = leading(np.concatenate([docs, more]), np.concatenate([cosines, close]), k)
         return docs, cosines
 
+    def read(self, heads: np.ndarray, q: np.ndarray, pick: np.ndarray, but: int, k: int):
+        """The ``k`` best of the picked blocks."""
+        heads, q = heads[pick], q[pick]
+        posts, size = spans(self.head_post[heads], self.head_post[heads + 1])
+        score = np.bincount(self.post_doc[posts], np.repeat(q, size) * self.post_weight[posts])
+        if 0 <= but < len(score):
+            score[but] = 0.0
+        docs = np.flatnonzero(score > 0)
+        if len(docs) > k:
+            least = np.partition(score[docs], -k)[-k]
+            docs = docs[score[docs] >= least - 1e-12]
+        return leading(docs, score[docs], k)
+
     def vote(self, docs: np.ndarray, cosines: np.ndarray) -> float:
         total = cosines.sum() + PRIOR
         return float(((cosines * self.labels[docs]).sum() + PRIOR * self.base) / total)
@@ -214,31 +162,40 @@ class Index:
         return float(1 / (1 + np.exp(-(self.slope * vote + self.shift))))
 
 
-def build_index(terms: list[bytes], idf: np.ndarray, rows: list) -> Index:
+def spans(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the half-open spans, and the spans' lengths."""
+    size = high - low
+    return np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum()), size
+
+
+def leading(docs: np.ndarray, cosines: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    best = np.lexsort((docs, -np.round(cosines, 12)))[:k]
+    return docs[best], cosines[best]
+
+
+def build_index(hashes: np.ndarray, weight: np.ndarray, rows: list) -> Index:
     """``rows`` are (id, label, terms, counts); rows without a term only
     enter the base rate. Examples with alike leading terms share blocks."""
-    bare = Index(terms, idf, *[np.zeros(0)] * 9)
+    bare = Index(hashes, weight, *[np.zeros(0)] * 8)
     vectors = [(bare.vector(np.asarray(t), np.asarray(c, float)), np.asarray(t, np.int64), i, y) for i, y, t, c in rows if len(t)]
     vectors.sort(key=lambda v: (int(v[1][np.argmax(v[0])]), v[2]))
     n = len(vectors)
     doc = np.repeat(np.arange(n), [len(v[1]) for v in vectors]).astype(np.int64)
     term = np.concatenate([v[1] for v in vectors]) if n else np.zeros(0, np.int64)
-    weight = np.concatenate([v[0] for v in vectors]) if n else np.zeros(0)
+    value = np.concatenate([v[0] for v in vectors]) if n else np.zeros(0)
     order = np.lexsort((doc, term))
-    doc, term, weight = doc[order], term[order], weight[order]
+    doc, term, value = doc[order], term[order], value[order]
     block = doc // BLOCK
     new = np.ones(len(term), bool)
     new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
     heads = np.flatnonzero(new)
-    number = np.arange(len(terms) + 1)
-    empty = [y for _, y, t, _ in rows if not len(t)]
     return Index(
-        terms, idf, np.array([v[2] for v in vectors], np.int64), np.array([v[3] for v in vectors], np.float64),
-        np.searchsorted(term, number), doc, weight,
-        np.searchsorted(term[heads], number), block[heads],
-        np.maximum.reduceat(weight, heads) if len(heads) else np.zeros(0),
-        np.concatenate([heads, [len(term)]]),
-        base=(sum(empty) + 0.5) / (len(empty) + 1.0),
+        hashes, weight, np.array([v[2] for v in vectors], np.int64), np.array([v[3] for v in vectors], np.float64),
+        doc, value,
+        np.searchsorted(term[heads], np.arange(len(weight) + 1)), block[heads],
+        np.maximum.reduceat(value, heads) if len(heads) else np.zeros(0),
+        np.concatenate([heads, [len(term)]]).astype(np.int64),
+        base=(sum(y for _, y, _, _ in rows) + 0.5) / (len(rows) + 1.0),
     )
 
 
@@ -258,11 +215,12 @@ def calibrated(index: Index, votes: np.ndarray, labels: np.ndarray) -> None:
     index.slope, index.shift = float(max(beta[0], 0.0)), float(beta[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Index:
-    """Learn from labelled training rows; statistics cover all documents.
+def labelled_examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``id, toxic, text`` of the training sample, one row an id.
 
-    Of rows that repeat a doc_id in ``labels`` the largest label counts. The
-    sample is the ids with the smallest hashes, at most ``MOST_EXAMPLES``.
+    Of rows that repeat a doc_id in ``labels`` the largest label counts, in
+    ``docs`` the text of smallest hash. The sample is the ids with the smallest
+    hashes, at most ``MOST_EXAMPLES``.
     """
     known = (
         labels.filter("toxic is not null and doc_id is not null")
@@ -270,58 +228,88 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
         .groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
         .orderBy(F.xxhash64("id"), "id").limit(MOST_EXAMPLES)
     )
-    joined = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(known), "id")
-    examples = stage(joined.select("id", "toxic", F.coalesce("text", F.lit("")).alias("text")))
-    terms = telling_terms(examples)
-    n, df = document_frequency(docs, terms)
-    idf = np.log((1 + n) / (1 + df)) + 1
-    kind = "id long, toxic int, terms array<long>, counts array<double>"
+    text = F.coalesce("text", F.lit(""))
+    return (
+        docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text"))
+        .join(F.broadcast(known), "id")
+        .groupBy("id").agg(F.first("toxic").alias("toxic"), F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("t"))
+        .select("id", "toxic", "t.text")
+    )
+
+
+def example_terms(examples: DataFrame) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``id, toxic, term hashes, times`` of every example, by id."""
+    kind = "id long, toxic int, terms array<long>, times array<long>"
     arrow = arrow_schema(StructType.fromDDL(kind))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Terms(terms)
         for batch in source:
-            made = [find(t) for t in batch.column(2).to_pylist()]
-            columns = [batch.column(0), batch.column(1), pa.array([list(t) for t, _ in made], arrow.field(2).type), pa.array([list(c) for _, c in made], arrow.field(3).type)]
-            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
-
-    found = examples.mapInArrow(run, kind).orderBy("id", "toxic", "terms").limit(2 * MOST_EXAMPLES).collect()
-    rows = [(r["id"], r["toxic"], r["terms"], r["counts"]) for r in found]
-    index = build_index(terms, idf, rows)
-    place = {int(i): k for k, i in enumerate(index.ids)}
-    votes = []
-    for i, _, t, c in rows:
-        t = np.asarray(t, np.int64)
-        votes.append(index.vote(*index.nearest(t, index.vector(t, np.asarray(c, float)), place.get(i, -1))))
-    calibrated(index, np.array(votes), np.array([r[1] for r in rows], float))
-    return index
+            text, term, times = term_counts(batch.column(2))
+            ends = pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int64))) for x in (term, times)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=arrow.names).cast(arrow)
 
+    # At most MOST_EXAMPLES rows.
+    found = examples.mapInArrow(run, kind).toArrow().sort_by("id")
+    lists = [found.column(n).combine_chunks() for n in ("terms", "times")]
+    columns = [[lst[i].values.to_numpy() for i in range(found.num_rows)] for lst in lists]
+    return list(zip(found.column("id").to_pylist(), found.column("toxic").to_pylist(), *columns, strict=True))
 
-SCORES = "doc_id long, score double, neighbours array<long>"
 
+def fit(docs: DataFrame, labels: DataFrame) -> Index:
+    """Learn from labelled training rows; document frequencies cover all
+    documents."""
+    examples = stage(labelled_examples(docs, labels))
+    rows = example_terms(examples)
+    toxic = np.array([r[1] for r in rows], np.int64)
+    terms = np.concatenate([np.zeros(0, np.int64), *(r[2] for r in rows)])
+    hashes, number = np.unique(terms, return_inverse=True)
+    label = np.repeat(toxic, [len(r[2]) for r in rows])
+    seen = [np.bincount(number[label == y], minlength=len(hashes)) for y in (1, 0)]
+    proof = evidence(*seen, int((toxic == 1).sum()), int((toxic == 0).sum()))
+    n, df = document_frequency(docs, hashes)
+    weight = (np.log((1 + n) / (1 + df)) + 1) * np.where(proof >= CHANCE, proof, 1.0)
+    ends = np.cumsum([0, *(len(r[2]) for r in rows)])
+    index = build_index(hashes, weight, [(r[0], r[1], number[a:z], r[3]) for r, a, z in zip(rows, ends, ends[1:], strict=False)])
+    found = voted(examples.select("id", "text", "toxic"), index, True).select("toxic", "vote").toArrow().sort_by([("vote", "ascending"), ("toxic", "ascending")])
+    calibrated(index, found.column("vote").to_numpy(), found.column("toxic").to_numpy().astype(float))
+    return index
 
-def scored(docs: DataFrame, index: Index) -> DataFrame:
-    """``doc_id, score, neighbours`` (the nearest examples' ids, as evidence).
 
-    Null and empty texts, and texts without a telling term, get the score of
-    the base rate. Repeated rows are scored alike."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-    arrow = arrow_schema(StructType.fromDDL(SCORES))
+def voted(rows: DataFrame, index: Index, examples: bool = False) -> DataFrame:
+    """``id, vote, neighbours`` of rows ``id, text`` and ``toxic``, if there; an
+    example is not its own neighbour."""
+    shared = rows.sparkSession.sparkContext.broadcast(index)
+    kind = "id long, vote double, neighbours array<long>" + (", toxic int" if examples else "")
+    arrow = arrow_schema(StructType.fromDDL(kind))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        find = Terms(index.terms)
+        place = {int(i): k for k, i in enumerate(index.ids)} if examples else {}
         for batch in source:
-            scores, near = [], []
-            for text in batch.column(1).to_pylist():
-                terms, counts = find(text)
-                ids, cosines = index.nearest(terms, index.vector(terms, counts))
-                scores.append(index.probability(index.vote(ids, cosines)))
-                near.append(index.ids[ids[:3]].tolist())
-            columns = [batch.column(0), pa.array(scores, pa.float64()), pa.array(near, arrow.field(2).type)]
+            text, term, times = known_counts(batch.column(1), index.hashes)
+            ends = np.searchsorted(text, np.arange(batch.num_rows + 1))
+            ids = batch.column(0).to_pylist()
+            votes, near = [], []
+            for i, a, z in zip(ids, ends, ends[1:], strict=False):
+                own = term[a:z]
+                docs, cosines = index.nearest(own, index.vector(own, times[a:z].astype(float)), place.get(i, -1))
+                votes.append(index.vote(docs, cosines))
+                near.append(index.ids[docs[:3]].tolist())
+            columns = [batch.column(0), pa.array(votes, pa.float64()), pa.array(near, arrow.field(2).type), *batch.columns[2:]]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORES)
+    return rows.mapInArrow(run, kind)
+
+
+def scored(docs: DataFrame, index: Index) -> DataFrame:
+    """``doc_id, score, neighbours`` (the nearest examples' ids, as evidence).
+
+    Null and empty texts, and texts without a term of the examples, get the
+    score of the base rate. Repeated rows are scored alike."""
+    curve = 1 / (1 + F.exp(-(index.slope * F.col("vote") + index.shift)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    return voted(rows, index).select(F.col("id").alias("doc_id"), curve.alias("score"), "neighbours")
 
 
 def op6_toxicity_neighbours(spark, sf_dir: str) -> DataFrame:

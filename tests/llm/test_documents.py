@@ -430,6 +430,67 @@ def test_nearest_neighbours_are_exact():
         assert len(got) == min(toxicity.NEIGHBOURS, int((cosines > 0).sum()))
 
 
+def test_toxicity_votes_equal_brute_force(spark):
+    """Terms, document frequencies, evidence, cosines and votes of a whole
+    table, by dictionaries."""
+    where = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{where}/{name}.parquet") for name in ("documents", "labels"))
+    index = toxicity.fit(docs, labels)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    told = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["doc_id"] in texts and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+
+    def bag(text):
+        bare = (w.strip(toxicity.EDGES.encode()) for w in words_of(text))
+        return Counter(w for w in bare if w)
+
+    bags = {i: bag(t) for i, t in texts.items()}
+    toxic = sum(told.values())
+    seen = [Counter(w for i, y in told.items() if y == want for w in bags[i]) for want in (1, 0)]
+    many = Counter(w for b in bags.values() for w in b)
+
+    def term_weight(w):
+        cells = [(seen[0][w], toxic), (seen[1][w], len(told) - toxic)]
+        p = sum(k for k, _ in cells) / len(told)
+        gain = 0.0
+        for k, n in cells:
+            for part, rate, all_rate in ((k, k / n, p), (n - k, 1 - k / n, 1 - p)):
+                if part:
+                    gain += 2 * part * (np.log(rate) - np.log(all_rate))
+        proof = np.sqrt(max(gain, 0.0))
+        return (np.log((1 + len(texts)) / (1 + many[w])) + 1) * (proof if proof >= toxicity.CHANCE else 1.0)
+
+    weight = {w: term_weight(w) for w in {w for i in told for w in bags[i]}}
+    assert len(index.hashes) == len(weight) and 0 < toxic < len(told)
+
+    def vector(b):
+        v = {w: (1 + np.log(c)) * weight[w] for w, c in b.items() if w in weight}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    examples = {i: vector(bags[i]) for i in told}
+    base = (toxic + 0.5) / (len(told) + 1)
+    place = {int(i): n for n, i in enumerate(index.ids)}
+    got = {r["id"]: r for r in toxicity.voted(docs.selectExpr("doc_id as id", "text"), index).collect()}
+    assert got.keys() == texts.keys()
+    for i, b in bags.items():
+        own = vector(b)
+        near = [(sum(x * e.get(w, 0.0) for w, x in own.items()), place[j], told[j]) for j, e in examples.items()]
+        near = sorted((-round(c, 12), n, c, y) for c, n, y in near if c > 0)[: toxicity.NEIGHBOURS]
+        near = [(c, y) for _, _, c, y in near]
+        vote = (sum(c * y for c, y in near) + toxicity.PRIOR * base) / (sum(c for c, _ in near) + toxicity.PRIOR)
+        assert abs(vote - got[i]["vote"]) < 1e-9
+
+
+def test_toxicity_repeated_ids(spark):
+    """All rows of an id are one example; every row is scored."""
+    rows = [(1, f"text number {n} with words") for n in range(50)] + [(3, None), (4, ""), (None, "words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, (i or 0) % 2) for i in (1, 1, 3, 4, 6, None)], "doc_id long, toxic int")
+    examples = toxicity.labelled_examples(docs, labels)
+    assert examples.count() == examples.select("id").distinct().count()
+    assert toxicity.scored(docs, toxicity.fit(docs, labels)).count() == len(rows)
+
+
 def test_toxicity_on_held_out_rows(spark):
     got = toxicity.op6_toxicity_neighbours(spark, "/root/testdata/sf0.01")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
