@@ -12,11 +12,12 @@ the examples, each without itself, makes the vote a probability.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -102,25 +103,46 @@ def document_frequency(docs: DataFrame, hashes: np.ndarray) -> tuple[int, np.nda
 
 @dataclass
 class Index:
-    """Examples in blocks, and per term its postings and block maxima."""
+    """Examples in blocks, and per term its postings and block maxima.
+
+    What travels are the counts, in their smallest types; weights and block
+    maxima are worked out where the index arrives."""
 
     hashes: np.ndarray
     weight: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
+    length: np.ndarray  # term -> number of postings
     post_doc: np.ndarray
-    post_weight: np.ndarray
-    head_at: np.ndarray  # term -> first (term, block) head
-    head_block: np.ndarray
-    head_most: np.ndarray
-    head_post: np.ndarray  # head -> first posting, with one past the end
-    base: float = 0.0
-    slope: float = 1.0
-    shift: float = 0.0
+    post_count: np.ndarray
+    base: float
+
+    def __post_init__(self):
+        term, doc = np.repeat(np.arange(len(self.weight)), self.length), self.post_doc.astype(np.int64)
+        value = (1 + np.log(self.post_count.astype(float))) * self.weight[term]
+        value /= np.sqrt(np.bincount(doc, value * value, len(self.ids)))[doc]
+        block = doc // BLOCK
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        heads = np.flatnonzero(new)
+        self.doc, self.value = doc, value
+        self.head_block = block[heads]
+        self.head_most = np.maximum.reduceat(value, heads) if len(heads) else np.zeros(0)
+        self.head_post = np.append(heads, len(term))  # head -> first posting, with one past the end
+        self.head_at = np.searchsorted(term[heads], np.arange(len(self.weight) + 1))  # term -> first head
+        self.slope, self.shift, self.sent = 1.0, 0.0, None
+
+    def __reduce__(self):
+        return Index, tuple(getattr(self, f.name) for f in fields(self))
+
+    def shared(self, spark) -> Broadcast:
+        """Sent once, and bounded by the sample's texts."""
+        if self.sent is None:
+            self.sent = spark.sparkContext.broadcast(self)
+        return self.sent
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(counts)) * self.weight[terms]
-        return w / np.sqrt((w * w).sum()) if len(w) else w
+        return unit_vector(self.weight, terms, counts)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, but: int = -1, k: int = NEIGHBOURS):
         """Example numbers and cosines of the ``k`` nearest with a term in
@@ -145,7 +167,7 @@ class Index:
         """The ``k`` best of the picked blocks."""
         heads, q = heads[pick], q[pick]
         posts, size = spans(self.head_post[heads], self.head_post[heads + 1])
-        score = np.bincount(self.post_doc[posts], np.repeat(q, size) * self.post_weight[posts])
+        score = np.bincount(self.doc[posts], np.repeat(q, size) * self.value[posts])
         if 0 <= but < len(score):
             score[but] = 0.0
         docs = np.flatnonzero(score > 0)
@@ -173,29 +195,29 @@ def leading(docs: np.ndarray, cosines: np.ndarray, k: int) -> tuple[np.ndarray,
     return docs[best], cosines[best]
 
 
+def unit_vector(weight: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    w = (1 + np.log(counts)) * weight[terms]
+    return w / np.sqrt((w * w).sum()) if len(w) else w
+
+
+def smallest(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+
+
 def build_index(hashes: np.ndarray, weight: np.ndarray, rows: list) -> Index:
     """``rows`` are (id, label, terms, counts); rows without a term only
     enter the base rate. Examples with alike leading terms share blocks."""
-    bare = Index(hashes, weight, *[np.zeros(0)] * 8)
-    vectors = [(bare.vector(np.asarray(t), np.asarray(c, float)), np.asarray(t, np.int64), i, y) for i, y, t, c in rows if len(t)]
-    vectors.sort(key=lambda v: (int(v[1][np.argmax(v[0])]), v[2]))
-    n = len(vectors)
-    doc = np.repeat(np.arange(n), [len(v[1]) for v in vectors]).astype(np.int64)
-    term = np.concatenate([v[1] for v in vectors]) if n else np.zeros(0, np.int64)
-    value = np.concatenate([v[0] for v in vectors]) if n else np.zeros(0)
+    full = [(int(t[np.argmax(unit_vector(weight, t, np.asarray(c, float)))]), i, y, t, c) for i, y, t, c in rows if len(t)]
+    full.sort(key=lambda r: r[:2])
+    none = np.zeros(0, np.int64)
+    doc = np.repeat(np.arange(len(full)), [len(r[3]) for r in full])
+    term, count = (np.concatenate([none, *(r[k] for r in full)]) for k in (3, 4))
     order = np.lexsort((doc, term))
-    doc, term, value = doc[order], term[order], value[order]
-    block = doc // BLOCK
-    new = np.ones(len(term), bool)
-    new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
-    heads = np.flatnonzero(new)
     return Index(
-        hashes, weight, np.array([v[2] for v in vectors], np.int64), np.array([v[3] for v in vectors], np.float64),
-        doc, value,
-        np.searchsorted(term[heads], np.arange(len(weight) + 1)), block[heads],
-        np.maximum.reduceat(value, heads) if len(heads) else np.zeros(0),
-        np.concatenate([heads, [len(term)]]).astype(np.int64),
-        base=(sum(y for _, y, _, _ in rows) + 0.5) / (len(rows) + 1.0),
+        hashes, weight,
+        np.array([r[1] for r in full], np.int64), np.array([r[2] for r in full], np.float64),
+        smallest(np.bincount(term, minlength=len(weight))), smallest(doc[order]), smallest(count[order]),
+        (sum(y for _, y, _, _ in rows) + 0.5) / (len(rows) + 1.0),
     )
 
 
@@ -279,7 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
 def voted(rows: DataFrame, index: Index, examples: bool = False) -> DataFrame:
     """``id, vote, neighbours`` of rows ``id, text`` and ``toxic``, if there; an
     example is not its own neighbour."""
-    shared = rows.sparkSession.sparkContext.broadcast(index)
+    shared = index.shared(rows.sparkSession)
     kind = "id long, vote double, neighbours array<long>" + (", toxic int" if examples else "")
     arrow = arrow_schema(StructType.fromDDL(kind))
 
