@@ -2,19 +2,24 @@
 
     P(word | previous) = P(class | previous class) * P(word | class)
 
-Exchange clustering assigns units to classes. A unit is one of the ``FREQUENT``
-commonest words, or an ending shared by all other words; the end of a text is a
-unit in a class of its own. Units are moved, a part of them per pass, to the
-class that raises the likelihood of the class bigrams most; the counts behind
-each pass are Spark aggregates over the bigrams of the whole training text.
-
-Emissions use the exact count of every word of the training text. Common words
-are looked up in a bounded broadcast table, the others by a join.
+Texts are read once and kept as numbers, in blocks of neighbouring texts with
+the distinct words of each. Exchange clustering assigns every word of the
+training text to a class of its own choice. It starts from units: one of the
+``FREQUENT`` commonest words, or an ending shared by other words; the end of a
+text is a unit in a class of its own. Units are moved one by one to the class
+that raises the likelihood of the class bigrams most, until none moves; the
+counts behind it are a Spark aggregate over the bigrams of the whole training
+text, of a size that the units fix. Then each other word, however rare, is moved by the same gain, worked out
+in Spark from all its neighbours' classes. Only a word that the training text
+lacks keeps the class of its ending.
+
+Transitions and emissions use exact counts of every word of the training text.
+Common words are looked up in a bounded broadcast table, the others by a join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +34,12 @@ from tagloom.operators.staging import stage
 FREQUENT = 2000
 ENDINGS = 500
 CLASSES = 64
-PASSES = 10
 # Words whose counts every task holds; the rest are joined.
 COMMON = 50_000
+# Text of a block. A longer text is a block of its own.
+BLOCK_BYTES = 8 << 20
+# Counts up to which gains are read from a table.
+LISTED = 32
 # Pseudo-counts of an emission and of a class transition.
 ALPHA, BETA = 0.5, 1.0
 END_UNIT, END_CLASS = 0, 0
@@ -46,20 +54,99 @@ def ending_units(words: pa.Array) -> np.ndarray:
     return 1 + FREQUENT + units.astype(np.int64)[tails.indices.to_numpy()]
 
 
-def word_counts(training: DataFrame) -> DataFrame:
-    """``word (hash), n, ending``: counted per batch, then by Spark."""
+BLOCK = "block long, doc_id array<long>, training array<boolean>, size array<int>, at binary, words binary, endings binary"
+
+
+def slices(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Neighbouring texts of about ``BLOCK_BYTES`` together, as spans of rows."""
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy().astype(np.int64)
+    part = (np.cumsum(size) - size) // BLOCK_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
+    return zip(cuts, cuts[1:], strict=False)
+
+
+def one_list(values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def packed(x: np.ndarray) -> pa.Array:
+    """One value: the numbers' bytes by place, compressed."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return pa.array([len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)], pa.binary())
+
+
+def unpacked(value: pa.Scalar, kind: type) -> np.ndarray:
+    raw, width = value.as_py(), np.dtype(kind).itemsize
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], n * width, codec="zstd", asbytes=True), np.uint8)
+    return planes.reshape(width, n).T.copy().reshape(-1).view(kind)
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """Texts as numbers. ``at`` has each token's place in ``words``, the hashes
+    of the block's distinct words, commonest first."""
+    arrow = arrow_schema(StructType.fromDDL(BLOCK))
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in source:
+            for a, z in slices(whole.column(3)):
+                batch = whole.slice(a, z - a)
+                if not batch.num_rows:
+                    continue
+                words, at, sizes = coded(batch.column(3))
+                order = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")
+                rank = np.empty(len(words), np.int32)
+                rank[order] = np.arange(len(words))
+                arrays = rank[at], hashes_of(words)[order], ending_units(words)[order].astype(np.int16)
+                columns = [
+                    batch.column(0).slice(0, 1), one_list(batch.column(1)), one_list(batch.column(2)),
+                    one_list(pa.array(sizes.astype(np.int32))), *map(packed, arrays),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=arrow.names).cast(arrow)
+
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("block"), F.col("doc_id").cast("long").alias("doc_id"),
+        (remainder(F.col("doc_id"), 7) != 2).alias("training"), "text",
+    )
+    return rows.mapInArrow(run, BLOCK)
+
+
+class Block:
+    """Arrays of one row of :func:`blocks`."""
+
+    def __init__(self, row: dict):
+        self.sizes = row["size"].values.to_numpy().astype(np.int64)
+        self.training = row["training"].values.to_numpy(zero_copy_only=False)
+        self.at = unpacked(row["at"], np.int32)
+        self.words = unpacked(row["words"], np.int64) if "words" in row else None
+        self.endings = unpacked(row["endings"], np.int16).astype(np.int64) if "endings" in row else None
+
+    def trained(self) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens and sizes of the training texts."""
+        return self.at[np.repeat(self.training, self.sizes)], self.sizes[self.training]
+
+
+def each_block(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Block]]:
+    for batch in source:
+        for i in range(batch.num_rows):
+            row = {name: batch.column(k)[i] for k, name in enumerate(batch.schema.names)}
+            yield row, Block(row)
+
+
+def word_counts(table: DataFrame) -> DataFrame:
+    """``word (hash), n, ending``: counted per block, then by Spark."""
     kind = "word long, n long, ending int"
     arrow = arrow_schema(StructType.fromDDL(kind))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            words, at, _ = coded(batch.column(0))
-            n = np.bincount(at, minlength=len(words)).astype(np.int64)
-            columns = [hashes_of(words), n, ending_units(words).astype(np.int32)]
+        for _, b in each_block(source):
+            n = np.bincount(b.trained()[0], minlength=len(b.words)).astype(np.int64)
+            seen = n > 0
+            columns = [b.words[seen], n[seen], b.endings[seen].astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=arrow)
 
     return (
-        training.select("text").mapInArrow(run, kind)
+        table.mapInArrow(run, kind)
         .groupBy("word").agg(F.sum("n").alias("n"), F.min("ending").alias("ending"))
     )
 
@@ -89,91 +176,242 @@ def between_ends(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def unit_bigrams(training: DataFrame, frequent: Lookup) -> DataFrame:
-    """``a, b, n``: bigrams of units over the training texts, ends included. A
-    task counts in one array whose size the units fix."""
+def pair_counts(table: DataFrame, width: int, codes_of: Callable[[dict, Block], np.ndarray]) -> DataFrame:
+    """``a, b, n``: bigrams of the numbers that ``codes_of`` gives a block's
+    distinct words, over the training texts, ends included. A task counts in
+    one array whose size ``width`` fixes."""
     kind = "a int, b int, n long"
     arrow = arrow_schema(StructType.fromDDL(kind))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(UNITS * UNITS, np.int64)
-        for batch in source:
-            words, at, sizes = coded(batch.column(0))
-            units = frequent.of(hashes_of(words), ending_units(words))
-            line = between_ends(units[at], sizes)
-            code, n = np.unique(line[:-1] * UNITS + line[1:], return_counts=True)
+        counts = np.zeros(width * width, np.int64)
+        for row, b in each_block(source):
+            at, sizes = b.trained()
+            line = between_ends(codes_of(row, b)[at], sizes)
+            code, n = np.unique(line[:-1] * width + line[1:], return_counts=True)
             counts[code] += n
         code = np.flatnonzero(counts)
-        columns = [(code // UNITS).astype(np.int32), (code % UNITS).astype(np.int32), counts[code]]
+        columns = [(code // width).astype(np.int32), (code % width).astype(np.int32), counts[code]]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=arrow)
 
-    return training.select("text").mapInArrow(run, kind).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return table.mapInArrow(run, kind).groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def unit_bigrams(table: DataFrame, frequent: Lookup) -> DataFrame:
+    """``a, b, n``: bigrams of units, from which the exchange starts."""
+    return pair_counts(table, UNITS, lambda _, b: frequent.of(b.words, b.endings))
 
 
 def plogp(n: np.ndarray) -> np.ndarray:
     return np.where(n > 0, n * np.log(np.maximum(n, 1e-300)), 0.0)
 
 
-def contexts(bigrams: DataFrame, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per unit the counts by class of what follows and what precedes it, and
-    of the unit after itself. The size is fixed by units and classes."""
-    of = F.array(*map(F.lit, classes.tolist()))
-    table = bigrams.withColumns({"ca": F.get(of, F.col("a")), "cb": F.get(of, F.col("b"))})
-    after = table.groupBy(F.lit(0).alias("side"), F.col("a").alias("u"), F.col("cb").alias("c")).agg(F.sum("n").alias("n"))
-    before = table.groupBy(F.lit(1).alias("side"), F.col("b").alias("u"), F.col("ca").alias("c")).agg(F.sum("n").alias("n"))
-    itself = table.filter("a = b").select(F.lit(2).alias("side"), F.col("a").alias("u"), F.lit(0).alias("c"), "n")
-    found = after.union(before).union(itself).toArrow().to_pandas()
-    out = np.zeros((3, UNITS, CLASSES))
-    out[found["side"], found["u"], found["c"]] = found["n"]
-    return out[0], out[1], out[2, :, 0]
-
-
-def exchange(bigrams: DataFrame, order: np.ndarray) -> np.ndarray:
-    """Class of every unit. Units start dealt by frequency; each pass offers
-    every second one its best class, counts being brought up to date between
-    passes. Ties take the lower class; the end never moves."""
+def exchange(counts: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Class of every unit, from the table of unit bigrams. Units start dealt
+    by frequency; one after the other takes its best class, counts being brought
+    up to date with each move, until none moves. Ties take the lower class; the
+    end never moves."""
     classes = np.zeros(UNITS, np.int64)
     classes[order] = 1 + np.arange(len(order)) % (CLASSES - 1)
     classes[END_UNIT] = END_CLASS
-    for turn in range(PASSES):
-        right, left, own = contexts(bigrams, classes)
-        joint = np.zeros((CLASSES, CLASSES))
-        np.add.at(joint, classes, right)
-        moved = 0
-        for u in order[order % 2 == turn % 2].tolist():
-            total = right[u].sum()
+    member = np.eye(CLASSES)[classes]
+    # By unit: classes that follow it, classes that precede it.
+    right, left = counts @ member, counts.T @ member
+    joint = class_counts(counts, classes)
+    own, totals, n = np.diag(counts), counts.sum(1), joint.sum(1)
+    moved = True
+    while moved:
+        moved = False
+        for u in order.tolist():
+            total, x, s = totals[u], classes[u], own[u]
             if not total or u == END_UNIT:
                 continue
-            r, l, s, x = right[u].copy(), left[u].copy(), own[u], classes[u]
+            r, l = right[u].copy(), left[u].copy()
             r[x] -= s
             l[x] -= s
             joint[x] -= r
             joint[:, x] -= l
             joint[x, x] -= s
-            joint = np.maximum(joint, 0)
-            rows, columns = joint.sum(1), joint.sum(0)
+            n[x] -= total
+            now = plogp(joint)
             diagonal = np.diag(joint)
-            gain = (plogp(joint + r) - plogp(joint)).sum(1) + (plogp(joint + l[:, None]) - plogp(joint)).sum(0)
+            gain = (plogp(joint + r) - now).sum(1) + (plogp(joint + l[:, None]) - now).sum(0)
             # The cell of a class with itself takes both sides at once.
-            gain += plogp(diagonal + r + l + s) - plogp(diagonal + r) - plogp(diagonal + l) + plogp(diagonal)
-            gain -= plogp(rows + total) - plogp(rows) + plogp(columns + total) - plogp(columns)
+            gain += plogp(diagonal + r + l + s) - plogp(diagonal + r) - plogp(diagonal + l) + np.diag(now)
+            # A word's neighbours stay, whichever class it joins.
+            gain -= 2 * (plogp(n + total) - plogp(n))
             gain[END_CLASS] = -np.inf
             y = int(np.argmax(np.round(gain, 6)))
+            if gain[y] <= gain[x] + 1e-5:
+                y = x
             joint[y] += r
             joint[:, y] += l
             joint[y, y] += s
-            moved += y != x
-            classes[u] = y
-        if not moved and turn:
-            break
+            n[y] += total
+            if y != x:
+                moved, classes[u] = True, y
+                right[:, x] -= counts[:, u]
+                right[:, y] += counts[:, u]
+                left[:, x] -= counts[u]
+                left[:, y] += counts[u]
     return classes
 
 
+def class_counts(counts: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Bigrams of classes, from those of units."""
+    member = np.eye(CLASSES)[classes]
+    return member.T @ counts @ member
+
+
+def rest_contexts(table: DataFrame, frequent: Lookup, classes: np.ndarray) -> DataFrame:
+    """``word, ending, context``: for each block and word that is not frequent
+    the classes it stands between, a byte for each neighbour: the class that
+    follows, ``CLASSES`` and the class that precedes, or twice ``CLASSES`` for
+    the word after itself."""
+    kind = "word long, ending int, context binary"
+    arrow = arrow_schema(StructType.fromDDL(kind))
+    shared = table.sparkSession.sparkContext.broadcast((frequent, classes))
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, classes = shared.value
+        for _, b in each_block(source):
+            at, sizes = b.trained()
+            # Place 0 is the end.
+            near = np.append(END_CLASS, classes[frequent.of(b.words, b.endings)]).astype(np.uint8)
+            rest = np.append(False, frequent.of(b.words, -1) < 0)
+            line = between_ends(at.astype(np.int64) + 1, sizes)
+            left, right = line[:-1], line[1:]
+            one, two = rest[left], rest[right]
+            same = one & (left == right)
+            word = np.concatenate([left[one], right[two], left[same]])
+            code = np.concatenate([near[right[one]], near[left[two]] + np.uint8(CLASSES), np.full(same.sum(), 2 * CLASSES, np.uint8)])
+            order = np.argsort(word * 256 + code)
+            word, code = word[order], code[order]
+            heads = np.flatnonzero(np.diff(word, prepend=-1))
+            number = word[heads] - 1
+            ends = np.append(heads, len(code)).astype(np.int32)
+            context = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(ends), pa.py_buffer(code)])
+            columns = [pa.array(b.words[number]), pa.array(b.endings[number].astype(np.int32)), context]
+            yield pa.RecordBatch.from_arrays(columns, names=arrow.names).cast(arrow)
+
+    return table.mapInArrow(run, kind)
+
+
+def whole_runs(source: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[pa.Table]:
+    """Rows sorted by a column, with all rows of a value in one table."""
+    kept: list[pa.RecordBatch] = []
+    for batch in source:
+        if not batch.num_rows:
+            continue
+        values = batch.column(column).to_numpy()
+        begin = int(np.searchsorted(values, values[-1]))
+        if begin or (kept and kept[0].column(column)[0].as_py() != values[-1]):
+            head = [*kept, batch.slice(0, begin)]
+            yield pa.Table.from_batches([h for h in head if h.num_rows], schema=batch.schema)
+            kept = []
+        kept.append(batch.slice(begin))
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+class Gains:
+    """What moving a word to a class adds to the likelihood of class bigrams,
+    its own occurrences taken out of the counts first."""
+
+    def __init__(self, joint: np.ndarray):
+        self.joint, self.n = joint, joint.sum(1)
+        k = np.arange(LISTED + 1)[:, None, None]
+        # [times, class of the context, class joined]
+        self.follow = plogp(joint.T + k) - plogp(joint.T)
+        self.precede = plogp(joint + k) - plogp(joint)
+
+    def added(self, table: np.ndarray, cells: np.ndarray, c: np.ndarray, k: np.ndarray) -> np.ndarray:
+        out = table[np.minimum(k, LISTED).astype(np.int64), c]
+        many = k > LISTED
+        out[many] = plogp(cells[c[many]] + k[many, None]) - plogp(cells[c[many]])
+        return out
+
+    def of(self, r: np.ndarray, l: np.ndarray, s: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Gains of words (rows) by class. ``r`` and ``l`` count the classes
+        after and before them, ``s`` themselves after themselves, which ``r``
+        and ``l`` leave out; ``x`` are their classes."""
+        joint, word = self.joint, np.arange(len(x))
+        gain, total = np.zeros(r.shape), r.sum(1) + s
+        stay = np.zeros(len(x))
+        for side, table, cells in ((r, self.follow, joint.T), (l, self.precede, joint)):
+            w, c = np.nonzero(side)
+            if len(w):
+                heads = np.flatnonzero(np.diff(w, prepend=-1))
+                gain[w[heads]] += np.add.reduceat(self.added(table, cells, c, side[w, c]), heads)
+            other = c != x[w]
+            w, c = w[other], c[other]
+            cell = cells[c, x[w]]
+            stay += np.bincount(w, plogp(cell) - plogp(cell - side[w, c]), len(x))
+
+        def rise(j: np.ndarray, k: np.ndarray) -> np.ndarray:
+            return plogp(j + k) - plogp(j)
+
+        # A cell of the class left has lost what the word's other side held.
+        for one, two, cells in ((l, r[word, x], joint), (r, l[word, x], joint.T)):
+            w, y = np.nonzero((one > 0) & (two[:, None] > 0))
+            cell = cells[y, x[w]]
+            gain[w, y] += rise(cell - one[w, y], two[w]) - rise(cell, two[w])
+        # The cell of a class with itself takes both sides at once.
+        w, y = np.nonzero(((r > 0) & (l > 0)) | (s[:, None] > 0))
+        cell, both = joint[y, y], r[w, y] + l[w, y] + s[w]
+        gain[w, y] += rise(cell, both) - rise(cell, r[w, y]) - rise(cell, l[w, y])
+        both = (r + l)[word, x] + s
+        own = joint[x, x]
+        stay += plogp(own) - plogp(own - both)
+        gain -= 2 * rise(self.n, total[:, None])
+        gain[word, x] = stay - 2 * rise(self.n[x] - total, total)
+        # All words would choose an empty class at once, each as its only word.
+        gain[:, (self.n == 0) | (np.arange(CLASSES) == END_CLASS)] = -np.inf
+        return gain
+
+
+def rest_classes(found: DataFrame, classes: np.ndarray, joint: np.ndarray) -> DataFrame:
+    """``word, n, class`` of words that are not frequent: their count and the
+    class of the largest gain, the lower one of equals. Rows of a word meet by
+    Spark's shuffle."""
+    kind = "word long, n long, class int"
+    arrow = arrow_schema(StructType.fromDDL(kind))
+    shared = found.sparkSession.sparkContext.broadcast((classes, joint))
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, joint = shared.value
+        gains = Gains(joint)
+        for table in whole_runs(source):
+            words = table.column("word").to_numpy()
+            new = np.append(True, words[1:] != words[:-1])
+            heads = np.flatnonzero(new)
+            x = classes[np.minimum.reduceat(table.column("ending").to_numpy(), heads)]
+            lists = table.column("context").combine_chunks()
+            flat = np.frombuffer(b"".join(lists.to_pylist()), np.uint8)
+            group = np.repeat(np.cumsum(new) - 1, pc.binary_length(lists).to_numpy())
+            width = 2 * CLASSES + 1
+            for a in range(0, len(heads), 4096):
+                size = min(4096, len(heads) - a)
+                lo, hi = np.searchsorted(group, [a, a + size])
+                counts = np.bincount((group[lo:hi] - a) * width + flat[lo:hi], minlength=size * width).reshape(size, width).astype(float)
+                own, current = counts[:, -1], x[a : a + size]
+                n = counts[:, :CLASSES].sum(1).astype(np.int64)
+                r, l = counts[:, :CLASSES].copy(), counts[:, CLASSES:-1].copy()
+                r[np.arange(size), current] -= own
+                l[np.arange(size), current] -= own
+                best = np.argmax(np.round(gains.of(r, l, own, current), 6), 1)
+                columns = [pa.array(words[heads[a : a + size]]), pa.array(n), pa.array(best.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return found.repartition("word").sortWithinPartitions("word").mapInArrow(run, kind)
+
+
 class Model:
-    """What tasks need to score a text; its size does not grow with the corpus."""
+    """What tasks need to score a text; its size does not grow with the corpus.
+    The words that are not common are in the table of counts."""
 
     def __init__(self, frequent, classes, joint, common, counts, kinds, total, distinct):
-        self.frequent, self.classes, self.common = frequent, classes, Lookup(common)
+        self.frequent, self.classes, self.common = frequent, classes, common
         back = joint.sum(0) + BETA
         back /= back.sum()
         smooth = joint + BETA * CLASSES * back[None, :]
@@ -184,90 +422,107 @@ class Model:
         self.ends = float(counts[END_CLASS])
 
 
+def joined(bigrams: DataFrame, size: int) -> np.ndarray:
+    """The bigrams of ``size`` numbers as a table on the driver."""
+    found = bigrams.toArrow()
+    out = np.zeros((size, size))
+    out[found["a"].to_numpy(), found["b"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
 def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model and the table of word counts, from the training rows."""
-    training = docs.filter(remainder(F.col("doc_id"), 7) != 2)
-    counted = stage(word_counts(training))
-    ends = training.count()
-    totals = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counted.orderBy(F.desc("n"), "word").limit(COMMON).collect()
-    frequent = {r["word"]: 1 + i for i, r in enumerate(top[:FREQUENT])}
-    bigrams = stage(unit_bigrams(training, Lookup(frequent)))
-    sizes = np.zeros(UNITS)
-    for r in bigrams.groupBy("b").agg(F.sum("n").alias("n")).collect():
-        sizes[r["b"]] = r["n"]
-    order = np.argsort(-sizes, kind="stable")
+    """The model and the table of words, their counts and classes, from the
+    training rows."""
+    return fit_blocks(stage(blocks(docs)))[:2]
+
+
+def fit_blocks(table: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
+    """As ``fit``, and the blocks with their words' classes."""
+    ends = table.select(F.sum(F.size(F.filter("training", lambda t: t)))).first()[0] or 0
+    top = word_counts(table).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    own = {r["word"]: 1 + i for i, r in enumerate(top)}
+    frequent = Lookup(own)
+    bigrams = joined(unit_bigrams(table, frequent), UNITS)
+    order = np.argsort(-bigrams.sum(0), kind="stable")
     classes = exchange(bigrams, order[order != END_UNIT])
-    right, _, _ = contexts(bigrams, classes)
-    joint = np.zeros((CLASSES, CLASSES))
-    np.add.at(joint, classes, right)
-    # Distinct words and tokens per class: frequent words by their own unit.
-    units = spark_units(counted, frequent)
-    kinds, counts = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in units.groupBy("unit").agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect():
-        kinds[classes[r["unit"]]] += r["k"]
-        counts[classes[r["unit"]]] += r["n"]
-    kinds[END_CLASS], counts[END_CLASS] = int(ends > 0), ends
-    common = {r["word"]: r["n"] for r in top}
-    model = Model(Lookup(frequent), classes, joint, common, counts, kinds, totals["n"] + ends, totals["v"] + (ends > 0))
-    return model, counted
-
-
-def spark_units(counted: DataFrame, frequent: dict[int, int]) -> DataFrame:
-    spark = counted.sparkSession
-    rows = list(frequent.items()) or [(0, -1)]
+    joint = class_counts(bigrams, classes)
+    spark = table.sparkSession
     # At most FREQUENT rows.
-    table = spark.createDataFrame(rows, "word long, own int").filter("own > 0")
-    return counted.join(F.broadcast(table), "word", "left").select("n", F.coalesce("own", "ending").alias("unit"))
-
-
-PARTS = "row long, doc_id long, n_tokens long, n_known long, base double, score double, words array<long>, times array<int>"
-
+    leading = spark.createDataFrame([(r["word"], r["n"], int(classes[own[r["word"]]])) for r in top], "word long, n long, class int")
+    counted = stage(leading.union(rest_classes(rest_contexts(table, frequent, classes), classes, joint)))
+    totals = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    kinds, mass = np.zeros(CLASSES), np.zeros(CLASSES)
+    for r in counted.groupBy("class").agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect():
+        kinds[r["class"]], mass[r["class"]] = r["k"], r["n"]
+    kinds[END_CLASS], mass[END_CLASS] = int(ends > 0), ends
+    common = {r["word"]: (r["n"], r["class"]) for r in counted.orderBy(F.desc("n"), "word").limit(COMMON).collect()}
+    known = stage(with_classes(table, frequent, classes, common, counted))
+    final = joined(pair_counts(known, CLASSES, class_codes), CLASSES)
+    model = Model(frequent, classes, final, common, mass, kinds, totals["n"] + ends, totals["v"] + (ends > 0))
+    return model, counted, known
+
+
+def class_codes(row: dict, _: Block) -> np.ndarray:
+    return unpacked(row["class"], np.int8).astype(np.int64)
+
+
+def with_classes(table: DataFrame, frequent: Lookup, classes: np.ndarray, common: dict, counted: DataFrame) -> DataFrame:
+    """The blocks with the ``class`` and the training count ``n`` of each of
+    their words; a word the training text lacks has its ending's class."""
+    places = "block long, place int, word long"
+    found = "block long, places binary, ns binary, classes binary"
+    known = "block long, doc_id array<long>, training array<boolean>, size array<int>, at binary, n binary, class binary"
+    arrow = {k: arrow_schema(StructType.fromDDL(k)) for k in (places, found, known)}
+    listed = Lookup({w: n for w, (n, _) in common.items()}), Lookup({w: c for w, (_, c) in common.items()})
+    shared = table.sparkSession.sparkContext.broadcast((frequent, classes, *listed))
+
+    def looked_for(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, _, count, _ = shared.value
+        for batch in source:
+            for block, value in zip(batch.column(0), batch.column(1), strict=True):
+                words = unpacked(value, np.int64)
+                place = np.flatnonzero(count.of(words, -1) < 0)
+                columns = [np.full(len(place), block.as_py()), place.astype(np.int32), words[place]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=arrow[places])
+
+    def gathered(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_runs(source):
+            block = rows.column("block").to_numpy()
+            cuts = [*np.flatnonzero(np.diff(block, prepend=block[0] - 1)).tolist(), len(block)]
+            place, n, of = (rows.column(k).to_numpy() for k in ("place", "n", "class"))
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                arrays = place[a:z].astype(np.int32), n[a:z].astype(np.int64), of[a:z].astype(np.int8)
+                yield pa.RecordBatch.from_arrays([pa.array(block[a : a + 1]), *map(packed, arrays)], schema=arrow[found])
+
+    def same(row: dict) -> list[pa.Array]:
+        return [pa.array([row[k].as_py()], arrow[known].field(k).type) for k in ("block", "doc_id", "training", "size", "at")]
+
+    def begun(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, classes, count, kind = shared.value
+        for row, b in each_block(source):
+            of = kind.of(b.words, classes[frequent.of(b.words, b.endings)])
+            arrays = count.of(b.words, 0).astype(np.int64), of.astype(np.int8)
+            yield pa.RecordBatch.from_arrays([*same(row), *map(packed, arrays)], schema=arrow[known])
+
+    def filled(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for i in range(batch.num_rows):
+                row = {name: batch.column(k)[i] for k, name in enumerate(batch.schema.names)}
+                n, of = unpacked(row["n"], np.int64), unpacked(row["class"], np.int8)
+                if row["places"].is_valid:
+                    place = unpacked(row["places"], np.int32)
+                    n[place], of[place] = unpacked(row["ns"], np.int64), unpacked(row["classes"], np.int8)
+                yield pa.RecordBatch.from_arrays([*same(row), packed(n), packed(of)], schema=arrow[known])
+
+    sought = table.select("block", "words").mapInArrow(looked_for, places)
+    met = (
+        sought.join(counted, "word").select("block", "place", "n", "class")
+        .repartition("block").sortWithinPartitions("block").mapInArrow(gathered, found)
+    )
+    return table.mapInArrow(begun, known).join(met, "block", "left").mapInArrow(filled, known)
 
-def local_parts(docs: DataFrame, model: Model) -> DataFrame:
-    """What a task can add up alone, and the words it has no counts for."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    arrow = arrow_schema(StructType.fromDDL(PARTS))
 
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in source:
-            if not batch.num_rows:
-                continue
-            words, at, sizes = coded(batch.column(2))
-            hashes = hashes_of(words)
-            units = m.frequent.of(hashes, ending_units(words))
-            line = between_ends(m.classes[units][at], sizes)
-            steps = m.step[line[:-1], line[1:]] - m.norm[line[1:]]
-            # Every text has one step more than it has words.
-            score = np.add.reduceat(steps, np.cumsum(sizes + 1) - sizes - 1)
-            text_of = np.repeat(np.arange(len(sizes)), sizes)
-            count = m.common.of(hashes, -1)
-            listed = count >= 0
-            count = np.maximum(count, 0).astype(float)
-
-            def added(value: np.ndarray) -> np.ndarray:
-                return np.bincount(text_of, np.where(listed, value, 0.0)[at], len(sizes))
-
-            known = added(np.ones(len(count))).astype(np.int64) + int(m.ends > 0)
-            base = added(np.log10(count + 1)) + np.log10(m.ends + 1)
-            score = score + added(np.log10(count + ALPHA)) + np.log10(m.ends + ALPHA)
-            # Words without a count here: once per text, with how often.
-            rare = ~listed[at]
-            code, times = np.unique(text_of[rare] * max(1, len(words)) + at[rare], return_counts=True)
-            ends = np.searchsorted(code, np.arange(len(sizes) + 1) * max(1, len(words)))
-            ends = pa.array(ends.astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(1), pa.array(sizes + 1), pa.array(known), pa.array(base), pa.array(score),
-                    pa.ListArray.from_arrays(ends, pa.array(hashes[code % max(1, len(words))])),
-                    pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32))),
-                ],
-                names=arrow.names,
-            ).cast(arrow)
-
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
-    return numbered.mapInArrow(run, PARTS)
+SCORED = "doc_id long, n_tokens long, n_known long, base double, score double"
 
 
 def scored(docs: DataFrame, model: Model, counted: DataFrame) -> DataFrame:
@@ -276,31 +531,46 @@ def scored(docs: DataFrame, model: Model, counted: DataFrame) -> DataFrame:
     A null or empty text is one end. Repeated rows are scored alike; a model
     of an empty training table has no known token and finite scores.
     """
-    parts = stage(local_parts(docs, model))
-    rare = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select(
-        "row", F.col("w.words").alias("word"), F.col("w.times").alias("times")
-    )
-    n = F.coalesce("n", F.lit(0))
-    sums = (
-        rare.join(counted.select("word", "n"), "word", "left")
-        .groupBy("row").agg(
-            F.sum(F.col("times") * F.log10(n + 1)).alias("b"),
-            F.sum(F.col("times") * F.log10(n + ALPHA)).alias("s"),
-            F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("k"),
-        )
-    )
-    norm = float(np.log10(model.total + model.distinct + 1))
-    zero = F.lit(0.0)
-    return parts.drop("words", "times").join(sums, "row", "left").select(
-        "doc_id", "n_tokens",
-        (F.col("n_known") + F.coalesce("k", F.lit(0))).cast("long").alias("n_known"),
+    table = stage(blocks(docs))
+    return scored_blocks(with_classes(table, model.frequent, model.classes, model.common, counted), model)
+
+
+def scored_blocks(known: DataFrame, model: Model) -> DataFrame:
+    shared = known.sparkSession.sparkContext.broadcast((model.step, model.norm, model.ends))
+    arrow = arrow_schema(StructType.fromDDL(SCORED))
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, norm, ends = shared.value
+        for row, b in each_block(source):
+            n = unpacked(row["n"], np.int64).astype(float)
+            line = between_ends(class_codes(row, b)[b.at], b.sizes)
+            steps = step[line[:-1], line[1:]] - norm[line[1:]]
+            # Every text has one step more than it has words.
+            score = np.add.reduceat(steps, np.cumsum(b.sizes + 1) - b.sizes - 1)
+            text_of = np.repeat(np.arange(len(b.sizes)), b.sizes)
+
+            def added(value: np.ndarray, at=b.at, text_of=text_of, most=len(b.sizes)) -> np.ndarray:
+                return np.bincount(text_of, value[at], most)
+
+            columns = [
+                row["doc_id"].values,
+                pa.array(b.sizes + 1),
+                pa.array(added((n > 0).astype(float)).astype(np.int64) + int(ends > 0)),
+                pa.array(added(np.log10(n + 1)) + np.log10(ends + 1)),
+                pa.array(score + added(np.log10(n + ALPHA)) + np.log10(ends + ALPHA)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=arrow.names).cast(arrow)
+
+    base = float(np.log10(model.total + model.distinct + 1))
+    return known.mapInArrow(run, SCORED).select(
+        "doc_id", "n_tokens", "n_known",
         F.lit(int(model.total)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("b", zero) - F.col("n_tokens") * norm).alias("base_score"),
-        (F.col("score") + F.coalesce("s", zero)).alias("score"),
+        (F.col("base") - F.col("n_tokens") * base).alias("base_score"),
+        "score",
     )
 
 
 def op7_brown_classes(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model, counted = fit(docs)
-    return scored(docs, model, counted).withColumn("held_out", remainder(F.col("doc_id"), 7) == 2)
+    model, _, known = fit_blocks(stage(blocks(docs)))
+    return scored_blocks(known, model).withColumn("held_out", remainder(F.col("doc_id"), 7) == 2)
