@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from tagloom.functions.binding import bind
 
 Tokenizer = Callable[[Column], Column]
+# Characters of text that a worker takes up at a time.
+MOST_CHARS = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -142,6 +145,21 @@ def encode_words(
     return F.slice(wrap(ids, special), 1, max_length)
 
 
+def portions(batch: pd.Series) -> Iterator[list[str]]:
+    """Neighbouring texts of a batch, at most ``MOST_CHARS`` together, so that
+    neither words nor ids of a whole batch are held; a longer text is alone."""
+    part: list[str] = []
+    size = 0
+    for text in batch:
+        if part and size + len(text or "") > MOST_CHARS:
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text or "")
+    if part:
+        yield part
+
+
 def vocabulary_tokenizer(load: Callable[[], Any]) -> Tokenizer:
     """A tokenizer object as an Arrow-batched function.
 
@@ -154,7 +172,8 @@ def vocabulary_tokenizer(load: Callable[[], Any]) -> Tokenizer:
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokenizer = load()
         for batch in batches:
-            encoded = tokenizer.encode_batch(batch.tolist(), add_special_tokens=False)
-            yield pd.Series([e.ids for e in encoded])
+            for texts in portions(batch):
+                encoded = tokenizer.encode_batch(texts, add_special_tokens=False)
+                yield pd.Series([np.array(e.ids, np.int32) for e in encoded], dtype=object)
 
     return ids
