@@ -13,16 +13,16 @@ import os
 import sys
 from collections.abc import Callable, Iterator
 from dataclasses import replace
-from itertools import chain
 from types import ModuleType
 
+import numpy as np
 import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from tagloom.functions.tokens import SpecialTokens, check_lengths, wrap
+from tagloom.functions.tokens import SpecialTokens, check_lengths, portions, wrap
 
 # A vocabulary file is broadcast, so its size is checked.
 MOST_FILE_BYTES = 64 << 20
@@ -30,6 +30,8 @@ MOST_FILE_BYTES = 64 << 20
 MOST_WORDS, LONGEST_WORD = 500_000, 64
 # Words of texts that are looked up together.
 GROUP_WORDS = 100_000
+# New words encoded in one call.
+CALL_WORDS = 10_000
 # Names under which tokenizer files list their special tokens.
 SPECIAL_NAMES = {
     "cls_id": ("[CLS]",), "sep_id": ("[SEP]",), "pad_id": ("[PAD]", "<pad>"),
@@ -75,15 +77,19 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.by_word = splits_at_blanks(self.tokenizer)
-        self.known: dict[bytes, list[int]] = {}
+        #: Ids of a word as the bytes of 32-bit numbers.
+        self.known: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str | None]) -> Iterator[list[int]]:
+        return (ids.tolist() for ids in self.arrays(texts))
+
+    def arrays(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         plain = ["" if t is None else t for t in texts]
         if not self.by_word:
-            yield from self.encode(plain)
+            yield from (np.array(ids, np.int32) for ids in self.encode(plain))
             return
         group: list[list[bytes]] = []
         size = 0
@@ -97,16 +103,19 @@ class Encoder:
                 group, size = [], 0
         yield from self.looked_up(group)
 
-    def looked_up(self, group: list[list[bytes]]) -> Iterator[list[int]]:
-        """New words of a group of texts are encoded in one call."""
+    def looked_up(self, group: list[list[bytes]]) -> Iterator[np.ndarray]:
+        """New words of a group of texts are encoded together."""
         used = set().union(*group)
         missing = [w for w in used if w not in self.known]
         if len(self.known) + len(missing) > MOST_WORDS:
             self.known.clear()
             missing = list(used)
-        self.known.update(zip(missing, self.encode([w.decode() for w in missing]), strict=True))
+        for a in range(0, len(missing), CALL_WORDS):
+            part = missing[a : a + CALL_WORDS]
+            for w, ids in zip(part, self.encode([w.decode() for w in part]), strict=True):
+                self.known[w] = np.array(ids, np.int32).tobytes()
         for words in group:
-            yield list(chain.from_iterable(map(self.known.__getitem__, words)))
+            yield np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32)
         for w in missing:
             if len(w) > LONGEST_WORD:
                 del self.known[w]
@@ -152,10 +161,10 @@ class Subwords:
         head = max(1, min(budget - 1, int(budget * head_ratio)))
         tail = budget - head
 
-        def cut(found: list[int]) -> list[int]:
+        def cut(found: np.ndarray) -> np.ndarray:
             if len(found) <= budget:
                 return found
-            return found[:head] + found[len(found) - tail :]
+            return np.concatenate([found[:head], found[len(found) - tail :]])
 
         return F.slice(wrap(self._function(cut)(text), self.special), 1, max_length)
 
@@ -167,17 +176,19 @@ class Subwords:
         def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             encode = encoder(key, file)
             for batch in batches:
-                yield pd.Series([len(x) for x in encode(batch.tolist())], dtype="int32")
+                for texts in portions(batch):
+                    yield pd.Series([len(x) for x in encode.arrays(texts)], dtype="int32")
 
         return counts(text)
 
-    def _function(self, cut: Callable[[list[int]], list[int]]) -> Callable[[Column], Column]:
+    def _function(self, cut: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column], Column]:
         key, file = self.key, self.file
 
         @F.pandas_udf(ArrayType(IntegerType()))
         def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             encode = encoder(key, file)
             for batch in batches:
-                yield pd.Series([cut(x) for x in encode(batch.tolist())], dtype=object)
+                for texts in portions(batch):
+                    yield pd.Series([cut(x) for x in encode.arrays(texts)], dtype=object)
 
         return ids
