@@ -2,11 +2,12 @@
 
 Examples and documents are TF-IDF vectors over every term of the examples. A
 term that goes with the label beyond chance weighs more, by its evidence; none
-is left out. The examples of a bounded sample form an inverted index in blocks,
-each term holding its largest weight per block. A document reads the blocks of
-highest bound, then all that can still change its ``NEIGHBOURS`` nearest, so the
-cosines are exact. Neighbours vote with their cosine; a logistic curve fitted on
-the examples, each without itself, makes the vote a probability.
+is left out. The examples of a bounded sample form an inverted index. Its
+``DENSE`` commonest terms, which hold most postings that documents meet, are a
+matrix that many documents are multiplied with at once; of the others each
+document adds up its terms' postings. So every cosine is worked out in full.
+Neighbours vote with their cosine; a logistic curve fitted on the examples, each
+without itself, makes the vote a probability.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ from tagloom.operators.staging import stage
 # Bound of the fitted model: labelled rows it learns from, by smallest id hash.
 MOST_EXAMPLES = 6_000
 NEIGHBOURS = 15
-BLOCK = 64
-# Blocks read before the rest is held against the nearest found so far.
-FIRST_BLOCKS = 4
+# Terms kept as rows of a matrix, and documents multiplied with it at once.
+DENSE = 256
+TOGETHER = 128
 # Standard errors from which a term's evidence multiplies its weight.
 CHANCE = 4.0
 # Weight of the base rate against the neighbours' votes.
@@ -103,10 +104,10 @@ def document_frequency(docs: DataFrame, hashes: np.ndarray) -> tuple[int, np.nda
 
 @dataclass
 class Index:
-    """Examples in blocks, and per term its postings and block maxima.
+    """Examples as postings by term, the commonest terms as rows of a matrix.
 
-    What travels are the counts, in their smallest types; weights and block
-    maxima are worked out where the index arrives."""
+    What travels are the counts, in their smallest types; weights and the matrix
+    are worked out where the index arrives."""
 
     hashes: np.ndarray
     weight: np.ndarray
@@ -118,18 +119,17 @@ class Index:
     base: float
 
     def __post_init__(self):
-        term, doc = np.repeat(np.arange(len(self.weight)), self.length), self.post_doc.astype(np.int64)
+        term, doc = np.repeat(np.arange(len(self.weight)), self.length), self.post_doc.astype(np.intp)
         value = (1 + np.log(self.post_count.astype(float))) * self.weight[term]
         value /= np.sqrt(np.bincount(doc, value * value, len(self.ids)))[doc]
-        block = doc // BLOCK
-        new = np.ones(len(term), bool)
-        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
-        heads = np.flatnonzero(new)
         self.doc, self.value = doc, value
-        self.head_block = block[heads]
-        self.head_most = np.maximum.reduceat(value, heads) if len(heads) else np.zeros(0)
-        self.head_post = np.append(heads, len(term))  # head -> first posting, with one past the end
-        self.head_at = np.searchsorted(term[heads], np.arange(len(self.weight) + 1))  # term -> first head
+        self.start = np.append(0, np.cumsum(self.length, dtype=np.int64))  # term -> first posting
+        common = np.argsort(-self.length.astype(np.int64), kind="stable")[:DENSE]
+        self.row = np.full(len(self.weight), -1)  # term -> row of the matrix, or -1
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), len(self.ids)))
+        held = self.row[term] >= 0
+        self.dense[self.row[term[held]], doc[held]] = value[held]
         self.slope, self.shift, self.sent = 1.0, 0.0, None
 
     def __reduce__(self):
@@ -144,37 +144,37 @@ class Index:
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return unit_vector(self.weight, terms, counts)
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, but: int = -1, k: int = NEIGHBOURS):
+    def common(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the common terms add to the cosine of each vector (rows) with
+        each example. Always ``TOGETHER`` rows are multiplied, so that a vector's
+        sums do not depend on those beside it."""
+        q = np.zeros((-(-len(vectors) // TOGETHER) * TOGETHER, len(self.dense)))
+        for i, (terms, weights) in enumerate(vectors):
+            row = self.row[terms]
+            q[i, row[row >= 0]] = weights[row >= 0]
+        out = np.empty((len(q), len(self.ids)))
+        for i in range(0, len(q), TOGETHER):
+            np.matmul(q[i : i + TOGETHER], self.dense, out=out[i : i + TOGETHER])
+        return out
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, but: int = -1, k: int = NEIGHBOURS, begun: np.ndarray | None = None):
         """Example numbers and cosines of the ``k`` nearest with a term in
-        common; equal cosines by number."""
-        heads, size = spans(self.head_at[terms], self.head_at[terms + 1])
-        if not len(heads):
-            return np.zeros(0, np.int64), np.zeros(0)
-        q, block = np.repeat(weights, size), self.head_block[heads]
-        bounds = np.bincount(block, q * self.head_most[heads])
-        first = np.argsort(-bounds, kind="stable")[:FIRST_BLOCKS]
-        chosen = np.zeros(len(bounds), bool)
-        chosen[first] = True
-        docs, cosines = self.read(heads, q, chosen[block], but, k)
-        least = cosines[-1] if len(cosines) == k else 0.0
-        rest = (bounds > 0) & (bounds >= least - 1e-12) & ~chosen
-        if rest.any():
-            more, close = self.read(heads, q, rest[block], but, k)
-            docs, cosines = leading(np.concatenate([docs, more]), np.concatenate([cosines, close]), k)
-        return docs, cosines
-
-    def read(self, heads: np.ndarray, q: np.ndarray, pick: np.ndarray, but: int, k: int):
-        """The ``k`` best of the picked blocks."""
-        heads, q = heads[pick], q[pick]
-        posts, size = spans(self.head_post[heads], self.head_post[heads + 1])
-        score = np.bincount(self.doc[posts], np.repeat(q, size) * self.value[posts])
+        common; equal cosines by number. ``begun``: the vector's row of ``common``."""
+        score = self.common([(terms, weights)])[0] if begun is None else begun.copy()
+        rare = self.row[terms] < 0
+        low, high = self.start[terms[rare]], self.start[terms[rare] + 1]
+        if rare.any():
+            spans = list(map(slice, low.tolist(), high.tolist()))
+            doc, value = (np.concatenate([x[span] for span in spans]) for x in (self.doc, self.value))
+            score += np.bincount(doc, value * np.repeat(weights[rare], high - low), len(score))
         if 0 <= but < len(score):
             score[but] = 0.0
-        docs = np.flatnonzero(score > 0)
-        if len(docs) > k:
-            least = np.partition(score[docs], -k)[-k]
-            docs = docs[score[docs] >= least - 1e-12]
-        return leading(docs, score[docs], k)
+        # Beyond the twelfth digit sums differ by their order alone.
+        least = np.partition(score, -k)[-k] - 1e-12 if len(score) > k else 0.0
+        docs = np.flatnonzero((score > 0) & (score >= least))
+        cosines = np.round(score[docs], 12)
+        best = np.lexsort((docs, -cosines))[:k]
+        return docs[best], cosines[best]
 
     def vote(self, docs: np.ndarray, cosines: np.ndarray) -> float:
         total = cosines.sum() + PRIOR
@@ -184,17 +184,6 @@ class Index:
         return float(1 / (1 + np.exp(-(self.slope * vote + self.shift))))
 
 
-def spans(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of the half-open spans, and the spans' lengths."""
-    size = high - low
-    return np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum()), size
-
-
-def leading(docs: np.ndarray, cosines: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    best = np.lexsort((docs, -np.round(cosines, 12)))[:k]
-    return docs[best], cosines[best]
-
-
 def unit_vector(weight: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
     w = (1 + np.log(counts)) * weight[terms]
     return w / np.sqrt((w * w).sum()) if len(w) else w
@@ -206,7 +195,7 @@ def smallest(values: np.ndarray) -> np.ndarray:
 
 def build_index(hashes: np.ndarray, weight: np.ndarray, rows: list) -> Index:
     """``rows`` are (id, label, terms, counts); rows without a term only
-    enter the base rate. Examples with alike leading terms share blocks."""
+    enter the base rate. Examples are numbered by their leading terms."""
     full = [(int(t[np.argmax(unit_vector(weight, t, np.asarray(c, float)))]), i, y, t, c) for i, y, t, c in rows if len(t)]
     full.sort(key=lambda r: r[:2])
     none = np.zeros(0, np.int64)
@@ -312,12 +301,14 @@ def voted(rows: DataFrame, index: Index, examples: bool = False) -> DataFrame:
             text, term, times = known_counts(batch.column(1), index.hashes)
             ends = np.searchsorted(text, np.arange(batch.num_rows + 1))
             ids = batch.column(0).to_pylist()
+            vectors = [(term[a:z], index.vector(term[a:z], times[a:z].astype(float))) for a, z in zip(ends, ends[1:], strict=False)]
             votes, near = [], []
-            for i, a, z in zip(ids, ends, ends[1:], strict=False):
-                own = term[a:z]
-                docs, cosines = index.nearest(own, index.vector(own, times[a:z].astype(float)), place.get(i, -1))
-                votes.append(index.vote(docs, cosines))
-                near.append(index.ids[docs[:3]].tolist())
+            for first in range(0, len(ids), TOGETHER):
+                some = vectors[first : first + TOGETHER]
+                for i, vector, begun in zip(ids[first : first + TOGETHER], some, index.common(some), strict=False):
+                    docs, cosines = index.nearest(*vector, place.get(i, -1), begun=begun)
+                    votes.append(index.vote(docs, cosines))
+                    near.append(index.ids[docs[:3]].tolist())
             columns = [batch.column(0), pa.array(votes, pa.float64()), pa.array(near, arrow.field(2).type), *batch.columns[2:]]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
