@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tagloom.llm.words import arrow_schema, coded, hashes_of, remainder
+from tagloom.llm.words import arrow_schema, coded, hashes_of, remainder, tidied
 from tagloom.operators.staging import stage
 
 FREQUENT = 2000
@@ -38,6 +38,11 @@ CLASSES = 64
 COMMON = 50_000
 # Text of a block. A longer text is a block of its own.
 BLOCK_BYTES = 8 << 20
+# Tokens of a block that a task works on at once, and words whose gains it works out at once.
+PORTION = 1 << 18
+WORDS_AT_ONCE = 1024
+# Tokens of the input for each file of the table of words, whatever the partitions of its shuffle.
+TOKENS_A_FILE = 500_000
 # Counts up to which gains are read from a table.
 LISTED = 32
 # Pseudo-counts of an emission and of a class transition.
@@ -65,6 +70,14 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int]]:
     return zip(cuts, cuts[1:], strict=False)
 
 
+def portions(sizes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Neighbouring texts of about ``PORTION`` tokens together, as spans of texts
+    and of tokens. A portion is as much longer as its last text is."""
+    ends = np.append(0, np.cumsum(sizes))
+    cuts = [0, *(np.flatnonzero(np.diff((ends[:-1] + np.arange(len(sizes))) // PORTION)) + 1).tolist(), len(sizes)]
+    return ((a, z, int(ends[a]), int(ends[z])) for a, z in zip(cuts, cuts[1:], strict=False))
+
+
 def one_list(values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
@@ -108,7 +121,7 @@ def blocks(docs: DataFrame) -> DataFrame:
         F.monotonically_increasing_id().alias("block"), F.col("doc_id").cast("long").alias("doc_id"),
         (remainder(F.col("doc_id"), 7) != 2).alias("training"), "text",
     )
-    return rows.mapInArrow(run, BLOCK)
+    return rows.mapInArrow(tidied(run), BLOCK)
 
 
 class Block:
@@ -146,7 +159,7 @@ def word_counts(table: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=arrow)
 
     return (
-        table.mapInArrow(run, kind)
+        table.mapInArrow(tidied(run), kind)
         .groupBy("word").agg(F.sum("n").alias("n"), F.min("ending").alias("ending"))
     )
 
@@ -170,12 +183,20 @@ class Lookup:
 def between_ends(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The tokens of texts in one row, with the end (0) before, between and
     after them."""
-    out = np.zeros(len(values) + len(sizes) + 1, np.int64)
-    text_of = np.repeat(np.arange(len(sizes)), sizes)
-    out[1 + np.arange(len(values)) + text_of] = values
+    out = np.zeros(len(values) + len(sizes) + 1, values.dtype)
+    token = np.ones(len(out), bool)
+    token[np.append(0, np.cumsum(sizes + 1))] = False
+    out[token] = values
     return out
 
 
+def steps_of(line: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each token of a row with the next one, ``PORTION`` at a time."""
+    for low in range(0, len(line) - 1, PORTION):
+        piece = line[low : low + PORTION + 1]
+        yield piece[:-1], piece[1:]
+
+
 def pair_counts(table: DataFrame, width: int, codes_of: Callable[[dict, Block], np.ndarray]) -> DataFrame:
     """``a, b, n``: bigrams of the numbers that ``codes_of`` gives a block's
     distinct words, over the training texts, ends included. A task counts in
@@ -187,14 +208,15 @@ def pair_counts(table: DataFrame, width: int, codes_of: Callable[[dict, Block],
         counts = np.zeros(width * width, np.int64)
         for row, b in each_block(source):
             at, sizes = b.trained()
-            line = between_ends(codes_of(row, b)[at], sizes)
-            code, n = np.unique(line[:-1] * width + line[1:], return_counts=True)
-            counts[code] += n
-        code = np.flatnonzero(counts)
-        columns = [(code // width).astype(np.int32), (code % width).astype(np.int32), counts[code]]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=arrow)
+            for left, right in steps_of(between_ends(codes_of(row, b).astype(np.int16)[at], sizes)):
+                code, n = np.unique(left.astype(np.int32) * width + right, return_counts=True)
+                counts[code] += n
+        for low in range(0, len(counts), PORTION):
+            code = low + np.flatnonzero(counts[low : low + PORTION])
+            columns = [(code // width).astype(np.int32), (code % width).astype(np.int32), counts[code]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=arrow)
 
-    return table.mapInArrow(run, kind).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return table.mapInArrow(tidied(run), kind).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def unit_bigrams(table: DataFrame, frequent: Lookup) -> DataFrame:
@@ -279,22 +301,26 @@ def rest_contexts(table: DataFrame, frequent: Lookup, classes: np.ndarray) -> Da
             # Place 0 is the end.
             near = np.append(END_CLASS, classes[frequent.of(b.words, b.endings)]).astype(np.uint8)
             rest = np.append(False, frequent.of(b.words, -1) < 0)
-            line = between_ends(at.astype(np.int64) + 1, sizes)
-            left, right = line[:-1], line[1:]
-            one, two = rest[left], rest[right]
-            same = one & (left == right)
-            word = np.concatenate([left[one], right[two], left[same]])
-            code = np.concatenate([near[right[one]], near[left[two]] + np.uint8(CLASSES), np.full(same.sum(), 2 * CLASSES, np.uint8)])
-            order = np.argsort(word * 256 + code)
-            word, code = word[order], code[order]
-            heads = np.flatnonzero(np.diff(word, prepend=-1))
+            # A key is a word's place, then the code in the lowest byte; as short as the places allow.
+            kind = np.min_scalar_type(256 * len(rest))
+            keys = [np.zeros(0, kind)]
+            for left, right in steps_of(between_ends(at + np.int32(1), sizes)):
+                one, two = rest[left], rest[right]
+                same = left[one & (left == right)].astype(kind)
+                after, before = left[one].astype(kind), right[two].astype(kind)
+                keys += [after * 256 + near[right[one]], before * 256 + near[left[two]] + CLASSES, same * 256 + 2 * CLASSES]
+            key = np.concatenate(keys)
+            del keys
+            key.sort()
+            code, word = key.astype(np.uint8), key >> 8
+            heads = np.flatnonzero(np.append(True, word[1:] != word[:-1])[: len(word)])
             number = word[heads] - 1
             ends = np.append(heads, len(code)).astype(np.int32)
             context = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(ends), pa.py_buffer(code)])
             columns = [pa.array(b.words[number]), pa.array(b.endings[number].astype(np.int32)), context]
             yield pa.RecordBatch.from_arrays(columns, names=arrow.names).cast(arrow)
 
-    return table.mapInArrow(run, kind)
+    return table.mapInArrow(tidied(run), kind)
 
 
 def whole_runs(source: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[pa.Table]:
@@ -390,8 +416,8 @@ def rest_classes(found: DataFrame, classes: np.ndarray, joint: np.ndarray) -> Da
             flat = np.frombuffer(b"".join(lists.to_pylist()), np.uint8)
             group = np.repeat(np.cumsum(new) - 1, pc.binary_length(lists).to_numpy())
             width = 2 * CLASSES + 1
-            for a in range(0, len(heads), 4096):
-                size = min(4096, len(heads) - a)
+            for a in range(0, len(heads), WORDS_AT_ONCE):
+                size = min(WORDS_AT_ONCE, len(heads) - a)
                 lo, hi = np.searchsorted(group, [a, a + size])
                 counts = np.bincount((group[lo:hi] - a) * width + flat[lo:hi], minlength=size * width).reshape(size, width).astype(float)
                 own, current = counts[:, -1], x[a : a + size]
@@ -403,7 +429,7 @@ def rest_classes(found: DataFrame, classes: np.ndarray, joint: np.ndarray) -> Da
                 columns = [pa.array(words[heads[a : a + size]]), pa.array(n), pa.array(best.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return found.repartition("word").sortWithinPartitions("word").mapInArrow(run, kind)
+    return found.repartition("word").sortWithinPartitions("word").mapInArrow(tidied(run), kind)
 
 
 class Model:
@@ -438,7 +464,8 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
 
 def fit_blocks(table: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
     """As ``fit``, and the blocks with their words' classes."""
-    ends = table.select(F.sum(F.size(F.filter("training", lambda t: t)))).first()[0] or 0
+    texts = F.sum(F.size(F.filter("training", lambda t: t))), F.sum(F.aggregate("size", F.lit(0).cast("long"), lambda n, k: n + k))
+    ends, tokens = (n or 0 for n in table.select(*texts).first())
     top = word_counts(table).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     own = {r["word"]: 1 + i for i, r in enumerate(top)}
     frequent = Lookup(own)
@@ -449,7 +476,8 @@ def fit_blocks(table: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
     spark = table.sparkSession
     # At most FREQUENT rows.
     leading = spark.createDataFrame([(r["word"], r["n"], int(classes[own[r["word"]]])) for r in top], "word long, n long, class int")
-    counted = stage(leading.union(rest_classes(rest_contexts(table, frequent, classes), classes, joint)))
+    files = max(spark.sparkContext.defaultParallelism, tokens // TOKENS_A_FILE)
+    counted = stage(leading.union(rest_classes(rest_contexts(table, frequent, classes), classes, joint)).coalesce(files))
     totals = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     kinds, mass = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in counted.groupBy("class").agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect():
@@ -463,7 +491,7 @@ def fit_blocks(table: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
 
 
 def class_codes(row: dict, _: Block) -> np.ndarray:
-    return unpacked(row["class"], np.int8).astype(np.int64)
+    return unpacked(row["class"], np.int8)
 
 
 def with_classes(table: DataFrame, frequent: Lookup, classes: np.ndarray, common: dict, counted: DataFrame) -> DataFrame:
@@ -514,12 +542,12 @@ def with_classes(table: DataFrame, frequent: Lookup, classes: np.ndarray, common
                     n[place], of[place] = unpacked(row["ns"], np.int64), unpacked(row["classes"], np.int8)
                 yield pa.RecordBatch.from_arrays([*same(row), packed(n), packed(of)], schema=arrow[known])
 
-    sought = table.select("block", "words").mapInArrow(looked_for, places)
+    sought = table.select("block", "words").mapInArrow(tidied(looked_for), places)
     met = (
         sought.join(counted, "word").select("block", "place", "n", "class")
-        .repartition("block").sortWithinPartitions("block").mapInArrow(gathered, found)
+        .repartition("block").sortWithinPartitions("block").mapInArrow(tidied(gathered), found)
     )
-    return table.mapInArrow(begun, known).join(met, "block", "left").mapInArrow(filled, known)
+    return table.mapInArrow(tidied(begun), known).join(met, "block", "left").mapInArrow(tidied(filled), known)
 
 
 SCORED = "doc_id long, n_tokens long, n_known long, base double, score double"
@@ -541,28 +569,34 @@ def scored_blocks(known: DataFrame, model: Model) -> DataFrame:
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step, norm, ends = shared.value
+        # By the number of a step: its class times CLASSES plus the next one's.
+        steps = (step - norm).reshape(-1)
         for row, b in each_block(source):
+            classes = unpacked(row["class"], np.int8).astype(np.int16)
             n = unpacked(row["n"], np.int64).astype(float)
-            line = between_ends(class_codes(row, b)[b.at], b.sizes)
-            steps = step[line[:-1], line[1:]] - norm[line[1:]]
-            # Every text has one step more than it has words.
-            score = np.add.reduceat(steps, np.cumsum(b.sizes + 1) - b.sizes - 1)
-            text_of = np.repeat(np.arange(len(b.sizes)), b.sizes)
-
-            def added(value: np.ndarray, at=b.at, text_of=text_of, most=len(b.sizes)) -> np.ndarray:
-                return np.bincount(text_of, value[at], most)
-
-            columns = [
-                row["doc_id"].values,
-                pa.array(b.sizes + 1),
-                pa.array(added((n > 0).astype(float)).astype(np.int64) + int(ends > 0)),
-                pa.array(added(np.log10(n + 1)) + np.log10(ends + 1)),
-                pa.array(score + added(np.log10(n + ALPHA)) + np.log10(ends + ALPHA)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=arrow.names).cast(arrow)
+            # By distinct word: whether the training text has it, and what it adds to the scores.
+            known, base, score = (n > 0).astype(float), np.log10(n + 1), np.log10(n + ALPHA)
+            for a, z, low, high in portions(b.sizes):
+                sizes, at = b.sizes[a:z], b.at[low:high]
+                line = between_ends(classes[at], sizes)
+                # Every text has one step more than it has words.
+                walked = np.add.reduceat(steps[line[:-1] * CLASSES + line[1:]], np.cumsum(sizes + 1) - sizes - 1)
+                text_of = np.repeat(np.arange(len(sizes)), sizes)
+
+                def added(value: np.ndarray, at=at, text_of=text_of, most=len(sizes)) -> np.ndarray:
+                    return np.bincount(text_of, value[at], most)
+
+                columns = [
+                    row["doc_id"].values.slice(a, z - a),
+                    pa.array(sizes + 1),
+                    pa.array(added(known).astype(np.int64) + int(ends > 0)),
+                    pa.array(added(base) + np.log10(ends + 1)),
+                    pa.array(walked + added(score) + np.log10(ends + ALPHA)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=arrow.names).cast(arrow)
 
     base = float(np.log10(model.total + model.distinct + 1))
-    return known.mapInArrow(run, SCORED).select(
+    return known.mapInArrow(tidied(run), SCORED).select(
         "doc_id", "n_tokens", "n_known",
         F.lit(int(model.total)).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * base).alias("base_score"),

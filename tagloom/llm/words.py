@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -95,14 +95,30 @@ def coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     them, and how many tokens each text has."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     # Copied, as Arrow's lower-casing misplaces the texts of a slice.
-    texts = texts.take(pa.array(np.arange(len(texts))))
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-    flat, sizes = split.flatten(), split.value_lengths().to_numpy()
+    texts = pc.ascii_lower(texts.take(pa.array(np.arange(len(texts)))))
+    split = pc.ascii_split_whitespace(texts)
+    del texts
+    flat, ends = split.flatten(), np.append(0, np.cumsum(split.value_lengths().to_numpy()))
+    del split
     # White space at an end of a text leaves an empty piece there.
-    full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
-    text_of = np.repeat(np.arange(len(texts)), sizes)[full]
-    words = flat.filter(pa.array(full)).dictionary_encode()
-    return words.dictionary, words.indices.to_numpy(), np.bincount(text_of, minlength=len(texts))
+    full = pc.greater(pc.binary_length(flat), 0)
+    before = np.append(0, np.cumsum(full.to_numpy(zero_copy_only=False)))
+    flat = flat.filter(full)
+    words = flat.dictionary_encode()
+    return words.dictionary, words.indices.to_numpy(), np.diff(before[ends])
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for ``mapInArrow``, which after each batch gives back the memory
+    that Arrow keeps for its next one: workers stay when their task has ended."""
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(source):
+            yield batch
+            del batch
+            pa.default_memory_pool().release_unused()
+
+    return batches
 
 
 def hashes_of(words: pa.Array) -> np.ndarray:
