@@ -42,7 +42,7 @@ BLOCK_BYTES = 8 << 20
 PORTION = 1 << 18
 WORDS_AT_ONCE = 1024
 # Tokens of the input for each file of the table of words, whatever the partitions of its shuffle.
-TOKENS_A_FILE = 500_000
+TOKENS_A_FILE = 4_000_000
 # Counts up to which gains are read from a table.
 LISTED = 32
 # Pseudo-counts of an emission and of a class transition.
