@@ -10,7 +10,7 @@ error is enumerated by masking a symbol of the chunk. Links are then confirmed
 on the full sets.
 
 Equal sets are one class before anything is paired. No pairs leave a task:
-a task compares two bounded blocks and passes on a spanning forest.
+a task compares two bounded blocks and passes on a star per group it links.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql.types import StructType
 
 from tagloom.llm.components import connected_components, own_exchange
 from tagloom.llm.words import WordHashes, arrow_schema, free, mixed, rolled, split_words
-from tagloom.operators.staging import stage
+from tagloom.operators.staging import in_few_tasks, stage
 
 SHINGLE = 5
 POSITIONS = 64
@@ -100,14 +100,38 @@ class Forest:
             x = self.up[x]
         return x
 
+    def joined(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+        """Joins the pairs of rows; returns those that were not connected before.
+        A portion at a time, so that of the pairs of a large group, which are
+        its size squared, most are dropped by their roots without a step each."""
+        out, portion = [], max(256, len(self.up))
+        while len(a):
+            head = zip(a[:portion].tolist(), b[:portion].tolist(), strict=True)
+            out += [(x, y) for x, y in head if self.join(x, y)]
+            a, b = a[portion:], b[portion:]
+            if len(a):
+                roots = np.array([self.root(x) for x in range(len(self.up))])
+                apart = roots[a] != roots[b]
+                a, b = a[apart], b[apart]
+        return out
+
     def join(self, a: int, b: int) -> bool:
         a, b = self.root(a), self.root(b)
         self.up[max(a, b)] = min(a, b)
         return a != b
 
 
-def forest_edges(ids: np.ndarray, a: np.ndarray, b: np.ndarray, forest: Forest) -> list[tuple[int, int]]:
-    return [(int(ids[x]), int(ids[y])) for x, y in zip(a.tolist(), b.tolist(), strict=True) if forest.join(x, y)]
+def star_edges(ids: np.ndarray, forest: Forest, joins: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The trees that ``joins`` made, each as a star about its least id. Blocks
+    that share rows then agree on the centres, so few steps join the stars."""
+    if len(joins) < 2:
+        return [(int(ids[x]), int(ids[y])) for x, y in joins]
+    nodes = sorted({x for join in joins for x in join})
+    roots = [forest.root(x) for x in nodes]
+    least: dict[int, int] = {}
+    for i, root in zip(ids[nodes].tolist(), roots, strict=True):
+        least[root] = min(i, least.get(root, i))
+    return [(least[root], i) for i, root in zip(ids[nodes].tolist(), roots, strict=True) if i != least[root]]
 
 
 def described(docs: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -203,7 +227,7 @@ EDGES = "a long, b long"
 
 
 def signature_links(reps: DataFrame, most: int) -> DataFrame:
-    """A spanning forest, per meeting place, of pairs within the distance."""
+    """Stars, per meeting place, that connect what pairs within the distance do."""
     arrow = arrow_schema(StructType.fromDDL(EDGES))
     places = meeting_places(reps, most)
     shared = places.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
@@ -217,13 +241,14 @@ def signature_links(reps: DataFrame, most: int) -> DataFrame:
         for rows in runs_of(source, [0, 1, 2]):
             ids = rows.column("id").to_numpy()
             sign = np.frombuffer(b"".join(rows.column("sign").to_pylist()), np.uint8).reshape(-1, POSITIONS)
-            forest = Forest(len(ids))
+            forest, joins = Forest(len(ids)), []
             step = max(1, (1 << 22) // (len(ids) * POSITIONS))
             for at in range(0, len(ids), step):
                 far = (sign[at : at + step, None, :] != sign[None, :, :]).sum(2, dtype=np.uint8)
                 x, y = np.nonzero(far <= most)
                 x = x + at
-                found += forest_edges(ids, x[x < y], y[x < y], forest)
+                joins += forest.joined(x[x < y], y[x < y])
+            found += star_edges(ids, forest, joins)
             if len(found) > 20_000:
                 yield edges_out(found, arrow)
                 found = []
@@ -235,9 +260,9 @@ def signature_links(reps: DataFrame, most: int) -> DataFrame:
 def confirmed_links(
     docs: DataFrame, groups: DataFrame, sets: DataFrame, id_column: str, text: str, percent: int
 ) -> DataFrame:
-    """A spanning forest, per candidate group, of the true links: similarity at
-    least ``percent`` on the full sets, in whole numbers. A set is read from
-    one text that has it."""
+    """Stars, per candidate group, that connect what the true links do:
+    similarity at least ``percent`` on the full sets, in whole numbers. A set is
+    read from one text that has it."""
     arrow = arrow_schema(StructType.fromDDL(EDGES))
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
     members = groups.join(sizes.select(own_exchange("component"), "n"), "component")
@@ -299,7 +324,8 @@ def true_links(ids: np.ndarray, items: list[np.ndarray], percent: int) -> list[t
         common += part @ part.T
     both = sizes[:, None] + sizes[None, :] - common.astype(np.int64)
     x, y = np.nonzero(100 * common.astype(np.int64) >= percent * both)
-    return forest_edges(ids, x[x < y], y[x < y], Forest(n))
+    forest = Forest(n)
+    return star_edges(ids, forest, forest.joined(x[x < y], y[x < y]))
 
 
 def grouped(docs: DataFrame, id_column: str, text: str, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -307,26 +333,32 @@ def grouped(docs: DataFrame, id_column: str, text: str, percent: int) -> tuple[D
     ``set_hash``, ``first`` (the set's least doc_id), ``group`` and ``least``
     (the group's least doc_id)."""
     rows = stage(described(docs, id_column, text))
+    n = rows.count()
     # The number is a set's own for good once the table is written, also where
     # one doc_id is the first of several sets.
     sets = stage(
-        rows.filter("set_hash is not null and doc_id is not null")
-        .groupBy("set_hash")
-        .agg(F.min(F.struct("doc_id", "same")).alias("least"), F.first("sign").alias("sign"))
-        .select("set_hash", "least.same", F.col("least.doc_id").alias("first"), "sign", F.monotonically_increasing_id().alias("id"))
+        in_few_tasks(
+            rows.filter("set_hash is not null and doc_id is not null")
+            .groupBy("set_hash")
+            .agg(F.min(F.struct("doc_id", "same")).alias("least"), F.first("sign").alias("sign")),
+            n,
+        ).select("set_hash", "least.same", F.col("least.doc_id").alias("first"), "sign", F.monotonically_increasing_id().alias("id"))
     )
     candidates = connected_components(stage(signature_links(sets, distance(percent))), "a", "b")
-    links = confirmed_links(docs, stage(candidates), sets, id_column, text, percent)
+    links = confirmed_links(docs, stage(in_few_tasks(candidates, n)), sets, id_column, text, percent)
     class_of = connected_components(stage(links), "a", "b")
     by_set = sets.join(class_of, sets["id"] == class_of["node"], "left").select(
         "set_hash", "first", F.coalesce("component", "id").alias("group")
     )
-    return rows, stage(with_least(stage(by_set)))
+    return rows, with_least(by_set, n)
 
 
-def with_least(by_set: DataFrame) -> DataFrame:
+def with_least(by_set: DataFrame, rows: int) -> DataFrame:
+    """Staged, with each group's least doc_id; ``rows`` bounds their number."""
+    by_set = stage(in_few_tasks(by_set, rows))
     least = by_set.groupBy("group").agg(F.min("first").alias("least"))
-    return by_set.join(least.select(own_exchange("group"), "least"), "group").select("set_hash", "first", "group", "least")
+    found = by_set.join(least.select(own_exchange("group"), "least"), "group")
+    return stage(in_few_tasks(found.select("set_hash", "first", "group", "least"), rows))
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -347,13 +379,17 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", perc
         .filter("low <> high")
         .select("doc_id")
     )
+    n = rows.count()
     held = rows.join(several, "doc_id").join(by_set, "set_hash").select("doc_id", "group").distinct()
-    lowest = held.groupBy("doc_id").agg(F.min("group").alias("low"))
-    joined = connected_components(stage(held.join(lowest, "doc_id").select("group", "low")), "group", "low")
-    pooled = by_set.join(joined, by_set["group"] == joined["node"], "left").select(
-        "set_hash", "first", F.coalesce("component", "group").alias("group")
-    )
-    of_set = stage(with_least(stage(pooled)).select("set_hash", F.col("least").alias("component_id")))
+    held = stage(in_few_tasks(held, n))
+    if held.count():
+        lowest = held.groupBy("doc_id").agg(F.min("group").alias("low"))
+        joined = connected_components(stage(held.join(lowest, "doc_id").select("group", "low")), "group", "low")
+        pooled = by_set.join(joined, by_set["group"] == joined["node"], "left").select(
+            "set_hash", "first", F.coalesce("component", "group").alias("group")
+        )
+        by_set = with_least(pooled, n)
+    of_set = by_set.select("set_hash", F.col("least").alias("component_id"))
     return (
         rows.join(of_set, "set_hash", "left")
         .select(

@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 DIR_OPTION = "spark.checkpoint.dir"
+# Rows of a small table (a few numbers and digests each) that are worth a task.
+TASK_ROWS = 100_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -42,6 +44,14 @@ def stage(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """The same rows from no more tasks than ``rows``, a bound on their number,
+    are worth, and from one per core at least. For small tables that come out of
+    a shuffle: each of its partitions is a task and a file otherwise, however
+    few the rows. Partitions are joined, none is cut or moved."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rows of a scan with fewer splits than the cluster has cores, hashed over
     all cores; larger scans are left as they are. For work that costs far more
